@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, sharding
+from . import exact_dedup, line_dedup, mixing, packing, sharding, simhash, tokens
 from .common import read_table
 
 
+#: The vocabulary that token counts and packing use.
+VOCABULARY = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
+SEQUENCE_TOKENS = 4096
+END_ID = 1
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, public_tokenizers.path(VOCABULARY), TOKEN_LIMIT)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `rows`: whole records go through the external shuffle; the digests are taken from what arrives."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,6 +49,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), SEQUENCE_TOKENS, END_ID)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The host of a document is its source."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -57,8 +75,13 @@ SELECT {columns} FROM page p LEFT JOIN kept k ON p.page_no = k.page_no
 OP7_SQL = LINE_DEDUP_SQL.format(docs="documents", min_pages=line_dedup.MIN_PAGES, ratio=line_dedup.RATIO, columns="p.doc_id, p.source, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, k.text")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_mixing, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
