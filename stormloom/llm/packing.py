@@ -19,10 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_table, shuffle_partitions
-from .tokens import encode, transducer
-
-#: Texts that are encoded together, in characters.
-BATCH_CHARS = 4 << 20
+from .tokens import encode, slices, transducer
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, int]]:
@@ -90,22 +87,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([docs.schema[id_col], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
-    def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
-        begin = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= BATCH_CHARS:
-                yield begin, i + 1
-                begin, size = i + 1, 0
-        yield begin, len(texts)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in batches_of(texts):
+            for begin, texts in slices(batch.column(1)):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encode(machine, texts[begin:end]), begin):
+                for i, ids in enumerate(encode(machine, texts), begin):
                     data = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k in range(0, len(data), capacity):
                         part = data[k : k + capacity]

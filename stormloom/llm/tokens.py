@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Symbols in a chunk, and characters in a block of texts.
-CHUNK = 256
-BLOCK_CHARS = 1 << 20
+CHUNK = 128
+BLOCK_CHARS = 1 << 18
 #: States at which a worker forgets what it has compiled and begins anew.
 MAX_STATES = 200_000
 
@@ -300,6 +301,16 @@ def special_pattern(machine: Transducer) -> re.Pattern:
     return re.compile("(" + "|".join(re.escape(s) for s in sorted(machine.specials, key=len, reverse=True)) + ")") if machine.specials else re.compile(r"((?!))")
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a few rows at a time, about BLOCK_CHARS bytes or one long text; null is empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_CHARS, "right")))
+        yield at, [t or "" for t in column.slice(at, to - at).to_pylist()]
+        at = to
+
+
 def count(machine: Transducer, texts: list[str]) -> np.ndarray:
     """Number of tokens of each text."""
     out = np.zeros(len(texts), np.int64)
@@ -350,7 +361,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model.value)
         for batch in batches:
-            n = count(machine, [t or "" for t in batch.column(1).to_pylist()])
+            n = np.concatenate([count(machine, texts) for _, texts in slices(batch.column(1))] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(n > limit)], schema=out)
 
     schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
