@@ -1,25 +1,66 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences, in five stages."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stormloom.llm import line_dedup
+from stormloom.llm import line_dedup, mixing, packing, simhash, toxicity
 from stormloom.llm.common import read_table, shared_table
+from stormloom.llm.queries import END_ID, SEQUENCE_TOKENS, VOCABULARY
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source are taken out of its documents."""
-    columns = docs.columns
-    return line_dedup.site_line_dedup(docs).select(columns)
+
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns that a stage uses, the others as one struct, so that no name of theirs clashes with the stage's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*[F.col(f"`{c}`") for c in used], (F.struct(*rest) if rest else F.lit(0)).alias("__rest"))
+
+
+def restored(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of docs, from a result that began with aside()."""
+    return df.select(*[F.col(f"`{c}`") if c in used else F.col("__rest").getField(c).alias(c) for c in docs.columns])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go. Labels of the held-out fifth aren't learnt from."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    used = ("doc_id", "text")
+    scored = toxicity.score_toxicity(aside(docs, *used), read_table(spark, sf_dir, "labels"), fold != 0)
+    return restored(scored.filter("predicted = 0"), docs, *used)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source are taken out of its documents' texts; n_chars is that of what is left."""
+    used = ("doc_id", "text", "source", "n_chars")
+    cleaned = line_dedup.site_line_dedup(aside(docs, *used))
+    return restored(cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs, *used)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's target weight asks, so some come several times and some not at all."""
+    used = ("doc_id", "text", "source")
+    return restored(mixing.mix_documents(aside(docs, *used)), docs, *used)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its place in a sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), SEQUENCE_TOKENS, END_ID)
 
 
 #: (name, function of (spark, docs, sf_dir)); each one's rows are the next one's docs.
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("line_dedup", lines)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_duplicates), ("mixing", mix), ("packing", pack)]
 
-#: Scores, fingerprints and tokens are beyond SQL; tests hold the stages against brute force.
+#: Scores, fingerprints, rounding and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -68,7 +68,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     outputs = ["keep_id", "group_size", "kept", "text_sha256"]
     docs = docs.drop(*[c for c in outputs if c not in (id_col, text_col)])
     norm = normalise(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    keyed = docs.select("*", hash_of(norm).cast("long").alias("key"))
     wide = docs.select(F.col(f"`{id_col}`").alias("id"), norm.alias("norm")).withColumn("key", hash_of(F.col("norm")).cast("long"))
 
     entries = shared_table(wide.select("key", "id").groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id")), "dedup-keys")
@@ -90,9 +89,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = min(n_buckets, 4 * shuffle_partitions(docs.sparkSession))
     index = shared_table(index.withColumn("prefix", prefix).join(F.broadcast(directory), "prefix").drop("prefix").repartition(owners, "bucket").sortWithinPartitions("bucket", "key"), "dedup-index")
 
-    found = keyed.withColumn("text_sha256", F.sha2(norm, 256)).join(index.select("key", "group_size", "keep_id"), "key", "left")
+    index = index.select(F.col("key").alias("__key"), F.col("group_size").alias("__size"), F.col("keep_id").alias("__keep"))
+    found = docs.select("*", hash_of(norm).cast("long").alias("__key"), F.sha2(norm, 256).alias("__sha")).join(index, "__key", "left")
     if chained is not None:
-        chained = shared_table(chained.select(F.col("key").alias("key2"), "norm", F.col("group_size").alias("g2"), F.col("keep_id").alias("k2")), "dedup-collided")
-        found = found.withColumn("norm", norm).join(chained, (F.col("key") == F.col("key2")) & (F.col("norm") == chained["norm"]), "left").withColumns({"group_size": F.coalesce("g2", "group_size"), "keep_id": F.when(F.col("g2").isNotNull(), F.col("k2")).otherwise(F.col("keep_id"))})
-    kept = F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "keep_id", F.col("group_size").cast("long"), kept.alias("kept"), "text_sha256")
+        chained = shared_table(chained.select(F.col("key").alias("__key"), F.col("norm").alias("__norm"), F.col("group_size").alias("__size2"), F.col("keep_id").alias("__keep2")), "dedup-collided")
+        by_bytes = F.col("__size2").isNotNull()
+        found = found.withColumn("__norm", norm).join(chained, ["__key", "__norm"], "left").withColumns({"__size": F.coalesce("__size2", "__size"), "__keep": F.when(by_bytes, F.col("__keep2")).otherwise(F.col("__keep"))})
+    kept = F.col(f"`{id_col}`").eqNullSafe(F.col("__keep"))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__keep").alias("keep_id"), F.col("__size").cast("long").alias("group_size"), kept.alias("kept"), F.col("__sha").alias("text_sha256"))

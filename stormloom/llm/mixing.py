@@ -135,3 +135,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         every = every.unionByName(more)
     n = F.col("base") + F.col("extra")
     return every.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
+    """The mix itself: rows of docs, each as often as the mix takes it. Rows alike in id, text and source are
+    interchangeable: together they come as often as all of them are taken."""
+    id_, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    tie = F.xxhash64(id_, text, source)
+    taken = mix_sources(docs.withColumn("__tie", tie), id_col="__tie", text_col=text_col, source_col=source_col, **how)
+    totals = shared_table(taken.groupBy("__tie").agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows")), "mix-copies")
+    rows = docs.withColumn("__tie", tie)
+    if totals.filter("__rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["__tie"])
+    return rows.join(totals.filter("__n > 0"), "__tie").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -116,7 +116,7 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: li
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     length = F.col(f"`{length_col}`").cast("long")
     order = order or [c for c in names if isinstance(pieces.schema[c].dataType, T.AtomicType)]
-    salts = 8 * shuffle_partitions(pieces.sparkSession)  # ranks are counted within a part of each length's pieces
+    salts = shuffle_partitions(pieces.sparkSession)  # ranks are counted within a part of each length's pieces
     rows = pieces.select(*[F.col(f"`{c}`") for c in names], length.alias("__n"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(salts)).alias("__salt"))
     rows = shared_table(rows, "pieces")
     counts = shared_table(rows.groupBy("__n", "__salt").agg(F.count(F.lit(1)).alias("n")), "piece-counts")

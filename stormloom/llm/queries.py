@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, sharding, simhash, tokens
+from . import exact_dedup, line_dedup, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls
 from .common import read_table
 
 
@@ -32,6 +32,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.quality_rules(docs)
+
+
+OP3_SQL = rf"""
+WITH page AS (SELECT *, row_number() OVER () AS page_no, coalesce(text, '') AS t FROM documents),
+word AS (SELECT page_no, t, source, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS ls FROM page),
+places AS (SELECT page_no, unnest(range(1, len(w) - 1)) AS i, w FROM word WHERE len(w) >= 3),
+gram AS (SELECT page_no, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM places),
+twice AS (SELECT page_no, i FROM gram QUALIFY count(*) OVER (PARTITION BY page_no, g) > 1),
+repeated AS (SELECT page_no, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY page_no),
+line AS (SELECT page_no, source, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS norm
+  FROM (SELECT page_no, source, unnest(ls) AS line FROM word) WHERE regexp_matches(line, '[^ 	-]')),
+dup AS (SELECT page_no, count(*) - count(DISTINCT line) AS n FROM line GROUP BY page_no),
+total AS (SELECT source, count(*) AS pages FROM page GROUP BY source),
+bad AS (SELECT l.source, l.norm FROM (SELECT source, norm, count(DISTINCT page_no) AS n FROM line GROUP BY source, norm) l
+  JOIN total t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n > greatest({quality.MAX_DOCS}, {quality.MAX_SHARE} * t.pages)),
+gone AS (SELECT page_no, sum(len(regexp_extract_all(line, '[^ 	-]+'))) AS n FROM line l JOIN bad b ON l.norm = b.norm AND l.source IS NOT DISTINCT FROM b.source GROUP BY page_no),
+counted AS (SELECT p.doc_id, len(w.w) AS n_words, len(array_to_string(w.w, '')) AS word_chars, len(p.t) - len(regexp_replace(p.t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_frequent_words
+  FROM page p JOIN word w USING (page_no) LEFT JOIN repeated r USING (page_no) LEFT JOIN dup d USING (page_no) LEFT JOIN gone g USING (page_no))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_frequent_words) >= {quality.MIN_LEFT} * n_words AS kept FROM counted
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -80,9 +108,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the fifth of documents that is held out aren't learnt from."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    scored = toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels"), fold != 0)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash, op9_url_filter, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}

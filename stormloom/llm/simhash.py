@@ -196,8 +196,12 @@ def near_links(nodes: DataFrame, distance: int, node_rows: int = NODE_ROWS) -> D
                 below.append((path, child, mask - (1 << 64) if mask >> 63 else mask))
                 free[child], fixed[child] = [b for b in free[path] if b not in chosen], mask
             del free[path], fixed[path]
-        children = spark.createDataFrame(below, "path long, child long, mask long")
-        rows = rows.join(F.broadcast(children), "path").select(F.col("child").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("fixed"), "fp")
+        if len(below) == parts:  # below the root
+            children = F.explode(F.array(*[F.struct(F.lit(c).cast("long").alias("child"), F.lit(m).cast("long").alias("mask")) for _, c, m in below]))
+            rows = rows.select("fp", children.alias("at")).select("fp", "at.*")
+        else:
+            rows = rows.join(F.broadcast(spark.createDataFrame(below, "path long, child long, mask long")), "path")
+        rows = rows.select(F.col("child").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("fixed"), "fp")
         sizes = rows.groupBy("path", "fixed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > node_rows)
         full = shared_table(sizes.select("path", "fixed"), "simhash-full")
         is_full = full.count() > 0 and all(len(f) > parts for f in free.values())
