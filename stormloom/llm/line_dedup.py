@@ -27,14 +27,14 @@ def frequent_lines(docs: DataFrame, host_col: str, text_col: str, limit: Callabl
     counts once for each line, however often it has it; lines of white space only are left out."""
     pages = docs.select(F.col(f"`{host_col}`").alias("host"), F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines"))
     worded = F.filter("lines", lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(worded, lambda x: _identity(normalise(x))))).alias("line"))
+    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.transform(worded, normalise), _identity))).alias("line"))
     with_line = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     totals = docs.groupBy(F.col(f"`{host_col}`").alias("t_host")).agg(F.count(F.lit(1)).alias("pages"))
     return with_line.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).filter(F.col("n") > limit(F.col("pages"))).select("host", "line")
 
 
 def with_frequent(docs: DataFrame, bad: DataFrame, host_col: str, text_col: str, normalise: Callable[[Column], Column] = lambda x: x, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """docs with `__lines` (the text's lines) and `__frequent` (whether each is among bad's lines of its host)."""
+    """docs with `__lines`: the text's lines, each with whether it is `frequent`, that is among bad's lines of its host."""
     text, host = F.col(f"`{text_col}`"), F.col(f"`{host_col}`")
     lines = F.split(text, "\n", -1)
     if bad.count() <= broadcast_lines:
@@ -43,12 +43,13 @@ def with_frequent(docs: DataFrame, bad: DataFrame, host_col: str, text_col: str,
     else:  # by shuffle: the marks of each page come from its own lines, and meet the page again under its digest
         page = F.sha2(F.concat_ws("\x00", host.isNull().cast("string"), F.coalesce(host.cast("string"), F.lit("")), text.isNull().cast("string"), F.coalesce(text, F.lit(""))), 256)
         paged = docs.withColumn("__page", page)
-        own = paged.select("__page", host.alias("host"), F.explode(F.array_distinct(F.transform(lines, lambda x: _identity(normalise(x))))).alias("line"))
+        own = paged.select("__page", host.alias("host"), F.explode(F.array_distinct(F.transform(F.transform(lines, normalise), _identity))).alias("line"))
         same = own["host"].eqNullSafe(bad["host"]) & (own["line"] == bad["line"])
         marks = own.join(bad, same, "left_semi").groupBy("__page").agg(F.collect_set("line").alias("__bad"))
         marked = paged.join(marks, "__page", "left")
-    frequent = F.transform(lines, lambda x: F.coalesce(F.array_contains(F.col("__bad"), _identity(normalise(x))), F.lit(False)))
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], lines.alias("__lines"), frequent.alias("__frequent"))
+    keyed = F.transform(F.transform(lines, lambda x: F.struct(x.alias("line"), normalise(x).alias("norm"))), lambda x: F.struct(x["line"].alias("line"), _identity(x["norm"]).alias("key")))
+    marks = F.transform(keyed, lambda x: F.struct(x["line"].alias("line"), F.coalesce(F.array_contains(F.col("__bad"), x["key"]), F.lit(False)).alias("frequent")))
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], marks.alias("__lines"))
 
 
 def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", id_col: str = "doc_id", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
@@ -66,8 +67,8 @@ def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "
 
     bad = shared_table(frequent_lines(docs, host_col, text_col, limit), "boilerplate")
     marked = with_frequent(docs, bad, host_col, text_col, broadcast_lines=broadcast_lines)
-    kept = F.filter("__lines", lambda x, i: ~F.get("__frequent", i))
+    kept = F.transform(F.filter("__lines", lambda x: ~x["frequent"]), lambda x: x["line"])
     columns = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.when(text.isNotNull(), F.array_join(kept, "\n"))}
     n = F.when(text.isNull(), F.lit(0)).otherwise(F.size("__lines"))
-    dropped = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter("__frequent", lambda x: x)))
+    dropped = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.filter("__lines", lambda x: x["frequent"])))
     return marked.select(*[v.alias(c) for c, v in columns.items()], n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

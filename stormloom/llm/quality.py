@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, lower_ascii, shared_table
+from .common import WORD, shared_table
 from .line_dedup import BROADCAST_LINES, frequent_lines, with_frequent
 
 #: A line may be in so many documents of its host, or in this share of them if that is more.
@@ -26,8 +26,8 @@ SYMBOLS = "#*$%&|<>"
 
 
 def normalise_line(line: Column) -> Column:
-    """A-Z lower-cased, white space runs to one space, none at the ends."""
-    return F.trim(F.regexp_replace(lower_ascii(line), r"[\x20\x09-\x0D]+", " "))
+    """Lower case, white space runs to one space, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -66,7 +66,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     bad = shared_table(frequent_lines(docs, "source", "text", limit, normalise_line), "frequent-lines")
     marked = with_frequent(docs, bad, "source", "text", normalise_line, broadcast_lines)
-    gone = F.filter("__lines", lambda x, i: F.get("__frequent", i))
+    gone = F.transform(F.filter("__lines", lambda x: x["frequent"]), lambda x: x["line"])
     frequent = F.coalesce(F.regexp_count(F.array_join(gone, "\n"), F.lit(WORD)), F.lit(0)).cast("long")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *[T.StructField(n, T.LongType()) for n in (*names, "n_frequent_words")]])

@@ -45,13 +45,16 @@ places AS (SELECT page_no, unnest(range(1, len(w) - 1)) AS i, w FROM word WHERE
 gram AS (SELECT page_no, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM places),
 twice AS (SELECT page_no, i FROM gram QUALIFY count(*) OVER (PARTITION BY page_no, g) > 1),
 repeated AS (SELECT page_no, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS o(k) GROUP BY page_no),
-line AS (SELECT page_no, source, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS norm
-  FROM (SELECT page_no, source, unnest(ls) AS line FROM word) WHERE regexp_matches(line, '[^ 	-]')),
+line AS (SELECT page_no, source, line, trim(regexp_replace(lower(line), '[ 	-
+]+', ' ', 'g'), ' ') AS norm
+  FROM (SELECT page_no, source, unnest(ls) AS line FROM word) WHERE regexp_matches(line, '[^ 	-
+]')),
 dup AS (SELECT page_no, count(*) - count(DISTINCT line) AS n FROM line GROUP BY page_no),
 total AS (SELECT source, count(*) AS pages FROM page GROUP BY source),
 bad AS (SELECT l.source, l.norm FROM (SELECT source, norm, count(DISTINCT page_no) AS n FROM line GROUP BY source, norm) l
   JOIN total t ON l.source IS NOT DISTINCT FROM t.source WHERE l.n > greatest({quality.MAX_DOCS}, {quality.MAX_SHARE} * t.pages)),
-gone AS (SELECT page_no, sum(len(regexp_extract_all(line, '[^ 	-]+'))) AS n FROM line l JOIN bad b ON l.norm = b.norm AND l.source IS NOT DISTINCT FROM b.source GROUP BY page_no),
+gone AS (SELECT page_no, sum(len(regexp_extract_all(line, '[^ 	-
+]+'))) AS n FROM line l JOIN bad b ON l.norm = b.norm AND l.source IS NOT DISTINCT FROM b.source GROUP BY page_no),
 counted AS (SELECT p.doc_id, len(w.w) AS n_words, len(array_to_string(w.w, '')) AS word_chars, len(p.t) - len(regexp_replace(p.t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_frequent_words
   FROM page p JOIN word w USING (page_no) LEFT JOIN repeated r USING (page_no) LEFT JOIN dup d USING (page_no) LEFT JOIN gone g USING (page_no))

@@ -89,7 +89,7 @@ def test_text_counts():
 def test_quality_rules(docs, no_docs, broadcast_lines):
     rows, pages, have = lines_of(docs)
     norm = defaultdict(set)
-    key = lambda x: " ".join(WORD.findall(ascii_lower(x)))
+    key = lambda x: " ".join(WORD.findall(x.lower()))
     for (s, x), ks in have.items():
         norm[s, key(x)] |= ks
     want = []
