@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import INTENSITY, gate_area_km2, intensity_label, interpolated, polar_to_lat_lon
+from ..sources.landing import landed
 from .labels import label_gates
 from .quality import echo_gates
 
@@ -133,9 +134,9 @@ def _few(scans: DataFrame) -> bool:
 def detect_objects(scans: DataFrame, gates: DataFrame) -> Detection:
     """Objects of every scan: at least 4 km2, and 8 km2 or a peak of 40 dBZ. object_id numbers a scan's kept objects in
     the order of their blob's first gate, then seed; `rank` orders them by rounded peak and area, strongest first."""
-    labels = threshold_labels(gates)
-    tree = threshold_tree(labels)
-    divided = divide_gates(labels, split_seeds(tree))
+    labels = landed(threshold_labels(gates), "threshold-labels")
+    tree = landed(threshold_tree(labels), "threshold-tree")
+    divided = landed(divide_gates(labels, split_seeds(tree)), "divided-gates")
     all_ = measured(divided, scans, ["scan_id", "blob", "seed"])
     kept = all_.filter((F.col("area") >= MIN_AREA_KM2) & (F.col("weight") != 0) & ((F.col("area") >= MIN_WEAK_AREA_KM2) | (F.col("peak") >= MIN_SMALL_PEAK)))
     kept = kept.withColumn("object_id", F.row_number().over(Window.partitionBy("scan_id").orderBy("blob", "seed")))
@@ -145,7 +146,7 @@ def detect_objects(scans: DataFrame, gates: DataFrame) -> Detection:
         F.bround(F.pmod("azimuth", F.lit(360.0)), 1).alias("bearing_deg"), F.bround("peak", 1).alias("peak_dbz"), intensity_label("peak").alias("peak_label"),
         F.bround("area", 2).alias("area_km2"), "layers", "min_row", "min_col", "max_row", "max_col", "pixel_count",
     )
-    objects = rounded.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.col("peak_dbz").desc(), F.col("area_km2").desc(), "object_id")))
+    objects = landed(rounded.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.col("peak_dbz").desc(), F.col("area_km2").desc(), "object_id"))), "objects")
     object_gates = divided.join(objects.select("scan_id", "blob", "seed", "object_id"), ["scan_id", "blob", "seed"]).select("scan_id", "object_id", "az_idx", "rng_idx", "dbz")
     return Detection(objects, object_gates, tree)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gate_area_km2, haversine_km, interpolated, polar_to_lat_lon, rotation_strength, spacing
+from ..sources.landing import landed
 from .labels import label_gates
 
 MIN_SPEED, MIN_REGION_KM2, MIN_SWEEP_IOU = 10.0, 4.0, 0.3
@@ -197,5 +198,5 @@ def rotation_signatures(sweeps: DataFrame, gates: DataFrame) -> DataFrame:
 
 def analyze_velocity(sweeps: DataFrame, gates: DataFrame, objects: DataFrame) -> VelocityAnalysis:
     """Regions, rotations, and objects with both. Scans without velocities keep their objects, with nulls."""
-    regions, rotations = velocity_regions(sweeps, gates), rotation_signatures(sweeps, gates)
+    regions, rotations = landed(velocity_regions(sweeps, gates), "regions"), landed(rotation_signatures(sweeps, gates), "rotations")
     return VelocityAnalysis(regions, rotations, objects_with_rotation(objects_with_wind(objects, regions), rotations))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from ..operators.detection import detect_objects
 from ..operators.quality import remove_speckle, scan_quality, speckle_gates
 from ..operators.velocity import analyze_velocity
+from ..sources.landing import landed
 from ..streaming.tracker import scan_rows, track_scans
 
 
@@ -26,12 +27,12 @@ class Ingested:
 
 
 def ingest(scans: DataFrame, gates: DataFrame, velocity_sweeps: DataFrame, velocity_gates: DataFrame) -> Ingested:
-    """Clean, detect, analyse the wind and follow the objects. Results that several others read are persisted (to memory
-    and disk; a lost executor's part is computed again)."""
-    speckle = speckle_gates(gates).persist()
-    clean = remove_speckle(gates, speckle).persist()
+    """Clean, detect, analyse the wind and follow the objects. Results that several others read are
+    written to the shared folder and read back."""
+    speckle = landed(speckle_gates(gates), "speckle")
+    clean = landed(remove_speckle(gates, speckle), "clean-gates")
     found = detect_objects(scans, clean)
-    wind = analyze_velocity(velocity_sweeps, velocity_gates, found.objects.persist())
-    objects, quality = wind.objects.persist(), scan_quality(scans, gates, speckle)
-    tracked = track_scans(scan_rows(scans, clean, objects, found.object_gates, quality)).persist()
+    wind = analyze_velocity(velocity_sweeps, velocity_gates, found.objects)
+    objects, quality = landed(wind.objects, "objects-with-wind"), landed(scan_quality(scans, gates, speckle), "quality")
+    tracked = landed(track_scans(scan_rows(scans, clean, objects, found.object_gates, quality)), "tracked")
     return Ingested(scans, clean, quality, objects, found.object_gates, found.hierarchy, wind.regions, wind.rotations, tracked)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import heading_delta
+from ..sources.landing import landed
 from ..sources.sites import site_name
 from .ingest import Ingested, ingest
 from .summary import scan_summaries
@@ -91,14 +92,15 @@ def run_benchmarks(manifest: DataFrame, scans: DataFrame, gates: DataFrame, velo
     end = F.max(F.when(F.col("end_filename").isNull() | (F.col("end_filename") == F.col("scan_id").cast("string")), F.col("k"))).over(Window.partitionBy("benchmark_id"))
     mine = mine.withColumn("last", end).filter((F.col("k") <= F.col("last")) & (F.col("k") > F.col("last") - F.col("n")))
     key = F.xxhash64("benchmark_id", "scan_id")
-    ids = mine.select("benchmark_id", "category", "m_site", "local_only", F.col("scan_id").alias("old_id"), key.alias("new_id")).persist()
+    ids = mine.select("benchmark_id", "category", "m_site", "local_only", F.col("scan_id").alias("old_id"), key.alias("new_id"))
+    ids = landed(ids, "benchmark-scans")
 
     def copied(df: DataFrame) -> DataFrame:
         return df.join(ids.select("old_id", "new_id"), df["scan_id"] == F.col("old_id")).withColumn("scan_id", F.col("new_id")).drop("old_id", "new_id")
 
-    own = mine.withColumn("site_id", F.concat_ws("|", "benchmark_id", "site_id")).withColumn("scan_id", key).select(scans.columns)
+    own = landed(mine.withColumn("site_id", F.concat_ws("|", "benchmark_id", "site_id")).withColumn("scan_id", key).select(scans.columns), "benchmark-headers")
     done = ingest(own, copied(gates), copied(velocity_sweeps), copied(velocity_gates))
-    shots = diagnostics(done).withColumn("benchmark_id", F.substring_index("site_id", "|", 1))
+    shots = landed(diagnostics(done), "diagnostics").withColumn("benchmark_id", F.substring_index("site_id", "|", 1))
     totals = lineage_totals(done.tracked).withColumn("benchmark_id", F.substring_index("site_id", "|", 1)).drop("site_id")
     about = ids.select("benchmark_id", "category", F.col("m_site").alias("site_id"), "local_only").distinct()
     return about.join(roll_up(shots), "benchmark_id").join(totals, "benchmark_id"), shots

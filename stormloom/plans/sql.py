@@ -68,25 +68,18 @@ objects AS (SELECT scan_id, object_id, blob, seed, round_even(lat, 4) AS centroi
   min_row, min_col, max_row, max_col, pixel_count, l20, l30, l40, l50, l60, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY round_even(peak, 1) DESC, round_even(area, 2) DESC, object_id) AS INT) AS rank FROM placed)""",
     "speckle": """e20 AS (SELECT *, CAST(az_idx AS BIGINT) * 1000000 + rng_idx AS cell FROM gates WHERE dbz >= 20),
 steps8 AS (SELECT a.scan_id, a.cell AS c1, b.cell AS c2 FROM e20 a JOIN e20 b ON a.scan_id = b.scan_id AND a.cell <> b.cell AND abs(a.az_idx - b.az_idx) <= 1 AND abs(a.rng_idx - b.rng_idx) <= 1),
-reach8 AS (SELECT scan_id, cell, cell AS root FROM e20 UNION SELECT s.scan_id, s.c2, r.root FROM reach8 r JOIN steps8 s ON s.scan_id = r.scan_id AND s.c1 = r.cell WHERE s.c2 > r.root),
-lab8 AS (SELECT e.*, l.label FROM e20 e JOIN (SELECT scan_id, cell, min(root) AS label FROM reach8 GROUP BY ALL) l USING (scan_id, cell)),
-speckle AS (SELECT scan_id, az_idx, rng_idx FROM lab8 QUALIFY count(*) OVER (PARTITION BY scan_id, label) <= 3 AND max(dbz) OVER (PARTITION BY scan_id, label) < 35)""",
+reach8 AS (SELECT scan_id, cell, cell AS other, 0 AS hop FROM e20 UNION SELECT r.scan_id, r.cell, s.c2, r.hop + 1 FROM reach8 r JOIN steps8 s ON s.scan_id = r.scan_id AND s.c1 = r.other WHERE r.hop < 3),
+small8 AS (SELECT r.scan_id, r.cell FROM (SELECT DISTINCT scan_id, cell, other FROM reach8) r JOIN e20 o ON o.scan_id = r.scan_id AND o.cell = r.other GROUP BY r.scan_id, r.cell HAVING count(*) <= 3 AND max(o.dbz) < 35),
+speckle AS (SELECT e.scan_id, e.az_idx, e.rng_idx FROM e20 e JOIN small8 USING (scan_id, cell))""",
     "wind": """fast AS (SELECT *, CASE WHEN vel <= -10 THEN 'inbound' ELSE 'outbound' END AS region_type, CAST(az_idx AS BIGINT) * 1000000 + rng_idx AS cell FROM vgates WHERE abs(vel) >= 10),
 wsteps AS (SELECT a.scan_id, a.sweep_idx, a.region_type, a.cell AS c1, b.cell AS c2 FROM fast a JOIN fast b ON a.scan_id = b.scan_id AND a.sweep_idx = b.sweep_idx AND a.region_type = b.region_type AND a.cell <> b.cell AND abs(a.az_idx - b.az_idx) <= 1 AND abs(a.rng_idx - b.rng_idx) <= 1),
 wreach AS (SELECT scan_id, sweep_idx, region_type, cell, cell AS root FROM fast UNION SELECT s.scan_id, s.sweep_idx, s.region_type, s.c2, r.root FROM wreach r JOIN wsteps s ON s.scan_id = r.scan_id AND s.sweep_idx = r.sweep_idx AND s.region_type = r.region_type AND s.c1 = r.cell WHERE s.c2 > r.root),
 wind AS (SELECT f.*, l.label FROM fast f JOIN (SELECT scan_id, sweep_idx, region_type, cell, min(root) AS label FROM wreach GROUP BY ALL) l USING (scan_id, sweep_idx, region_type, cell))""",
-    "regions": """wsums AS (SELECT scan_id, sweep_idx, region_type, label, sum((2000 + 1000.0 * rng_idx) * radians(1.0) * 1000.0 / 1e6) AS area, CASE region_type WHEN 'inbound' THEN min(vel) ELSE max(vel) END AS peak, avg(vel) AS mean, sum(az_idx * abs(vel)) / sum(abs(vel)) AS r, sum(rng_idx * abs(vel)) / sum(abs(vel)) AS c FROM wind GROUP BY ALL HAVING area >= 4),
+    "regions": """wsums AS (SELECT scan_id, sweep_idx, region_type, label, sum((2000 + 1000.0 * rng_idx) * radians(1.0) * 1000.0 / 1e6) AS area, CASE region_type WHEN 'inbound' THEN min(vel) ELSE max(vel) END AS peak, avg(vel) AS mean, sum(az_idx * abs(vel)) / sum(abs(vel)) AS r, sum(rng_idx * abs(vel)) / sum(abs(vel)) AS c FROM wind GROUP BY scan_id, sweep_idx, region_type, label HAVING area >= 4),
 regions AS (SELECT scan_id, sweep_idx, region_type, label, round_even(peak, 1) AS peak_velocity_ms, round_even(mean, 1) AS mean_velocity_ms, round_even(area, 2) AS area_km2, round_even(""" + there("r", "2000 + 1000.0 * c")[0] + ", 4) AS centroid_lat, round_even(" + there("r", "2000 + 1000.0 * c")[1] + """, 4) AS centroid_lon, round_even((2000 + 1000.0 * c) / 1000, 1) AS distance_km, round_even(r % 360, 1) AS bearing_deg, sweep_idx + 0.5::DOUBLE AS elevation FROM wsums)""",
     "shear": """offs AS (SELECT * FROM (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, -1), (4, 0, 1), (5, 1, -1), (6, 1, 0), (7, 1, 1)) o(k, a, r) WHERE sqrt(pow(a * radians(1.0) * 33500.0, 2) + pow(r * 1000.0, 2)) / 1000 <= 5),
 spairs AS (SELECT g.scan_id, g.sweep_idx, g.az_idx, g.rng_idx, o.k, abs(g.vel - n.vel) AS shear, least(g.vel, n.vel) AS inbound, greatest(g.vel, n.vel) AS outbound FROM vgates g, offs o JOIN vgates n ON n.scan_id = g.scan_id AND n.sweep_idx = g.sweep_idx AND n.az_idx = (g.az_idx - o.a + 50) % 50 AND n.rng_idx = (g.rng_idx - o.r + 64) % 64 WHERE (g.vel < 0) <> (n.vel < 0) AND abs(g.vel - n.vel) >= 15),
 shear AS (SELECT scan_id, sweep_idx, az_idx, rng_idx, shear, inbound, outbound FROM spairs QUALIFY row_number() OVER (PARTITION BY scan_id, sweep_idx, az_idx, rng_idx ORDER BY shear DESC, k) = 1)""",
-    "rotations": """scell AS (SELECT *, CAST(az_idx AS BIGINT) * 1000000 + rng_idx AS cell FROM shear),
-ssteps AS (SELECT a.scan_id, a.sweep_idx, a.cell AS c1, b.cell AS c2 FROM scell a JOIN scell b ON a.scan_id = b.scan_id AND a.sweep_idx = b.sweep_idx AND a.cell <> b.cell AND abs(a.az_idx - b.az_idx) <= 1 AND abs(a.rng_idx - b.rng_idx) <= 1),
-sreach AS (SELECT scan_id, sweep_idx, cell, cell AS root FROM scell UNION SELECT s.scan_id, s.sweep_idx, s.c2, r.root FROM sreach r JOIN ssteps s ON s.scan_id = r.scan_id AND s.sweep_idx = r.sweep_idx AND s.c1 = r.cell WHERE s.c2 > r.root),
-slab AS (SELECT c.*, l.label FROM scell c JOIN (SELECT scan_id, sweep_idx, cell, min(root) AS label FROM sreach GROUP BY ALL) l USING (scan_id, sweep_idx, cell)),
-ssums AS (SELECT scan_id, sweep_idx, label, count(*) AS n, max(shear) AS hi, min(inbound) AS lo, max(outbound) AS top, sum(az_idx * shear) / sum(shear) AS r, sum(rng_idx * shear) / sum(shear) AS c, max(az_idx) - min(az_idx) AS da, max(rng_idx) - min(rng_idx) AS dr FROM slab GROUP BY ALL HAVING n >= 2),
-rotations AS (SELECT scan_id, sweep_idx, label, round_even(""" + there("r", "2000 + 1000.0 * c")[0] + ", 4) AS centroid_lat, round_even(" + there("r", "2000 + 1000.0 * c")[1] + """, 4) AS centroid_lon, round_even((2000 + 1000.0 * c) / 1000, 1) AS distance_km, round_even(r % 360, 1) AS bearing_deg, round_even(hi, 1) AS max_shear_ms, round_even(lo, 1) AS max_inbound_ms, round_even(top, 1) AS max_outbound_ms,
-  round_even(sqrt(pow(radians(da) * (2000 + 1000.0 * c), 2) + pow(dr * 1000.0, 2)) / 1000, 1) AS diameter_km, sweep_idx + 0.5::DOUBLE AS elevation, CASE WHEN hi >= 35 THEN 'strong' WHEN hi >= 25 THEN 'moderate' ELSE 'weak' END AS strength FROM ssums)""",
     "files": "files AS (SELECT DISTINCT 'S' || user_id % 10 AS site_id, 'S' || user_id % 10 || strftime(ts, '%Y%m%d_%H%M%S') || '_V06' || CASE WHEN event_id % 7 = 0 THEN '_MDM' ELSE '' END AS filename FROM events), dated AS (SELECT *, strptime(right(split_part(filename, '_V', 1), 15), '%Y%m%d_%H%M%S') AS scan_ts FROM files)",
     "sites": "sites AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{n.replace(chr(39), chr(39) * 2)}', {la}::DOUBLE, {lo}::DOUBLE, {e}, {k})" for k, (i, n, la, lo, e) in enumerate(site_rows())) + ") s(site_id, name, latitude, longitude, elevation_m, ord))",
     "stations": "stations AS (SELECT s_suppkey AS station_id, s_suppkey % 25 + 25.0::DOUBLE AS lat, s_suppkey % 55 - 125.0::DOUBLE AS lon, abs(s_acctbal) AS elev FROM supplier)",

@@ -29,7 +29,8 @@ def motion_phrase(track: Column, merges_and_splits: Column) -> Column:
     without = (identity < 0.45) | ((events >= 6) & (identity < 0.75)) | (F.coalesce(track["identity"]["event_context"].isin(*YOUNG), F.lit(False)) & (identity < 0.75))
     doubtful = ~label.isin(*UNDIRECTED) & track["is_primary_focus"] & F.when(focus.isNotNull(), with_focus).otherwise(without)
     told = F.when(doubtful | (label == "uncertain"), ", tracking uncertain").when(label.isin("stationary", "nearly stationary"), F.concat(F.lit(", "), label))
-    return told.otherwise(F.format_string(", moving %s at %d mph", label, track["motion"]["speed_mph"]))
+    told = told.otherwise(F.format_string(", moving %s at %d mph", label, track["motion"]["speed_mph"]))
+    return F.when(label.isNotNull(), told)
 
 
 def rotation_phrase(strength: Column, history: Column) -> Column:
