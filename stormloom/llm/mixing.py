@@ -147,4 +147,5 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.withColumn("__tie", tie)
     if totals.filter("__rows > 1").limit(1).count():
         rows = rows.dropDuplicates(["__tie"])
-    return rows.join(totals.filter("__n > 0"), "__tie").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # by shuffle at every size: the copies grow with the documents
+    return rows.join(totals.filter("__n > 0").hint("merge"), "__tie").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -265,6 +265,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of = near_duplicates(docs, id_col, text_col, **how)
     stay = of.filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("__stay"))
     counted = shared_table(stay.groupBy("__stay").agg(F.count(F.lit(1)).alias("n")), "near-stay")
-    kept = docs.join(counted.select("__stay"), F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")
+    # by shuffle at every size: the ids that stay grow with the documents
+    kept = docs.join(counted.select("__stay").hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("__stay")), "left_semi")
     repeated = counted.filter("n > 1 AND __stay IS NOT NULL").limit(1).count()
     return kept.dropDuplicates([id_col]) if repeated else kept
