@@ -363,7 +363,7 @@ def object_shifts(spark: SparkSession, sf: str) -> DataFrame:
 BLEND = """e AS (SELECT event_id, (event_id % 11 - 5) / 400.0::DOUBLE AS gl, (event_id % 7 - 3) / 400.0::DOUBLE AS go, (event_id % 10) / 10.0::DOUBLE AS gq, value / 30000 - 0.006 AS ll, value / 40000 - 0.006 AS lo, (event_id % 13) / 12.0::DOUBLE AS lq FROM events)"""
 
 
-@query(f"""WITH {BLEND} SELECT event_id, CASE k WHEN 1 THEN gl WHEN 2 THEN ll ELSE round_even((ll * lq + gl * gq * 0.6) / (lq + gq * 0.6), 4) END AS delta_lat, CASE k WHEN 1 THEN go WHEN 2 THEN lo ELSE round_even((lo * lq + go * gq * 0.6) / (lq + gq * 0.6), 4) END AS delta_lon, CASE k WHEN 1 THEN gq WHEN 2 THEN lq ELSE round_even(least(1.0, greatest(lq, gq)), 3) END AS quality, CASE k WHEN 1 THEN 'scene' WHEN 2 THEN 'local' ELSE 'blended:scene+local' END AS source
+@query(f"""WITH {BLEND} SELECT event_id, CASE k WHEN 1 THEN gl WHEN 2 THEN ll ELSE round_even((ll * lq + gl * gq * 0.6) / (lq + gq * 0.6), 4) + 0.0 END AS delta_lat, CASE k WHEN 1 THEN go WHEN 2 THEN lo ELSE round_even((lo * lq + go * gq * 0.6) / (lq + gq * 0.6), 4) + 0.0 END AS delta_lon, CASE k WHEN 1 THEN gq WHEN 2 THEN lq ELSE round_even(least(1.0, greatest(lq, gq)), 3) END AS quality, CASE k WHEN 1 THEN 'scene' WHEN 2 THEN 'local' ELSE 'blended:scene+local' END AS source
 FROM (SELECT *, CASE WHEN lq <= 0 THEN 1 WHEN gq <= 0 THEN 2 WHEN lq < 0.6 OR (gq >= 0.35 AND sqrt(pow(ll - gl, 2) + pow(lo - go, 2)) > 0.03) THEN 1 ELSE 3 END AS k FROM e)""")
 def blended_shifts(spark: SparkSession, sf: str) -> DataFrame:
     k, v = F.col("event_id"), F.col("value")
