@@ -4,16 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_STATE: list[tuple[tuple, object]] = []
+
+
+def worker_state(key: tuple, make: Callable[[], T]) -> T:
+    """What make() gives, kept by this worker process until something else is asked for: one operator's at a time."""
+    if not _STATE or _STATE[0][0] != key:
+        _STATE.clear()
+        _STATE.append((key, make()))
+    return _STATE[0][1]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_state
+
 #: Symbols in a chunk, and characters in a block of texts.
 CHUNK = 128
 BLOCK_CHARS = 1 << 18
@@ -209,15 +211,8 @@ class Transducer:
         return self.token[taken], self.change[taken]
 
 
-_COMPILED: dict[int, Transducer] = {}
-
-
 def transducer(model_json: str) -> Transducer:
-    key = hash(model_json)
-    if key not in _COMPILED:
-        _COMPILED.clear()
-        _COMPILED[key] = Transducer(model_json)
-    return _COMPILED[key]
+    return worker_state(("transducer", hash(model_json)), lambda: Transducer(model_json))
 
 
 def normalise(text: str) -> str:

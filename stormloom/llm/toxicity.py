@@ -9,6 +9,7 @@ at the time; of other documents, the highest-scoring windows of those that score
 from __future__ import annotations
 
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import worker_state
 from .tokens import slices
 
 #: Words in a window, and from one window to the next.
@@ -396,12 +398,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = N
     spark = docs.sparkSession
     docs = docs.drop("score", "predicted")
     model = train(*labelled_sample(docs, labels, F.lit(True) if usable is None else usable, id_col, text_col, label_col, train_rows), steps=steps)
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = worker_state(("toxicity", name), lambda: Scorer(shared.value))
         for batch in batches:
             scores = [scorer.scores(texts) for _, texts in slices(batch.column(at))]
             score = np.concatenate(scores) if scores else np.zeros(0)
