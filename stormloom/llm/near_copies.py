@@ -1,0 +1,199 @@
+"""Near copies by word shingles: texts link whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates are texts that agree in all MinHash values of some band; each link is verified on the whole shingle sets.
+Buckets of a band with few texts give all their pairs. Fuller ones first give the pairs with some leaders; once those
+links are made components, every pair that is in two components still is compared where the bucket is. So a large group
+of copies takes few comparisons, and no pair of a bucket goes untested unless other links join it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import shared_table, shuffle_partitions, worker_state
+from .simhash import components, keep_least
+
+SEED = 42
+WORDS = 5
+#: Percentage of Jaccard similarity from which texts link.
+SIMILARITY = 80
+#: A pair at 0.8 is in no common bucket with a probability of (1 - 0.8 ** BAND_ROWS) ** BANDS, 3 in 100,000.
+BANDS, BAND_ROWS = 20, 4
+#: Texts of one bucket up to which all pairs are candidates at once; pairs with so many leaders beyond.
+DIRECT_ROWS = 32
+LEADERS = 3
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _RNG.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the runs of so many words; of a shorter text, of all its words. No words: none."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = (np.cumsum([len(w) + 1 for w in found]) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(words, len(found)) - 1 :], strict=False)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each band."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.min([(hashes[at : at + 4096] * _FACTORS + _TERMS).min(axis=1) for at in range(0, len(hashes), 4096)], axis=0)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp: what stands for the set, n: its size, shingles: their bytes, bands) of every row."""
+    columns = (("fp", T.LongType()), ("n", T.LongType()), ("shingles", T.BinaryType()), ("bands", T.ArrayType(T.LongType())))
+    schema = T.StructType([docs.schema[id_col], *[T.StructField(n, t) for n, t in columns]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("near_copies",), lambda: None)  # another operator's state goes
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = [shingles(t.as_py()) for t in batch.column(1)]
+                bands = [band_keys(s).view(np.int64) for s in sets]
+                fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                lists = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), *lists], names=[f.name for f in schema.fields])
+
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket, from rows that come sorted by bucket."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = rows if rest is None else [np.concatenate([x, y]) for x, y in zip(rest, rows, strict=True)]
+        cuts = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+        at = 0
+        for end in cuts:
+            if end - at > 1:
+                yield [x[at:end] for x in rows]
+            at = end
+        rest = [x[at:] for x in rows]
+    if rest is not None and len(rest[0]) > 1:
+        yield rest
+
+
+def _alike(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of such sizes can be similar enough."""
+    return 100 * np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)
+
+
+def _out(columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns], names=names)
+
+
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bucket, fp, n): pairs (a, b) with null bucket, and the members (bucket, a, n) of buckets with more."""
+    names = ["bucket", "a", "b", "n"]
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    held = 0
+    for bucket, fp, n in _buckets(batches):
+        full = len(fp) > DIRECT_ROWS
+        i, j = np.triu_indices(len(fp), 1) if not full else (np.repeat(np.arange(LEADERS), len(fp)), np.tile(np.arange(len(fp)), LEADERS))
+        keep = (fp[i] != fp[j]) & _alike(n[i], n[j])
+        i, j = i[keep], j[keep]
+        rows = [np.zeros(len(i), np.int64), np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j]), np.zeros(len(i), np.int64)]
+        if full:
+            rows = [np.concatenate(x) for x in zip(rows, [bucket, fp, fp, n], strict=True)]
+        for c, x in zip(found, rows, strict=True):
+            c.append(x)
+        held += len(rows[0]) + 1
+        if held > 20_000:
+            yield _out(found, names)
+            found, held = [[], [], [], []], 0
+    yield _out(found, names)
+
+
+def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bucket, fp, root, shingles): the verified links (a, b) of a bucket between different components."""
+    worker_state(("near_copies",), lambda: None)
+    for _, fp, root, packed in _buckets(batches):
+        sets = [np.frombuffer(x, np.uint64) for x in packed]
+        size = np.array([len(x) for x in sets])
+        cuts = np.cumsum(size) - size
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        names, count = np.unique(root, return_counts=True)
+        for i in np.flatnonzero(root != names[count.argmax()]):  # its pairs with the largest component and among the rest
+            has = np.zeros(len(values), np.int64)
+            has[code[cuts[i] : cuts[i] + size[i]]] = 1
+            common = np.add.reduceat(has[code], cuts)
+            j = np.flatnonzero((root != root[i]) & (100 * common >= SIMILARITY * (size + size[i] - common)))
+            if len(j):
+                yield _out([[np.minimum(fp[i], fp[j])], [np.maximum(fp[i], fp[j])]], ["a", "b"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, s: the shingles) from their bytes."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "s"])
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that are similar enough by their whole sets."""
+    pairs = shared_table(pairs.distinct(), "near-pairs")
+    needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    sets = sketches.join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("s"))
+    sets = shared_table(sets.mapInArrow(_unpacked, "fp long, s array<long>"), "near-sets")
+    left, right = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    similar = both.filter(100 * common >= SIMILARITY * (F.size("s_a") + F.size("s_b") - common))
+    return shared_table(similar.select("a", "b"), "near-links")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: its id, component_id (the smallest id reachable over links).
+
+    Letters A-Z count as lower case. Texts without words, null ones too, are copies of each other. Null ids take part
+    but are never the smallest, so a component of null ids only has a null component_id. Other columns aren't read.
+    """
+    spark = docs.sparkSession
+    sketches = shared_table(_sketches(docs, id_col, text_col), "near-sketches")
+    nodes = shared_table(sketches.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+    rows = nodes.select(F.explode("bands").alias("bucket"), "fp", "n")
+    rows = rows.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", F.xxhash64("bucket", "fp"))
+    found = shared_table(rows.mapInArrow(_first, "bucket long, a long, b long, n long"), "near-candidates")
+    links = _verified(found.filter("a <> b").select("a", "b"), sketches)
+    members = found.filter("a = b").select("bucket", F.col("a").alias("fp"), "n")
+    if members.limit(1).count():
+        roots = shared_table(components(links), "near-roots")
+        members = members.join(roots, members["fp"] == roots["node"], "left").select("bucket", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        members = shared_table(members, "near-members")
+        open_ = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
+        rest = members.join(open_, "bucket", "left_semi").select("bucket", "fp", "root")
+        packed = sketches.join(rest.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+        rest = rest.join(packed, "fp").select("bucket", "fp", "root", "shingles")
+        rest = rest.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
+        links = links.unionByName(shared_table(rest.mapInArrow(_second, "a long, b long"), "near-rest").distinct())
+    roots = components(links)
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = shared_table(rooted.join(ids, "root").select("fp", "component_id"), "near-classes")
+    return sketches.select(f"`{id_col}`", "fp").join(classes, "fp").select(f"`{id_col}`", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest id, once. If some component has
+    null ids only, all rows of null id stay."""
+    return keep_least(docs, near_copies(docs, id_col, text_col), id_col)

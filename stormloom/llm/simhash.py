@@ -262,7 +262,11 @@ def hex_digits(fp: Column) -> Column:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest id, once. Rows of null id are kept only
     where a component has no other id, all of them."""
-    of = near_duplicates(docs, id_col, text_col, **how)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
+
+
+def keep_least(docs: DataFrame, of: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is the component_id that `of` has for it, once; those of null id where both are null."""
     stay = of.filter(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("__stay"))
     counted = shared_table(stay.groupBy("__stay").agg(F.count(F.lit(1)).alias("n")), "near-stay")
     # by shuffle at every size: the ids that stay grow with the documents
