@@ -204,3 +204,13 @@ def test_near_duplicates(docs, no_docs):
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [*set(least.values()), *(i for i, _, c in want if c is None)]))
+
+
+def test_quality_production_limits(spark):
+    """100 documents of a host: a line in 101 is flagged and depletes its documents; in 100 of another host it isn't."""
+    shared = " ".join(f"legal{k}" for k in range(80))
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    rows = [(i, f"{shared}\n{own(i)}", "big") for i in range(101)] + [(200 + i, f"{shared}\n{own(i)}", "small") for i in range(100)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.n_frequent_words, r.base_failed, r.kept) for r in got if r.doc_id < 200} == {(80, False, False)}
+    assert {(r.n_frequent_words, r.base_failed, r.kept) for r in got if r.doc_id >= 200} == {(0, False, True)}
