@@ -6,9 +6,9 @@ word so far can still depend on, and each transition carries the change in the n
 there. States and transitions are compiled from the vocabulary when a text first needs them.
 
 Texts run in chunks, all chunks of a block one symbol at a time side by side. A chunk's state map, from the state it
-is entered with to the state it is left with, becomes constant soon, as paths from different states meet. The maps
-compose by a parallel prefix scan: every chunk starts from a guess, then those whose guess differs from the state that
-the chunk before is left with run again, side by side, until they meet the path they took before.
+is entered with to the state it is left with, becomes constant soon, as paths from different states meet. No maps are
+built: every chunk starts from a guess, then those whose guess differs from the state that the chunk before is left with
+run again, side by side, until they meet the path they took before. At worst that takes a round per chunk.
 """
 
 from __future__ import annotations
