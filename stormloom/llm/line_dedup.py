@@ -22,13 +22,14 @@ def _identity(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def frequent_lines(docs: DataFrame, host_col: str, text_col: str, limit: Callable[[Column], Column], normalise: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+def frequent_lines(docs: DataFrame, host_col: str, text_col: str, limit: Callable[[Column], Column], normalise: Callable[[Column], Column] = lambda x: x, floor: float = 0) -> DataFrame:
     """(host, line) of the lines that more of their host's pages have than limit(the host's number of pages). A page
-    counts once for each line, however often it has it; lines of white space only are left out."""
+    counts once for each line, however often it has it; lines of white space only are left out. No
+    limit is below floor."""
     pages = docs.select(F.col(f"`{host_col}`").alias("host"), F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines"))
     worded = F.filter("lines", lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.transform(worded, normalise), _identity))).alias("line"))
-    with_line = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    with_line = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor)
     totals = docs.groupBy(F.col(f"`{host_col}`").alias("t_host")).agg(F.count(F.lit(1)).alias("pages"))
     return with_line.join(totals, F.col("host").eqNullSafe(F.col("t_host"))).filter(F.col("n") > limit(F.col("pages"))).select("host", "line")
 
@@ -65,7 +66,7 @@ def site_line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "
     def limit(pages: Column) -> Column:
         return F.greatest(ratio * pages, F.lit(min_pages - 1))
 
-    bad = shared_table(frequent_lines(docs, host_col, text_col, limit), "boilerplate")
+    bad = shared_table(frequent_lines(docs, host_col, text_col, limit, floor=min_pages - 1), "boilerplate")
     marked = with_frequent(docs, bad, host_col, text_col, broadcast_lines=broadcast_lines)
     kept = F.transform(F.filter("__lines", lambda x: ~x["frequent"]), lambda x: x["line"])
     columns = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.when(text.isNotNull(), F.array_join(kept, "\n"))}

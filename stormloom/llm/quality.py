@@ -64,7 +64,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def limit(pages: Column) -> Column:
         return F.greatest(F.lit(float(max_docs)), max_share * pages)
 
-    bad = shared_table(frequent_lines(docs, "source", "text", limit, normalise_line), "frequent-lines")
+    bad = shared_table(frequent_lines(docs, "source", "text", limit, normalise_line, max_docs), "frequent-lines")
     marked = with_frequent(docs, bad, "source", "text", normalise_line, broadcast_lines)
     gone = F.transform(F.filter("__lines", lambda x: x["frequent"]), lambda x: x["line"])
     frequent = F.coalesce(F.regexp_count(F.array_join(gone, "\n"), F.lit(WORD)), F.lit(0)).cast("long")

@@ -214,3 +214,10 @@ def test_quality_production_limits(spark):
     got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert {(r.n_frequent_words, r.base_failed, r.kept) for r in got if r.doc_id < 200} == {(80, False, False)}
     assert {(r.n_frequent_words, r.base_failed, r.kept) for r in got if r.doc_id >= 200} == {(0, False, True)}
+
+
+def test_lines_on_one_page(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "h"), (2, "a", "h")], "doc_id long, text string, source string")
+    got = line_dedup.site_line_dedup(docs, ratio=0.1, min_pages=1).collect()
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == [(1, "", 2), (2, "", 1)]
+    assert {r.doc_id: r.n_frequent_words for r in quality.quality_rules(docs, max_docs=0).collect()} == {1: 2, 2: 1}
