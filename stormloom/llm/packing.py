@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_table, shuffle_partitions
-from .tokens import encode, slices, transducer
+from .tokens import encode, load_model, slices, transducer
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, int]]:
@@ -83,8 +83,7 @@ def layout(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np.
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document's ids with end_id after them, cut at capacity."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    model = docs.sparkSession.sparkContext.broadcast(load_model(tokenizer_path))
     schema = T.StructType([docs.schema[id_col], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

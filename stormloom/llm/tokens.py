@@ -5,10 +5,15 @@ then reads the words' bytes, the last byte of a word being a symbol of its own.
 word so far can still depend on, and each transition carries the change in the number of tokens and the token that ends
 there. States and transitions are compiled from the vocabulary when a text first needs them.
 
-Texts run in chunks, all chunks of a block one symbol at a time side by side. A chunk's state map, from the state it
-is entered with to the state it is left with, becomes constant soon, as paths from different states meet. No maps are
-built: every chunk starts from a guess, then those whose guess differs from the state that the chunk before is left with
-run again, side by side, until they meet the path they took before. At worst that takes a round per chunk.
+Texts run in chunks, all chunks of a block one symbol at a time side by side. A chunk's state map takes the state that it
+is entered with to the state that it is left with. It is tabulated for the states that the chunk before can be left with:
+first every chunk runs from a word's start, then from each state new to it that a chunk before it in the same word ends in
+(1, 2, 4, ... chunks before, round by round), until the tables are closed. Paths from different states soon meet, so tables
+have one or two rows, and no more than a long word has phases. The maps then compose by a parallel prefix scan, doubling the span of the composed maps in each round, which gives
+the state that each chunk is entered with.
+
+Normal forms, lower case and the classes of characters are the library's own: its normaliser runs on every text with a
+character outside a set for which Python's tables are shown to agree, its regular expressions give the classes.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import worker_state
 
@@ -44,27 +50,59 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-_CLASSES: list[np.ndarray] = []
+def class_runs() -> list[tuple[int, int, int]]:
+    """(class, first code point, the one after the last) by the library's regular expressions; the others are OTHER."""
+    points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
+    every, out = points.tobytes().decode("utf-32-le"), []
+    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            out.append((kind, int(points[a]), int(points[b - 1]) + 1))
+    return out
+
+
+def plain_characters() -> list[tuple[int, int]]:
+    """Ranges of code points of which a text is in normal form as it stands, and whose lower case Python has like the
+    library: no marks, no jamo, nothing that Python's tables lack or that either of them changes by itself."""
+
+    def plain(c: int) -> bool:
+        x = chr(c)
+        kind = unicodedata.category(x)
+        if kind[0] == "M" or kind in ("Cn", "Co", "Cs") or unicodedata.combining(x) or 0x1100 <= c < 0x1200 or 0xA960 <= c < 0xA980 or 0xD7B0 <= c < 0xD800:
+            return False
+        return unicodedata.normalize("NFC", x) == x == nfc.normalize_str(x) and low.normalize_str(x) == x.lower()
+
+    nfc, low = normalizers.NFC(), normalizers.Lowercase()
+    flags = np.array([False, *(plain(c) for c in range(0x10000)), False])
+    edges = np.flatnonzero(flags[1:] != flags[:-1])
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
 
+def load_model(path: str) -> tuple[str, list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """What a worker needs to build a transducer: the vocabulary file's text, the classes and the plain characters."""
+    with open(path, encoding="utf-8") as f:
+        return f.read(), class_runs(), plain_characters()
 
-def character_classes() -> np.ndarray:
-    """The class of each code point."""
-    if not _CLASSES:
-        kinds = {"L": LETTER, "N": DIGIT, "Z": SPACE}
-        table = np.frombuffer(bytes(kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8).copy()
-        table[[*range(9, 14), 0x85]] = SPACE
-        _CLASSES.append(table)
-    return _CLASSES[0]
+
+#: How the vocabulary normalises and splits. Others are refused.
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Transducer:
     """Lazily compiled; one per worker process and vocabulary."""
 
-    def __init__(self, model_json: str):
+    def __init__(self, model_json: str, classes: list[tuple[int, int, int]], plain: list[tuple[int, int]]):
         spec = json.loads(model_json)
-        model = spec["model"]
+        model, form = spec["model"], spec.get("normalizer") or {}
         if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
             raise ValueError("a byte-level BPE vocabulary with word ends is needed")
+        if [n["type"] for n in form.get("normalizers", [])] != NORMALISERS or spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": WORD_PATTERN}:
+            raise ValueError("a vocabulary that normalises and splits otherwise")
+        self.kinds = np.full(0x110000, OTHER, np.uint8)
+        for kind, a, b in classes:
+            self.kinds[a:b] = kind
+        self.odd = re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b - 1))}" for a, b in plain) + "]")
+        self.normaliser = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         chars = byte_characters()
@@ -191,42 +229,79 @@ class Transducer:
         for t in range(chunk):
             taken[t] = self.step(state, columns[t], flat[t])
             state = self.next.take(taken[t])
-        left, entered = state, np.zeros(lanes, np.int32)
+        # rows of the tables: chunk << 32 | state entered with, state left with, transitions taken
+        keys, left, paths = [np.arange(lanes, dtype=np.int64) << 32], [state], [taken]
+        known = keys[0]
+        ended = np.where((flat >= 256).any(0), np.arange(lanes), lanes - 1)
+        ended = np.append(np.minimum.accumulate(ended[::-1])[::-1], -1)  # the first chunk from each on with a word's end
+        reach = 1  # chunks that a new state is asked of: after a round, twice as many of the same word
         while True:
-            before = np.concatenate([[0], left[:-1]]).astype(np.int32)
-            if not len(again := np.flatnonzero(before != entered)):
+            after = (keys[-1] >> 32) + 1
+            asked = np.concatenate([(after + k << 32 | left[-1])[after + k <= ended[after]] for k in range(reach)])
+            asked = np.setdiff1d(np.unique(asked), known, assume_unique=True)
+            reach *= 2
+            if not len(asked):
                 break
-            entered[again] = before[again]
-            state = before[again]
-            for t in range(chunk):
-                new, old = self.step(state, columns[t, again], flat[t, again]), taken[t, again]
-                taken[t, again] = new
+            lane, state = asked >> 32, (asked & 0xFFFFFFFF).astype(np.int32)
+            path, end, open_ = taken[:, lane], left[0][lane], np.arange(len(asked))
+            for t in range(chunk):  # until the path is that of the run from a word's start
+                at = lane[open_]
+                new = self.step(state, columns[t, at], flat[t, at])
+                path[t, open_] = new
                 state = self.next[new]
-                apart = state != self.next[old]
-                again, state = again[apart], state[apart]
-                if not len(again):
+                apart = state != self.next[taken[t, at]]
+                open_, state = open_[apart], state[apart]
+                if not len(open_):
                     break
-            left[again] = state
-        taken = taken.T.reshape(-1)[:m]
+            end[open_] = state
+            keys.append(asked)
+            left.append(end)
+            paths.append(path)
+            known = np.union1d(known, asked)
+        key, end, path = np.concatenate(keys), np.concatenate(left), np.concatenate(paths, axis=1)
+        entered = compose(key, end, lanes)
+        taken = path[:, entered].T.reshape(-1)[:m]
         return self.token[taken], self.change[taken]
 
 
-def transducer(model_json: str) -> Transducer:
-    return worker_state(("transducer", hash(model_json)), lambda: Transducer(model_json))
-
-
-def normalise(text: str) -> str:
-    """NFC and lower case, each character by itself."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
-
-
-def word_symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def compose(key: np.ndarray, left: np.ndarray, lanes: int) -> np.ndarray:
+    """The row of each chunk that a run from the first row of chunk 0 takes. Rows are the chunks' maps (chunk << 32 |
+    entered, left), closed under each other; spans of maps are composed to twice their length in each round."""
+    if not lanes:
+        return np.zeros(0, np.int64)
+    order = np.argsort(key)
+    after = ((key >> 32) + 1 << 32) | left
+    step = np.append(order[np.minimum(np.searchsorted(key, after, sorter=order), len(key) - 1)], len(key))
+    step[:-1][key >> 32 == lanes - 1] = len(key)  # the end of the text, which stays where it is
+    at = np.zeros(lanes, np.int64)
+    done = 1
+    while done < lanes:
+        n = min(done, lanes - done)
+        at[done : done + n] = step[at[:n]]
+        step = step[step]
+        done *= 2
+    return at
+
+
+def transducer(model: tuple) -> Transducer:
+    return worker_state(("transducer", hash(model[0])), lambda: Transducer(*model))
+
+
+def normalise(machine: Transducer, text: str) -> str:
+    """Normal form C, white space, lower case, as the library has them. (White space of a plain text stays, as it is no
+    part of a word either way.)"""
+    if text.isascii():
+        return text.lower()
+    if machine.odd.search(text):
+        return machine.normaliser.normalize_str(text)
+    return text.replace("Σ", "σ").lower()
+
+
+def word_symbols(machine: Transducer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all words of all texts; end of each text in them) for normalised texts."""
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = character_classes()[points]
+    kind = machine.kinds[points]
     same = np.zeros(len(kind), bool)
     same[1:] = (kind[1:] == kind[:-1]) & (kind[1:] != DIGIT)
     start = ~same & (kind != SPACE)
@@ -272,16 +347,17 @@ def pieces(text: str, specials: re.Pattern) -> Iterator[str]:
         yield part[at:]
 
 
-def blocks(texts: Iterator[str], specials: re.Pattern) -> Iterator[tuple[list[str], list[int], list[str]]]:
+def blocks(machine: Transducer, texts: list[str]) -> Iterator[tuple[list[str], list[int], list[str]]]:
     """(parts, the text of each part, the special string after each part) of about BLOCK_CHARS characters together."""
     parts: list[str] = []
     owners: list[int] = []
     after: list[str] = []
     size = 0
+    specials = special_pattern(machine)
     for i, text in enumerate(texts):
         row = list(pieces(text, specials))
         for k in range(0, len(row), 2):
-            parts.append(normalise(row[k]))
+            parts.append(normalise(machine, row[k]))
             owners.append(i)
             after.append(row[k + 1] if k + 1 < len(row) else "")
             size += len(parts[-1]) + 1
@@ -309,8 +385,8 @@ def slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 def count(machine: Transducer, texts: list[str]) -> np.ndarray:
     """Number of tokens of each text."""
     out = np.zeros(len(texts), np.int64)
-    for parts, owners, after in blocks(iter(texts), special_pattern(machine)):
-        symbols, ends = word_symbols(parts)
+    for parts, owners, after in blocks(machine, texts):
+        symbols, ends = word_symbols(machine, parts)
         totals = np.concatenate([[0], np.cumsum(machine.run(symbols)[1], dtype=np.int64)])[ends]
         np.add.at(out, owners, np.diff(totals, prepend=0) + np.array([bool(a) for a in after]))
     return out
@@ -319,8 +395,8 @@ def count(machine: Transducer, texts: list[str]) -> np.ndarray:
 def encode(machine: Transducer, texts: list[str]) -> list[np.ndarray]:
     """The ids of each text's tokens."""
     rows: list[list[np.ndarray]] = [[] for _ in texts]
-    for parts, owners, after in blocks(iter(texts), special_pattern(machine)):
-        symbols, ends = word_symbols(parts)
+    for parts, owners, after in blocks(machine, texts):
+        symbols, ends = word_symbols(machine, parts)
         token, _ = machine.run(symbols)
         used = np.zeros(len(symbols), bool)
         at = np.flatnonzero(symbols >= 256)  # from each word's end back to its start
@@ -346,12 +422,11 @@ def encode(machine: Transducer, texts: list[str]) -> list[np.ndarray]:
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, n_bytes, n_tokens (long), over_limit (n_tokens > limit).
 
-    The vocabulary is read on the driver and broadcast (a file of a few MB). A null text counts as empty, with no
+    The vocabulary is read on the driver and broadcast (a file of a few MB, and some thousand ranges of characters). A null text counts as empty, with no
     tokens. Special strings inside a text are one token each. A text of any length is read in blocks. Equal rows give
     equal rows; other columns aren't read. No rows in: no rows out.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+    model = docs.sparkSession.sparkContext.broadcast(load_model(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model.value)

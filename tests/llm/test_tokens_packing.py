@@ -16,8 +16,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def machine():
-    with open(PATH, encoding="utf-8") as f:
-        return tokens.transducer(f.read())
+    return tokens.transducer(tokens.load_model(PATH))
 
 
 @pytest.fixture(scope="module")
@@ -41,12 +40,61 @@ def test_ids_are_the_library_s(machine, library):
 
 @pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
 def test_chunks_compose(machine, chunk):
-    symbols, _ = tokens.word_symbols([tokens.normalise(t) for t in texts()])
+    symbols, _ = tokens.word_symbols(machine, [tokens.normalise(machine, t) for t in texts()])
     token, change = machine.run(symbols)
     other = machine.run(symbols, chunk)
     assert (token == other[0]).all() and (change == other[1]).all()
 
 
+def test_maps_compose_in_few_rounds(machine, library):
+    """Long words without an end inside a chunk: their maps are no constants, and no round per chunk is needed."""
+    rng = random.Random(9)
+    rows = ["a" * 30_000, "ab" * 15_000, "haha" * 5000 + "x" * 5000, "".join(rng.choice("abcdefgh") for _ in range(30_000)), "-" * 20_001]
+    steps, plain = [], machine.step
+
+    def counted(state, column, symbol):
+        steps.append(len(state))
+        return plain(state, column, symbol)
+
+    machine.step = counted
+    try:
+        got = [x.tolist() for x in tokens.encode(machine, rows)]
+    finally:
+        del machine.step
+    assert got == [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    assert len(steps) < 12 * tokens.CHUNK  # 234 chunks each
+
+
+def test_composition_of_maps():
+    rng = np.random.default_rng(3)
+    for lanes in (1, 2, 5, 64, 100):
+        maps = rng.integers(0, 6, (lanes, 6))
+        key = (np.repeat(np.arange(lanes), 6) << 32) | np.tile(np.arange(6), lanes)
+        state, want = 0, []
+        for k in range(lanes):
+            want.append(6 * k + state)
+            state = maps[k, state]
+        assert tokens.compose(key, maps.reshape(-1), lanes).tolist() == want
+
+
+@pytest.mark.parametrize("context", ["a{c}b", ".{c}.", "x{c}'s", "e{c}\u0301", "{c}{c}{c}", "1{c}1"])
+def test_every_kind_of_character(machine, library, context):
+    """All code points but most of the large blocks of ideographs, syllables and private or unassigned characters."""
+    dull = [(0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xE000, 0xF8FF), (0x17000, 0x18CFF), (0x20000, 0x2EE5F), (0x30000, 0x323AF), (0x323B0, 0xDFFFF), (0xE0200, 0x10FFFF)]
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c % 1009 == 0 or not any(a + 2 < c < b - 2 for a, b in dull))]
+    words = [context.replace("{c}", chr(c)) for c in points]
+    rows = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+    want = [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    got = [x.tolist() for x in tokens.encode(machine, rows)]
+    assert [hex(points[50 * k]) for k in range(len(rows)) if got[k] != want[k]] == []
+
+
+def test_random_characters(machine, library):
+    rng = random.Random(4)
+    rows = ["".join(chr(c) for c in (rng.randrange(1, 0x32400) for _ in range(30)) if not 0xD800 <= c < 0xE000) for _ in range(1000)]
+    assert [x.tolist() for x in tokens.encode(machine, rows)] == [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+
+
 def test_forgetting_changes_nothing(machine, library, monkeypatch):
     monkeypatch.setattr(tokens, "MAX_STATES", 10)
     monkeypatch.setattr(tokens, "BLOCK_CHARS", 50)
@@ -63,8 +111,8 @@ def test_count_tokens(docs, no_docs, library):
 
 
 def test_other_vocabularies_are_refused():
-    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
-        tokens.Transducer(f.read())
+    with pytest.raises(ValueError):
+        tokens.transducer(tokens.load_model(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @pytest.mark.parametrize("seed", range(5))
