@@ -147,8 +147,8 @@ def test_gray_index_finds_all_links():
     assert sorted(range(16), key=lambda g: int(simhash.gray_rank(np.array([g], np.uint64))[0])) == [k ^ (k >> 1) for k in range(16)]
     for seed in range(4):
         fps = cloud(seed, 12, 40)
-        index = simhash.GrayIndex(fps)
-        got = {tuple(sorted((int(index.fps[i]), int(index.fps[j])))) for a, b in index.links(3) for i, j in zip(a, b, strict=True)}
+        index = simhash.GrayIndex(fps[:, None])
+        got = {tuple(sorted((int(index.fps[i, 0]), int(index.fps[j, 0])))) for a, b in index.links(3) for i, j in zip(a, b, strict=True)}
         i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
         assert got == {(int(fps[x]), int(fps[y])) for x, y in zip(i, j, strict=True)}
 
