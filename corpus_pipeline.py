@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormloom.llm import line_dedup, mixing, near_copies, packing, toxicity
+from stormloom.llm import line_dedup, mixing, packing, similar, toxicity
 from stormloom.llm.common import read_table, shared_table
 from stormloom.llm.queries import END_ID, SEQUENCE_TOKENS, VOCABULARY
 
@@ -43,7 +43,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that five-word shingles with a similarity of 0.8 or more link, the smallest id stays."""
-    return near_copies.drop_near_copies(docs)
+    return similar.drop_similar_texts(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
