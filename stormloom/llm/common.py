@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import re
 import tempfile
@@ -9,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +27,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 _STATE: list[tuple[tuple, object]] = []
 
 
+def release_memory() -> None:
+    """Give memory that Arrow's and C's allocators hold for later back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_state(key: tuple, make: Callable[[], T]) -> T:
     """What make() gives, kept by this worker process until something else is asked for: one operator's at a time."""
     if not _STATE or _STATE[0][0] != key:
         _STATE.clear()
+        release_memory()
         _STATE.append((key, make()))
     return _STATE[0][1]
 

@@ -122,14 +122,14 @@ class Transducer:
         self.token_bytes = np.zeros(max(text_of) + 1, np.int32)
         for i, (t, _) in text_of.items():
             self.token_bytes[i] = len(t)
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         """Forget all states. State 0 is the start of a word."""
-        self.column = np.full(512, -1, np.int32)
-        self.width, self.n_columns = 64, 0
-        self.table = np.full((256, self.width), -1, np.int32)
+        # a state's transitions by symbol, in parts of 16 symbols: which part, and the parts; part 0 is empty
+        self.part = np.zeros((256, 32), np.int32)
+        self.parts, self.n_parts = np.full((256, 16), -1, np.int32), 1
         self.states: list[tuple] = [(b"", True, (-1,), (0,))]
         self.number = {self.states[0]: 0}
         self.n_transitions = 0
@@ -155,9 +155,11 @@ class Transducer:
 
     def fits(self, before: int, token: int) -> bool:
         """True if the encoding keeps both tokens side by side; before is -1 at a word's start."""
-        if (found := self._fits.get((before, token))) is None:
+        if (found := self._fits.get(before << 20 | token)) is None:
             both = [token] if before < 0 else [before, token]
-            found = self._fits[before, token] = self.merge([s for t in both for s in self.symbols(t)]) == both
+            if len(self._fits) > MAX_STATES:
+                self._fits.clear()
+            found = self._fits[before << 20 | token] = self.merge([s for t in both for s in self.symbols(t)]) == both
         return found
 
     def compile(self, state: int, symbol: int) -> None:
@@ -184,34 +186,32 @@ class Transducer:
             if (target := self.number.get(key)) is None:
                 target = self.number[key] = len(self.states)
                 self.states.append(key)
-                if target >= len(self.table):
-                    self.table = np.vstack([self.table, np.full_like(self.table, -1)])
+                if target >= len(self.part):
+                    self.part = np.vstack([self.part, np.zeros_like(self.part)])
         i = self.n_transitions
         if i >= len(self.next):
             self.next, self.token, self.change = (np.concatenate([a, np.zeros_like(a)]) for a in (self.next, self.token, self.change))
         self.next[i], self.token[i], self.change[i] = target, token, count
-        self.table[state, self.column[symbol]] = i
         self.n_transitions += 1
-
-    def columns_for(self, symbols: np.ndarray) -> np.ndarray:
-        """The table's column for each symbol."""
-        seen = np.flatnonzero(np.bincount(symbols, minlength=512))
-        for s in seen[self.column[seen] < 0]:
-            if self.n_columns == self.width:
-                self.table = np.hstack([self.table, np.full_like(self.table, -1)])
-                self.width *= 2
-            self.column[s] = self.n_columns
-            self.n_columns += 1
-        return self.column[symbols]
-
-    def step(self, state: np.ndarray, column: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if not (part := self.part[state, symbol >> 4]):
+            part = self.part[state, symbol >> 4] = self.n_parts
+            self.n_parts += 1
+            if part >= len(self.parts):
+                self.parts = np.vstack([self.parts, np.full_like(self.parts, -1)])
+        self.parts[part, symbol & 15] = i
+
+    def find(self, state: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Transitions from states by symbols 16 * high + low, -1 where there is none yet."""
+        return self.parts.reshape(-1).take(self.part.reshape(-1).take(state * 32 + high) * 16 + low)
+
+    def step(self, state: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Transitions from states by symbols."""
-        found = self.table.reshape(-1).take(state * self.width + column)
+        found = self.find(state, high, low)
         if found.size and found.min() < 0:
             missing = np.flatnonzero(found < 0)
-            for s, x in {*zip(state[missing].tolist(), symbol[missing].tolist(), strict=True)}:
-                self.compile(s, x)
-            found = self.table.reshape(-1).take(state * self.width + column)
+            for s, h, x in {*zip(state[missing].tolist(), high[missing].tolist(), low[missing].tolist(), strict=True)}:
+                self.compile(s, 16 * h + x)
+            found = self.find(state, high, low)
         return found
 
     def run(self, symbols: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
@@ -222,12 +222,12 @@ class Transducer:
         lanes = -(-m // chunk)
         flat = np.full(lanes * chunk, 256 + 33, np.int16)  # one-byte words fill the last chunk
         flat[:m] = symbols
-        columns = np.ascontiguousarray(self.columns_for(flat).reshape(lanes, chunk).T)
-        flat = np.ascontiguousarray(flat.reshape(lanes, chunk).T)
+        flat = np.ascontiguousarray(flat.reshape(lanes, chunk).T).astype(np.int32)
+        high, low = flat >> 4, flat & 15
         taken = np.empty((chunk, lanes), np.int32)
         state = np.zeros(lanes, np.int32)
         for t in range(chunk):
-            taken[t] = self.step(state, columns[t], flat[t])
+            taken[t] = self.step(state, high[t], low[t])
             state = self.next.take(taken[t])
         # rows of the tables: chunk << 32 | state entered with, state left with, transitions taken
         keys, left, paths = [np.arange(lanes, dtype=np.int64) << 32], [state], [taken]
@@ -246,7 +246,7 @@ class Transducer:
             path, end, open_ = taken[:, lane], left[0][lane], np.arange(len(asked))
             for t in range(chunk):  # until the path is that of the run from a word's start
                 at = lane[open_]
-                new = self.step(state, columns[t, at], flat[t, at])
+                new = self.step(state, high[t, at], low[t, at])
                 path[t, open_] = new
                 state = self.next[new]
                 apart = state != self.next[taken[t, at]]

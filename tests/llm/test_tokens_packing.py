@@ -52,9 +52,9 @@ def test_maps_compose_in_few_rounds(machine, library):
     rows = ["a" * 30_000, "ab" * 15_000, "haha" * 5000 + "x" * 5000, "".join(rng.choice("abcdefgh") for _ in range(30_000)), "-" * 20_001]
     steps, plain = [], machine.step
 
-    def counted(state, column, symbol):
+    def counted(state, high, low):
         steps.append(len(state))
-        return plain(state, column, symbol)
+        return plain(state, high, low)
 
     machine.step = counted
     try:
