@@ -1,9 +1,10 @@
 """Exact deduplication over an extendible-hash index in shared files. DataFrame operations only.
 
-A text's key is a 64-bit hash. The directory maps the first bits of a key to a bucket; a bucket with too many entries
-is split in two by one more bit, and the directory doubles when that bit is a new one. The index is written to the
-shared folder by one owner task for each range of keys. Entries with equal keys form a chain; they are told apart by
-comparing the bytes of the texts, which is what grouping by the text itself does.
+A text's key is a 64-bit hash. The directory maps the first bits of a key to a bucket; a bucket with too many entries is
+split in two by one more bit, and the directory doubles when that bit is a new one. Owner tasks, each for some buckets,
+that is ranges of keys, write the index: for each key a chain of entries, one unless texts collide. Where several rows have
+a key, their texts go to the owner, which tells them apart by their bytes. A row finds its entry through the directory: by
+its bucket, its key and, in a chain, its text's digest.
 """
 
 from __future__ import annotations
@@ -11,16 +12,18 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, shared_table, shuffle_partitions
+from .common import bit_map, lower_ascii, shared_table, shuffle_partitions, with_mark
 
-#: Entries that a bucket should hold; more are allowed where the directory would pass MAX_DEPTH bits.
-CAPACITY = 2048
-MAX_DEPTH = 16
-#: Broadcast the keys that occur more than once up to so many (8 bytes each); beyond that, all texts are grouped.
-BROADCAST_KEYS = 1_000_000
+#: Entries of a bucket, beyond which it is split; more are allowed where the directory would pass MAX_DEPTH bits, which
+#: needs some 10 ** 10 keys. The directory, 2 ** MAX_DEPTH rows of 16 bytes at most, is broadcast.
+CAPACITY = 16_384
+MAX_DEPTH = 20
+#: Rows of a text, at most, that its bucket's owner compares, however many copies it has.
+SALTS = 16
 
 
 def split_buckets(histogram: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int]]:
@@ -43,57 +46,63 @@ def split_buckets(histogram: dict[int, int], depth: int, capacity: int) -> list[
 
 
 def build_directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int, int]:
-    """(rows of `prefix`, `bucket`, `local_depth`; global depth; number of buckets) for the column `key` of keys.
+    """(rows of `prefix` and `bucket`, numbered by prefix; global depth; number of buckets) for the column `key` of keys.
 
     The driver holds counts of at most 2 ** max_depth prefixes, whatever the input's size."""
-    spark = keys.sparkSession
     n = keys.count()
     depth = min(max_depth, max(0, math.ceil(math.log2(max(n, 1) / capacity)) + 3))
     capacity = max(capacity, math.ceil(4 * n / 2**max_depth))
-    prefix = (F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0)).cast("long")
-    histogram = {r[0]: r[1] for r in keys.groupBy(prefix.alias("p")).count().collect()}
-    buckets = split_buckets(histogram, depth, capacity)
+    counted = keys.groupBy(first_bits("key", depth).alias("p")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    buckets = split_buckets(dict(zip(*(c.to_pylist() for c in counted.columns), strict=True)), depth, capacity)
     top = max(d for _, d in buckets)
-    rows = [(q, b, d) for b, (p, d) in enumerate(sorted(buckets, key=lambda x: x[0] << (top - x[1]))) for q in range(p << (top - d), (p + 1) << (top - d))]
-    return spark.createDataFrame(rows, "prefix long, bucket int, local_depth int"), top, len(buckets)
+    slots = [(q, b) for b, (p, d) in enumerate(sorted(buckets, key=lambda x: x[0] << (top - x[1]))) for q in range(p << (top - d), (p + 1) << (top - d))]
+    table = pa.table([pa.array([q for q, _ in slots], pa.int64()), pa.array([b for _, b in slots], pa.int32())], names=["prefix", "bucket"])
+    return keys.sparkSession.createDataFrame(table), top, len(buckets)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = lower_ascii, hash_of: Callable[[Column], Column] = F.xxhash64, capacity: int = CAPACITY, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """One row per row of docs: its columns, keep_id, group_size (long), kept (boolean), text_sha256 (of the normalised text).
+def first_bits(key: str, depth: int) -> Column:
+    return (F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0)).cast("long")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = lower_ascii, hash_of: Callable[[Column], Column] = F.xxhash64, capacity: int = CAPACITY, carried: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: its id, the columns `carried` (default: all), keep_id, group_size (long), kept (boolean),
+    text_sha256 (of the normalised text).
 
     A null text counts as empty. Of equal texts the largest id stays; a null id is less than all others and stays only
     where a group has no other. Rows alike in id and text count in group_size and are all kept or all dropped. Input
     columns named like an output are replaced. No rows in: no rows out.
     """
     outputs = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*[c for c in outputs if c not in (id_col, text_col)])
+    names = [c for c in docs.columns if c == id_col or (c not in outputs and (carried is None or c in carried))]
     norm = normalise(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    wide = docs.select(F.col(f"`{id_col}`").alias("id"), norm.alias("norm")).withColumn("key", hash_of(F.col("norm")).cast("long"))
+    key, sha = hash_of(norm).cast("long"), F.sha2(norm, 256)
+    rest = F.struct(*[F.col(f"`{c}`") for c in names])
+    rows = shared_table(docs.select(rest.alias("row"), F.col(f"`{id_col}`").alias("id"), key.alias("key"), sha.alias("sha")), "dedup-rows")
 
-    entries = shared_table(wide.select("key", "id").groupBy("key").agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id")), "dedup-keys")
+    entries = shared_table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("last")), "dedup-entries")
     directory, depth, n_buckets = build_directory(entries, capacity)
-    repeated = entries.filter("group_size > 1").select("key")
-    among = wide.join(F.broadcast(repeated), "key", "left_semi") if repeated.count() <= broadcast_keys else wide
-    chains = among.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id"))
-    lengths = shared_table(chains.withColumn("sha", F.sha2("norm", 256)).select("key", "sha", "group_size", "keep_id"), "dedup-chains")
-    collided = lengths.groupBy("key").agg(F.count(F.lit(1)).alias("chain")).filter("chain > 1").select("key")
-    n_collided = collided.count()
-    if n_collided:  # chains of more than one text: every text is found by its bytes
-        plain = lengths.join(collided, "key", "left_anti")
-        chained = among.join(collided, "key", "left_semi").groupBy("key", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id"))
-    else:
-        plain, chained = lengths, None
-    single = entries.filter("group_size = 1").select("key", "group_size", "keep_id")
-    index = plain.filter("group_size > 1").select("key", "group_size", "keep_id").unionByName(single)
-    prefix = (F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0)).cast("long")
     owners = min(n_buckets, 4 * shuffle_partitions(docs.sparkSession))
-    index = shared_table(index.withColumn("prefix", prefix).join(F.broadcast(directory), "prefix").drop("prefix").repartition(owners, "bucket").sortWithinPartitions("bucket", "key"), "dedup-index")
-
-    index = index.select(F.col("key").alias("__key"), F.col("group_size").alias("__size"), F.col("keep_id").alias("__keep"))
-    found = docs.select("*", hash_of(norm).cast("long").alias("__key"), F.sha2(norm, 256).alias("__sha")).join(index, "__key", "left")
-    if chained is not None:
-        chained = shared_table(chained.select(F.col("key").alias("__key"), F.col("norm").alias("__norm"), F.col("group_size").alias("__size2"), F.col("keep_id").alias("__keep2")), "dedup-collided")
-        by_bytes = F.col("__size2").isNotNull()
-        found = found.withColumn("__norm", norm).join(chained, ["__key", "__norm"], "left").withColumns({"__size": F.coalesce("__size2", "__size"), "__keep": F.when(by_bytes, F.col("__keep2")).otherwise(F.col("__keep"))})
-    kept = F.col(f"`{id_col}`").eqNullSafe(F.col("__keep"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__keep").alias("keep_id"), F.col("__size").cast("long").alias("group_size"), kept.alias("kept"), F.col("__sha").alias("text_sha256"))
+
+    def located(df: DataFrame) -> DataFrame:
+        """df with the bucket of its key."""
+        return df.withColumn("prefix", first_bits("key", depth)).join(F.broadcast(directory), "prefix").drop("prefix")
+
+    # the texts of keys that several rows have; a bit map passes them and few others, which do no harm
+    several = with_mark(rows, "key", bit_map(entries.filter("size > 1"), "key")).filter("__marked").select(F.xxhash64("id").alias("at"))
+    texts = with_mark(docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("__at"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`")), "__at", bit_map(several, "at")).filter("__marked")
+    # copies are added up to SALTS rows of a text at most before its bucket's owner gets them
+    copies = texts.select("id", norm.alias("norm"), key.alias("key")).groupBy("key", "norm", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    copies = copies.agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("last")).select("key", "norm", "size", "last", F.lit(False).alias("single"))
+    singles = entries.filter("size = 1").select("key", F.lit(None).cast("string").alias("norm"), "size", "last", F.lit(True).alias("single"))
+
+    owned = located(copies.unionByName(singles)).repartition(owners, "bucket")
+    owned = owned.groupBy("bucket", "key", "norm", "single").agg(F.sum("size").alias("size"), F.max("last").alias("last"))  # by the bytes, where the owner is
+    chain = F.collect_list(F.struct("single", F.sha2("norm", 256).alias("sha"), "size", "last"))
+    index = owned.groupBy("bucket", "key").agg(chain.alias("chain"))
+    index = shared_table(index.sortWithinPartitions("bucket", "key"), "dedup-index").withColumnsRenamed({"bucket": "i_bucket", "key": "i_key"})
+
+    found = located(rows).join(index, (F.col("bucket") == F.col("i_bucket")) & (F.col("key") == F.col("i_key")))
+    own = F.filter("chain", lambda c: c["single"] | (c["sha"] == F.col("sha")))
+    found = found.withColumn("own", F.get(own, F.lit(0))).filter("own IS NOT NULL").withColumns({"e_size": F.col("own.size"), "e_last": F.col("own.last")})
+    kept = F.col("id").eqNullSafe(F.col("e_last"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("e_last").alias("keep_id"), F.col("e_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))

@@ -19,7 +19,7 @@ def ascii_lower(t: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
-@pytest.mark.parametrize("how", [{}, {"capacity": 4}, {"broadcast_keys": 0}, {"hash_of": lambda c: F.length(c) % 7}, {"hash_of": lambda c: F.lit(5), "broadcast_keys": 0}])
+@pytest.mark.parametrize("how", [{}, {"capacity": 4}, {"hash_of": lambda c: F.length(c) % 7}, {"hash_of": lambda c: F.lit(5)}, {"hash_of": lambda c: F.xxhash64(c) % 9, "capacity": 1}])
 def test_exact_dedup(docs, how):
     groups = defaultdict(list)
     for d in docs.collect():
@@ -36,6 +36,26 @@ def test_exact_dedup_of_nothing(no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_exact_dedup_carries_columns(docs):
+    got = exact_dedup.exact_dedup(docs.withColumn("a.b", F.col("lang")))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(str((r.doc_id, r.text, r.source)) for r in got.collect()) == sorted(str((r.doc_id, r.text, r.source)) for r in docs.collect())
+    assert exact_dedup.exact_dedup(docs, carried=[]).columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+
+
+def test_rows_are_found_through_the_directory(docs, monkeypatch):
+    """Rows whose prefix the directory lacks find no entry."""
+    build = exact_dedup.build_directory
+
+    def wrong(keys, *args):
+        directory, depth, n = build(keys, *args)
+        return directory.filter("bucket % 2 = 0"), depth, n
+
+    assert exact_dedup.exact_dedup(docs, capacity=4).count() == docs.count()
+    monkeypatch.setattr(exact_dedup, "build_directory", wrong)
+    assert 0 < exact_dedup.exact_dedup(docs, capacity=4).count() < docs.count()
+
+
 def test_directory_covers_every_key_once():
     histogram = {0: 50, 1: 3, 9: 7, 15: 900}
     buckets = exact_dedup.split_buckets(histogram, 4, 20)
@@ -207,13 +227,16 @@ def test_near_duplicates(docs, no_docs):
 
 
 def test_quality_production_limits(spark):
-    """100 documents of a host: a line in 101 is flagged and depletes its documents; in 100 of another host it isn't."""
+    """A line in more than 1 % of a host's documents and more than 5 is flagged and depletes its documents."""
     shared = " ".join(f"legal{k}" for k in range(80))
-    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
-    rows = [(i, f"{shared}\n{own(i)}", "big") for i in range(101)] + [(200 + i, f"{shared}\n{own(i)}", "small") for i in range(100)]
-    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert {(r.n_frequent_words, r.base_failed, r.kept) for r in got if r.doc_id < 200} == {(80, False, False)}
-    assert {(r.n_frequent_words, r.base_failed, r.kept) for r in got if r.doc_id >= 200} == {(0, False, True)}
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = []
+    for host, pages, have in (("big", 1000, 11), ("big2", 1000, 10), ("small", 20, 6), ("small2", 20, 5)):
+        rows += [(f"{host}{'+' if i < have else '-'}{i}", f"{shared}\n{own(i, 20)}" if i < have else own(i, 60), host) for i in range(pages)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    seen = {(r.doc_id.split("+")[0], r.n_frequent_words, r.base_failed, r.kept) for r in got if "+" in r.doc_id}
+    assert seen == {("big", 80, False, False), ("big2", 0, False, True), ("small", 80, False, False), ("small2", 0, False, True)}
+    assert all(r.kept for r in got if "-" in r.doc_id)
 
 
 def test_lines_on_one_page(spark):
