@@ -139,9 +139,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: object) -> DataFrame:
     """The mix itself: rows of docs, each as often as the mix takes it. Rows alike in id, text and source are
-    interchangeable: together they come as often as all of them are taken."""
-    id_, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
-    tie = F.xxhash64(id_, text, source)
+    interchangeable: together they come as often as all of them are taken. Rows are told apart by 128 bits."""
+    row = [F.col(f"`{c}`") for c in (id_col, text_col, source_col)]
+    tie = F.concat(F.hex(F.xxhash64(*row)), F.lit("-"), F.hex(F.xxhash64(F.lit("row"), *row)))
     taken = mix_sources(docs.withColumn("__tie", tie), id_col="__tie", text_col=text_col, source_col=source_col, **how)
     totals = shared_table(taken.groupBy("__tie").agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows")), "mix-copies")
     rows = docs.withColumn("__tie", tie)

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from .common import WORD, shared_table
 from .line_dedup import BROADCAST_LINES, frequent_lines, with_frequent
 
-#: A line may be in so many documents of its host, or in this share of them if that is more.
-MAX_DOCS, MAX_SHARE = 100, 0.01
+#: A line may be in this share of its host's documents, or in so many if that is more, so that small hosts have a limit.
+MAX_DOCS, MAX_SHARE = 5, 0.01
 #: Percentage of a document's words that must remain.
 MIN_LEFT = 30
 MIN_WORDS, MAX_REPEATED = 50, 50

@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions
+from .common import shared_table, shuffle_partitions
 
 SEED = 20240
 #: Bytes of records that one bucket should hold; a task keeps one bucket in memory.
 BUCKET_BYTES = 64 << 20
 #: At least so many buckets for each shuffle partition, so that partitions are alike.
 BUCKETS_PER_PARTITION = 4
+#: A bucket is too full at so many times the average and so many rows; half of that makes a record a hot one.
+HOT_BUCKETS, HOT_ROWS = 3, 1000
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -40,7 +42,7 @@ def external_shuffle(records: DataFrame, n_shards: int, seed: int = SEED, bucket
 
     size: a column of bytes; by default the strings' lengths plus 8 for every other column. keys: the columns whose
     values name a record (default: all but maps). Nulls in any column are values like others. Rows alike in all keys
-    are interchangeable. Columns of the input named shard or slot are replaced. No rows in: no rows out. The driver
+    are interchangeable; where they fill a bucket they are scattered one by one. Columns of the input named shard or slot are replaced. No rows in: no rows out. The driver
     holds one offset for each bucket, that is 8 bytes for each `bucket_bytes` of input.
     """
     records = records.drop("shard", "slot", "__bucket", "__hash")
@@ -50,9 +52,21 @@ def external_shuffle(records: DataFrame, n_shards: int, seed: int = SEED, bucket
     total = records.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()["b"]
     n_buckets = max(math.ceil(total / bucket_bytes), BUCKETS_PER_PARTITION * shuffle_partitions(records.sparkSession))
     scattered = records.withColumn("__hash", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in keys])).withColumn("__bucket", F.pmod("__hash", F.lit(n_buckets)).cast("int"))
-    counts = np.zeros(n_buckets, np.int64)
-    for row in scattered.groupBy("__bucket").count().toLocalIterator():
-        counts[row[0]] = row[1]
+
+    def counted(df: DataFrame) -> np.ndarray:
+        counts = np.zeros(n_buckets, np.int64)
+        for row in df.groupBy("__bucket").count().toLocalIterator():
+            counts[row[0]] = row[1]
+        return counts
+
+    counts = counted(scattered)
+    full = int(counts.sum()) * HOT_BUCKETS // n_buckets + HOT_ROWS
+    if counts.max(initial=0) > full:  # at most n_buckets / HOT_BUCKETS such keys
+        hot = scattered.groupBy("__hash").count().filter(F.col("count") > full // 2).select(F.col("__hash").alias("__hot"))
+        each = F.pmod(F.xxhash64(F.lit(seed), "__hash", F.monotonically_increasing_id()), F.lit(n_buckets)).cast("int")
+        spread = scattered.join(F.broadcast(hot), F.col("__hash") == F.col("__hot"), "left")
+        scattered = shared_table(spread.withColumn("__bucket", F.when(F.col("__hot").isNull(), F.col("__bucket")).otherwise(each)).drop("__hot"), "scattered")
+        counts = counted(scattered)
     n, offsets = int(counts.sum()), np.concatenate([[0], np.cumsum(counts)])
     names = list(kinds)
     schema = T.StructType([*records.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])

@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import worker_state
+from .common import shared_table, worker_state
 from .tokens import slices
 
 #: Words in a window, and from one window to the next.
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 #: Labelled documents of each class that training uses at most, drawn by a hash of their ids among those of at most
-#: MAX_BYTES; half of the hashes' last tenth calibrates.
+#: MAX_BYTES; two tenths of them calibrate.
 TRAIN_ROWS = 2000
 MAX_BYTES = 40_000
 STEPS, BATCH = 360, 64
@@ -372,21 +372,23 @@ def train(texts: list[str], labels: list[int], rate: float, steps: int = STEPS,
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[list[str], list[int], float]:
     """(texts, labels, share of toxic ones among all usable labels): at most `rows` of each class, drawn by a hash of
-    the id. Labels of null ids or values are left out; of several labels of an id the largest holds."""
+    the id among documents of at most MAX_BYTES. Labels of null ids or values are left out; of several labels of an id the largest holds."""
     known = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull() & usable).groupBy(F.col(f"`{id_col}`").alias("id")).agg((F.max(f"`{label_col}`") > 0).cast("int").alias("y"))
     n, positive = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n:
         return [], [], 0.0
     order = F.xxhash64(F.lit(SEED), "id")
-    drawn = [known.filter(F.col("y") == c).orderBy(order, "id").limit(rows) for c in (0, 1)]
-    ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * rows at most
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    found = docs.filter(F.octet_length(text) <= MAX_BYTES).select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(ids, "id")
+    fitting = docs.filter(F.octet_length(text) <= MAX_BYTES)
+    there = known.join(fitting.select(F.col(f"`{id_col}`").alias("id")), "id", "left_semi")
+    there = shared_table(there, "labelled")
+    drawn = [there.filter(F.col("y") == c).orderBy(order, "id").limit(rows) for c in (0, 1)]
+    ids = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * rows at most
+    found = fitting.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).join(ids, "id")
     found = found.groupBy("id", "y").agg(F.min("text").alias("text")).orderBy(order, "id").collect()
     return [r["text"] for r in found], [r["y"] for r in found], positive / n
 
 
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, steps: int = STEPS) -> DataFrame:
     """docs with `score` (double, 0 to 1) and `predicted` (int, 1 if score >= 0.5).
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stormloom.llm import mixing, queries, sharding
 
@@ -31,6 +32,23 @@ def test_external_shuffle(docs, no_docs):
     assert sharding.external_shuffle(no_docs, 7).count() == 0
 
 
+def test_like_rows_are_spread(spark):
+    """20,000 like rows among 2000 others: no bucket holds more than a few times the average."""
+    one = spark.range(20_000).selectExpr("7L AS doc_id", "'same' AS text")
+    rows = one.unionByName(spark.range(2000).selectExpr("id AS doc_id", "'other' AS text"))
+    shuffled = sharding.external_shuffle(rows, 10)
+    got = shuffled.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in rows.collect())
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(2200)) for s in shards.values()) and len(shards) == 10
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    in_task = shuffled.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in in_task) < 0.6 * 22_000
+
+
 def test_write_shards(spark, docs, tmp_path):
     out = str(tmp_path / "shards")
     sharding.write_shards(sharding.external_shuffle(docs, 3), out)

@@ -50,16 +50,22 @@ def brute_score(counted: list[list[bytes]], url: bytes) -> float:
     return (logs(counted[0]) - logs(counted[1])) / max(len(url), 1)
 
 
-def test_scores_are_those_of_exact_counts():
-    known = [[b"http://a.com/en/12", b"http://a.com/en/13"], [b"http://b.net/es/1", b"http://c.net/fr/9?x"]]
-    counts = np.zeros((2, 2, 1 << urls.BITS))
-    for c in (0, 1):
-        _, contexts, both = urls.positions(known[c])
-        for kind, places in ((0, contexts), (1, both)):
-            counts[c, kind] += np.bincount(places.reshape(-1), minlength=1 << urls.BITS)
-    asked = [b"http://a.com/", b"http://z.net/es/1", b"", "é".encode()]
-    got = urls.score_urls(counts, asked)
-    assert np.allclose(got, [brute_score(known, u) for u in asked], atol=1e-6)
+@pytest.mark.parametrize("frequent", [urls.FREQUENT, 40, 0])
+def test_scores_are_those_of_exact_counts(spark, frequent):
+    """Over all contexts, whether their values are broadcast or joined."""
+    rng = random.Random(3)
+    rows = [*(f"http://a.com/en/{rng.randrange(99)}" for _ in range(25)), *(f"http://b{rng.randrange(9)}.net/es/{'x' * rng.randrange(5)}" for _ in range(25))]
+    rows += ["http://z.org/en/1", "http://z.org/en/1", "http://b.org/" + "es/" * 400, "", None, "é漢", "http://a.com/en/1"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    calibrates = {r.url for r in pages.filter(F.pmod(F.xxhash64(F.lit(urls.SEED), "url"), F.lit(urls.CALIBRATE_1_IN)) == 0).collect()}
+    known: list[list[bytes]] = [[], []]
+    for u in rows:
+        if (v := brute_rule(u)[3]) and u not in calibrates:
+            known[v == "block"].append(u.encode())
+    assert all(known) and calibrates
+    got = {r.page_id: r.score for r in urls.filter_urls(pages, RULES, frequent=frequent).collect()}
+    want = {u: brute_score(known, (u or "").encode()) for u in set(rows)}
+    assert len(got) == len(rows) and np.allclose([got[i] for i in range(len(rows))], [want[u] for u in rows], atol=1e-9)
 
 
 def test_verdicts_generalise(spark):
