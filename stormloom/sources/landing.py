@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame
 
 def landed(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back: it is computed once, its lineage ends there, and it outlives executors. The
-    folder is the session's spark.checkpoint.dir; a new one is made only where that is unset."""
+    folder is the session's spark.checkpoint.dir. Where that is unset, a session within one process makes a new one; a
+    cluster is refused, as its executors would write to their own disks."""
     spark = df.sparkSession
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="stormloom-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
