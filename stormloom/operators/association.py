@@ -3,6 +3,8 @@ matching one scan pair to a task. The tracker's fold does the same on its state.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,13 +108,23 @@ def split_candidates(scores: DataFrame, matches: DataFrame) -> DataFrame:
     return won.filter(F.size("others") > 0).select("pair_id", "track_id", F.concat(F.array("object_id"), "others").alias("object_ids"))
 
 
-def merge_events(candidates: DataFrame) -> DataFrame:
+def _events(candidates: DataFrame, kind: str, text: Callable[[Column, Column], Column]) -> DataFrame:
     """(pair_id, event_type, description, involved_track_ids) of (pair_id, track_id, other_ids); repeats and the track
     itself are taken out of the others, and a row without others is no event."""
     others = F.array_except(F.array_distinct("other_ids"), F.array("track_id"))
     listed = candidates.withColumn("others", others).filter(F.size("others") > 0)
-    text = F.concat(F.lit("Tracks "), F.array_join(F.col("others").cast("array<string>"), ", "), F.lit(" merged into track "), F.col("track_id").cast("string"))
-    return listed.select("pair_id", F.lit("merge").alias("event_type"), text.alias("description"), F.concat(F.array("track_id"), "others").alias("involved_track_ids"))
+    told = text(F.array_join(F.col("others").cast("array<string>"), ", "), F.col("track_id").cast("string"))
+    return listed.select("pair_id", F.lit(kind).alias("event_type"), told.alias("description"), F.concat(F.array("track_id"), "others").alias("involved_track_ids"))
+
+
+def merge_events(candidates: DataFrame) -> DataFrame:
+    """The merges into each track_id of its other_ids, as events."""
+    return _events(candidates, "merge", lambda others, track: F.concat(F.lit("Tracks "), others, F.lit(" merged into track "), track))
+
+
+def split_events(candidates: DataFrame) -> DataFrame:
+    """The splits of each track_id into its other_ids, as events."""
+    return _events(candidates, "split", lambda others, track: F.concat(F.lit("Track "), track, F.lit(" split into tracks "), others))
 
 
 def object_shift(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Rain objects: components of the reflectivity, split where strong cores stand apart, and measured.
 
-Only the labelling of components is a kernel (one task per scan and threshold). The tree of thresholds, the choice of
+Only the labelling of components is a kernel (one task per scan, for all thresholds). The tree of thresholds, the choice of
 cores, the division of gates among them and all measures are joins, windows and aggregates over labelled gates.
 """
 
@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.grid import FOUR
 from ..functions.scalar import INTENSITY, gate_area_km2, intensity_label, interpolated, polar_to_lat_lon
 from ..sources.landing import landed
-from .labels import label_gates
+from .labels import LABEL_ROW, component_labels
 from .quality import echo_gates
 
 THRESHOLDS = [20.0, 30.0, 40.0, 50.0, 60.0]
@@ -33,10 +37,24 @@ class Detection:
 def threshold_labels(gates: DataFrame) -> DataFrame:
     """One row per gate and threshold that it reaches: scan_id, az_idx, rng_idx, dbz, threshold, label, parent_label
     (its component at the threshold below), blob (its component at the lowest)."""
-    levels = echo_gates(gates).select("scan_id", "az_idx", "rng_idx", "dbz", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold")).filter("dbz >= threshold")
-    labelled = label_gates(levels, ["scan_id", "threshold"], diagonal=False)
-    cell = Window.partitionBy("scan_id", "az_idx", "rng_idx").orderBy("threshold")
-    return labelled.withColumns({"parent_label": F.lag("label").over(cell), "blob": F.first("label").over(cell)})
+    out = T.StructType([T.StructField(n, t) for n, t in (("scan_id", T.LongType()), ("az_idx", T.IntegerType()), ("rng_idx", T.IntegerType()), ("dbz", T.DoubleType()), ("threshold", T.DoubleType()), ("label", T.LongType()), ("parent_label", T.LongType()), ("blob", T.LongType()))])
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = table.column("az_idx").to_numpy().astype(np.int64) * LABEL_ROW + table.column("rng_idx").to_numpy()
+        dbz = table.column("dbz").to_numpy()
+        parts, parent, blob = [], None, None
+        for threshold in THRESHOLDS:
+            at = np.flatnonzero(dbz >= threshold)
+            label = np.zeros(len(cell), np.int64)
+            label[at] = component_labels(cell[at], FOUR)
+            blob = label if blob is None else blob
+            above = pa.nulls(len(at), pa.int64()) if parent is None else pa.array(parent[at])
+            part = table.take(pa.array(at)).append_column("threshold", pa.array(np.full(len(at), threshold)))
+            parts.append(part.append_column("label", pa.array(label[at])).append_column("parent_label", above).append_column("blob", pa.array(blob[at])))
+            parent = label
+        return pa.concat_tables(parts)
+
+    return echo_gates(gates).select(F.col("scan_id").cast("long"), F.col("az_idx").cast("int"), F.col("rng_idx").cast("int"), F.col("dbz").cast("double")).groupBy("scan_id").applyInArrow(run, out)
 
 
 def threshold_tree(labels: DataFrame) -> DataFrame:

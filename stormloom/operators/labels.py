@@ -13,6 +13,12 @@ from ..functions.grid import EIGHT, FOUR, components
 LABEL_ROW = 1_000_000
 
 
+def component_labels(cell: np.ndarray, near: list[tuple[int, int]]) -> np.ndarray:
+    """The label of each of the cells, which may repeat."""
+    cells, at = np.unique(cell, return_inverse=True)
+    return cells[components(cells // LABEL_ROW, cells % LABEL_ROW, near)][at] if len(cells) else cell
+
+
 def label_gates(gates: DataFrame, grid: list[str], diagonal: bool, name: str = "label") -> DataFrame:
     """gates (with az_idx, rng_idx) of the grids that the columns `grid` tell apart, with the label of their component.
 
@@ -23,8 +29,6 @@ def label_gates(gates: DataFrame, grid: list[str], diagonal: bool, name: str = "
 
     def run(table: pa.Table) -> pa.Table:
         cell = table.column("az_idx").to_numpy().astype(np.int64) * LABEL_ROW + table.column("rng_idx").to_numpy()
-        cells, at = np.unique(cell, return_inverse=True)
-        first = components(cells // LABEL_ROW, cells % LABEL_ROW, near)
-        return table.append_column(name, pa.array(cells[first][at]))
+        return table.append_column(name, pa.array(component_labels(cell, near)))
 
     return gates.groupBy(*grid).applyInArrow(run, schema)

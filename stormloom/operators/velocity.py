@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,19 +111,37 @@ def merge_regions(regions: DataFrame, labelled: DataFrame) -> DataFrame:
 def shear_gates(sweeps: DataFrame, gates: DataFrame) -> DataFrame:
     """Gates with a neighbour of the other sign: scan_id, sweep_idx, az_idx, rng_idx, shear, inbound, outbound of the
     neighbour of greatest shear, the first in order on a tie. The grid wraps around on both axes; neighbours further
-    than 5 km, at the sweep's mean range, don't count."""
+    than 5 km, at the sweep's mean range, don't count. One task per sweep, on its whole grid."""
     key = ["scan_id", "sweep_idx"]
-    mean = F.aggregate("ranges_m", F.lit(0.0), lambda s, x: s + x) / F.size("ranges_m")
-    axes = sweeps.select(*key, F.size("azimuths").alias("n_az"), F.size("ranges_m").alias("n_rng"), F.radians(spacing("azimuths", 1.0)).alias("d_az"), spacing("ranges_m", 250.0).alias("d_rng"), mean.alias("mean_range"))
     offsets = [(a, r) for a in (-1, 0, 1) for r in (-1, 0, 1) if a or r]
-    near = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(r).alias("r")) for k, (a, r) in enumerate(offsets)]), lambda o: F.sqrt(F.pow(o["a"] * F.col("d_az") * F.col("mean_range"), 2) + F.pow(o["r"] * F.col("d_rng"), 2)) / 1000 <= MAX_COUPLET_KM)
-    valid = gates.filter(~F.isnan("vel")).select(*key, "az_idx", "rng_idx", "vel")
-    asks = valid.join(axes, key).select(*key, "az_idx", "rng_idx", "vel", "n_az", "n_rng", F.explode(near).alias("o"))
-    asks = asks.withColumns({"there_az": F.pmod(F.col("az_idx") - F.col("o.a"), F.col("n_az")), "there_rng": F.pmod(F.col("rng_idx") - F.col("o.r"), F.col("n_rng"))})
-    other = valid.select(*key, F.col("az_idx").alias("there_az"), F.col("rng_idx").alias("there_rng"), F.col("vel").alias("v2"))
-    pairs = asks.join(other, [*key, "there_az", "there_rng"]).filter(((F.col("vel") < 0) != (F.col("v2") < 0)) & (F.abs(F.col("vel") - F.col("v2")) >= MIN_SHEAR))
-    best = F.max_by(F.struct(F.abs(F.col("vel") - F.col("v2")).alias("shear"), F.least("vel", "v2").alias("inbound"), F.greatest("vel", "v2").alias("outbound")), F.struct(F.abs(F.col("vel") - F.col("v2")), -F.col("o.k")))
-    return pairs.groupBy(*key, "az_idx", "rng_idx").agg(best.alias("s")).select(*key, "az_idx", "rng_idx", "s.shear", "s.inbound", "s.outbound")
+    schema = "scan_id long, sweep_idx int, az_idx int, rng_idx int, shear double, inbound double, outbound double"
+
+    def run(head: pa.Table, sweep: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in schema.split(", ")]
+        az, rng, found = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((3, 0))
+        if head.num_rows and sweep.num_rows:
+            azimuths, ranges = head.column("azimuths")[0].as_py(), head.column("ranges_m")[0].as_py()
+            d_az = math.radians(azimuths[1] - azimuths[0] if len(azimuths) > 1 else 1.0)
+            d_rng, mean = ranges[1] - ranges[0] if len(ranges) > 1 else 250.0, sum(ranges) / len(ranges)
+            grid = np.full((len(azimuths), len(ranges)), np.nan)
+            grid[sweep.column("az_idx").to_numpy(), sweep.column("rng_idx").to_numpy()] = sweep.column("vel").to_numpy()
+            best, other = np.zeros_like(grid), np.zeros_like(grid)
+            for a, r in offsets:
+                if math.sqrt((a * d_az * mean) ** 2 + (r * d_rng) ** 2) / 1000 <= MAX_COUPLET_KM:
+                    there = np.roll(grid, (a, r), (0, 1))
+                    shear = np.abs(grid - there)
+                    better = ((grid < 0) != (there < 0)) & (shear >= MIN_SHEAR) & (shear > best)  # false where either is missing
+                    best[better], other[better] = shear[better], there[better]
+            az, rng = np.nonzero(best)
+            here, there = grid[az, rng], other[az, rng]
+            found = np.array([best[az, rng], np.minimum(here, there), np.maximum(here, there)])
+        n = len(az)
+        keys = [pa.array(np.full(n, head.column(k)[0].as_py() if n else 0), t) for k, t in zip(key, (pa.int64(), pa.int32()), strict=True)]
+        return pa.table([*keys, pa.array(az.astype(np.int32)), pa.array(rng.astype(np.int32)), *map(pa.array, found)], names=names)
+
+    heads = sweeps.select(F.col("scan_id").cast("long"), F.col("sweep_idx").cast("int"), "azimuths", "ranges_m")
+    valid = gates.filter(~F.isnan("vel")).select(F.col("scan_id").cast("long"), F.col("sweep_idx").cast("int"), F.col("az_idx").cast("int"), F.col("rng_idx").cast("int"), "vel")
+    return heads.groupBy(*key).cogroup(valid.groupBy(*key)).applyInArrow(run, schema)
 
 
 def sweep_rotations(sweeps: DataFrame, shear: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
-"""What the service's endpoints return, as DataFrames with their schemas. Queries only read; ingesting is apart."""
+"""What the service's endpoints return, as DataFrames with their schemas. Queries only read; ingesting is apart. `at` is
+the endpoints' `datetime` argument."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +19,19 @@ class NotFound(LookupError):
     """No such track: status 404."""
 
 
-def _newest(df: DataFrame, site_id: str) -> DataFrame:
+def parse_datetime(text: str | None) -> datetime | None:
+    """The endpoints' `datetime` argument: ISO 8601, or None. ValueError for anything else."""
+    return None if text is None else datetime.fromisoformat(text)
+
+
+def _newest(df: DataFrame, site_id: str, at: str | None = None) -> DataFrame:
+    """The site's newest scan; or, given a time, that of the same day which is nearest to it, the earlier on a tie."""
     mine = df.filter(F.col("site_id") == site_id.upper())
+    if (asked := parse_datetime(at)) is not None:
+        off = F.abs(F.unix_timestamp("scan_ts") - F.unix_timestamp(F.lit(asked.isoformat(sep=" ")).cast("timestamp")))
+        near = mine.filter(F.to_date("scan_ts") == F.lit(asked.date())).agg(F.min(F.struct(off.alias("off"), "scan_ts", "scan_id")).alias("__n"))
+        near = near.select(F.struct("__n.scan_ts", "__n.scan_id").alias("__n"))
+        return mine.join(F.broadcast(near), F.struct("scan_ts", "scan_id") == F.col("__n")).drop("__n")
     return mine.join(F.broadcast(mine.agg(F.max(F.struct("scan_ts", "scan_id")).alias("__n"))), F.struct("scan_ts", "scan_id") == F.col("__n")).drop("__n")
 
 
@@ -26,23 +40,25 @@ def _iso(c: str) -> F.Column:
 
 
 def get_sites(places: DataFrame) -> DataFrame:
-    return rank_sites(places).select("site_id", "name", "latitude", "longitude", "elevation_m", "distance_km", "beam_height_m", "site_rank")
+    """The sites in reach of each place (lat, lon, and what else names it), by beam height."""
+    named = [c for c in places.columns if c not in ("lat", "lon")]
+    return rank_sites(places).select(*named, "site_id", "name", "latitude", "longitude", "elevation_m", "distance_km", "beam_height_m", "site_rank")
 
 
-def get_scan(done: Ingested, site_id: str) -> DataFrame:
-    return _newest(done.scans, site_id).select("site_id", _iso("scan_ts").alias("timestamp"), F.col("elevations").alias("elevation_angles"))
+def get_scan(done: Ingested, site_id: str, at: str | None = None) -> DataFrame:
+    return _newest(done.scans, site_id, at).select("site_id", _iso("scan_ts").alias("timestamp"), F.col("elevations").alias("elevation_angles"))
 
 
-def get_objects(done: Ingested, site_id: str) -> DataFrame:
-    newest = _newest(done.scans, site_id).select("scan_id", "site_id", "scan_ts")
+def get_objects(done: Ingested, site_id: str, at: str | None = None) -> DataFrame:
+    newest = _newest(done.scans, site_id, at).select("scan_id", "site_id", "scan_ts")
     fields = ["object_id", "centroid_lat", "centroid_lon", "distance_km", "bearing_deg", "peak_dbz", "peak_label", "area_km2", "layers", "max_inbound_ms", "max_outbound_ms"]
     each = F.struct("rank", *fields, F.col("rotation.strength").alias("rotation_strength"))
     rows = newest.join(done.objects, "scan_id", "left").groupBy("site_id", "scan_ts").agg(F.array_sort(F.collect_list(F.when(F.col("object_id").isNotNull(), each))).alias("objects"))
     return rows.select("site_id", _iso("scan_ts").alias("timestamp"), F.size("objects").alias("object_count"), F.transform("objects", lambda o: o.dropFields("rank")).alias("objects"))
 
 
-def get_summary(done: Ingested, site_id: str) -> DataFrame:
-    newest = _newest(done.scans, site_id)
+def get_summary(done: Ingested, site_id: str, at: str | None = None) -> DataFrame:
+    newest = _newest(done.scans, site_id, at)
     return scan_summaries(site_name(newest), done.objects, done.tracked).select("site_id", _iso("scan_ts").alias("timestamp"), "text")
 
 
@@ -53,13 +69,13 @@ def _track(t: F.Column) -> F.Column:
     return t.dropFields("diagnostic_motion").withField("peak_dbz", F.coalesce(now["peak_dbz"], F.lit(0.0))).withField("peak_label", F.coalesce(now["peak_label"], F.lit("unknown"))).withField("first_seen", F.coalesce(F.date_format(first["ts"], iso), F.lit(""))).withField("last_seen", F.coalesce(F.date_format(now["ts"], iso), F.lit("")))
 
 
-def get_tracks(done: Ingested, site_id: str) -> DataFrame:
+def get_tracks(done: Ingested, site_id: str, at: str | None = None) -> DataFrame:
     active = F.filter("tracks", lambda t: t["status"] == "active")
-    return _newest(done.tracked, site_id).select("site_id", _iso("scan_ts").alias("timestamp"), F.size(active).alias("active_count"), F.transform(active, _track).alias("tracks"), F.col("events").alias("recent_events"))
+    return _newest(done.tracked, site_id, at).select("site_id", _iso("scan_ts").alias("timestamp"), F.size(active).alias("active_count"), F.transform(active, _track).alias("tracks"), F.col("events").alias("recent_events"))
 
 
-def get_velocity(done: Ingested, site_id: str) -> DataFrame:
-    newest = _newest(done.scans, site_id).select("scan_id", "site_id", "scan_ts")
+def get_velocity(done: Ingested, site_id: str, at: str | None = None) -> DataFrame:
+    newest = _newest(done.scans, site_id, at).select("scan_id", "site_id", "scan_ts")
     for name, df in (("regions", done.regions), ("rotation_signatures", done.rotations)):
         key = df.columns[1]
         found = df.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct(key, *[c for c in df.columns if c not in ("scan_id", key)]))).alias(name))

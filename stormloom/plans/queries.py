@@ -21,7 +21,7 @@ from ..streaming import buffer
 from ..streaming.tracker import scan_rows, track_scans
 from . import api, replay, summary
 from .ingest import Ingested, ingest
-from .sql import bearing, chain, delta, hav, intensity, pmod, there
+from .sql import bearing, chain, delta, even, hav, intensity, pmod, there
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -221,9 +221,16 @@ def region_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return V.region_overlaps(V.wind_gates(standins.velocity_gates(spark, sf))).select("scan_id", "region_type", "sweep_a", "label_a", "sweep_b", "label_b", "shared", r6("iou").alias("iou"))
 
 
-@query()
+MERGED_REGIONS = """
+SELECT scan_id, region_id, y.kind AS region_type, y.peak AS peak_velocity_ms, y.mean AS mean_velocity_ms, y.area AS area_km2, y.lat AS centroid_lat, y.lon AS centroid_lon,
+  y.km AS distance_km, y.deg AS bearing_deg, y.n AS sweep_count, y.els AS elevation_angles
+FROM merged_regions
+"""
+
+
+@query(chain("vgates", "wind", "regions", "merged_regions", then=MERGED_REGIONS))
 def velocity_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Merged across sweeps, which depends on order; tests hold it against brute force."""
+    """Merged across sweeps in order; the SQL folds over them the same way."""
     return V.velocity_regions(standins.velocity_sweeps(spark, sf), standins.velocity_gates(spark, sf))
 
 
@@ -233,16 +240,28 @@ def shear_gates(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: r6(c) for c in ("shear", "inbound", "outbound")})
 
 
-@query()
+SWEEP_ROTATIONS = """
+SELECT scan_id, sweep_idx, label, centroid_lat, centroid_lon, distance_km, bearing_deg, max_shear_ms, max_inbound_ms, max_outbound_ms, diameter_km, elevation, strength
+FROM rotations
+"""
+
+
+@query(chain("vgates", "shear", "rotations", then=SWEEP_ROTATIONS))
 def sweep_rotations(spark: SparkSession, sf: str) -> DataFrame:
-    """Shear gates join into large components here, whose closure is too much for SQL; tests use brute force."""
     sweeps = standins.velocity_sweeps(spark, sf)
     return V.sweep_rotations(sweeps, V.shear_gates(sweeps, standins.velocity_gates(spark, sf))).drop("azimuth", "range_m")
 
 
-@query()
+MERGED_ROTATIONS = """
+SELECT scan_id, rotation_id, y.lat AS centroid_lat, y.lon AS centroid_lon, y.km AS distance_km, y.deg AS bearing_deg, y.shear AS max_shear_ms, y.low AS max_inbound_ms,
+  y.high AS max_outbound_ms, y.wide AS diameter_km, y.n AS sweep_count, y.els AS elevation_angles, y.strength AS strength
+FROM merged_rotations
+"""
+
+
+@query(chain("vgates", "shear", "rotations", "merged_rotations", then=MERGED_ROTATIONS))
 def rotation_signatures(spark: SparkSession, sf: str) -> DataFrame:
-    """Merged across sweeps, which depends on order; tests hold it against brute force."""
+    """Merged across sweeps in order; the SQL folds over them the same way."""
     return V.rotation_signatures(standins.velocity_sweeps(spark, sf), standins.velocity_gates(spark, sf))
 
 
@@ -252,7 +271,15 @@ def objects_with_wind(spark: SparkSession, sf: str) -> DataFrame:
     return V.objects_with_wind(_detected(spark, sf).objects, regions).select("scan_id", "object_id", "max_inbound_ms", "max_outbound_ms")
 
 
-@query()
+NEAREST_ROTATION = f"""
+SELECT o.scan_id, o.object_id, arg_min(r.max_shear_ms, {{'d': d, 'k': r.sweep_idx * 1000000000 + r.label}}) AS max_shear_ms
+FROM objects o LEFT JOIN (SELECT o.scan_id AS s, o.object_id AS i, r.*, {hav("o.centroid_lat", "o.centroid_lon", "r.centroid_lat", "r.centroid_lon")} AS d
+  FROM objects o JOIN rotations r ON r.scan_id = o.scan_id) r ON r.s = o.scan_id AND r.i = o.object_id AND r.d <= 30
+GROUP BY o.scan_id, o.object_id
+"""
+
+
+@query(chain("upto:objects", "vgates", "shear", "rotations", then=NEAREST_ROTATION))
 def objects_with_rotation(spark: SparkSession, sf: str) -> DataFrame:
     sweeps = standins.velocity_sweeps(spark, sf)
     rotations = V.sweep_rotations(sweeps, V.shear_gates(sweeps, standins.velocity_gates(spark, sf))).withColumn("rotation_id", F.col("sweep_idx") * 1_000_000_000 + F.col("label"))
@@ -321,9 +348,19 @@ def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf)
 
 
-@query()
+IDENTITY = f"""
+leads AS (SELECT *, list_sort(list(total_cost) OVER (PARTITION BY pair_id, object_id)) AS of_object, list_sort(list(total_cost) OVER (PARTITION BY pair_id, track_id)) AS of_track FROM scores),
+margins AS (SELECT *, {even("least(of_object[2] - of_object[1], of_track[2] - of_track[1])", 2)} AS margin,
+  {even("greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - total_cost / 10))", 2)} AS match_quality FROM leads),
+graded AS (SELECT *, match_quality * 0.45::DOUBLE + CASE WHEN margin IS NULL THEN 0.7::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, margin / 0.75::DOUBLE)) END * 0.2::DOUBLE
+  + 0.8::DOUBLE * 0.15::DOUBLE + (1 - 0.08::DOUBLE) * 0.2::DOUBLE AS score FROM margins)"""
+
+
+@query(_with("upto:objects", SCORES + "," + IDENTITY, f"""
+SELECT pair_id, track_id, object_id, total_cost, margin, match_quality, CASE WHEN margin < 0.15 THEN least({even("score", 2)}, 0.4::DOUBLE) ELSE {even("score", 2)} END AS identity_score
+FROM graded
+"""))
 def identity_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Halves of a hundredth are rounded by the decimal value here, by the binary one in SQL; tests use brute force."""
     graded = A.identity_scores(A.ambiguity_margins(_scores(spark, sf)), F.lit(0.8), F.lit(1))
     return graded.select("pair_id", "track_id", "object_id", "total_cost", "margin", "match_quality", "identity_score")
 
@@ -334,16 +371,36 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     return A.match_tracks(_scores(spark, sf))
 
 
-@query()
+#: Pairs that are each other's cheapest stand in for the optimal matches, which SQL can't find.
+MUTUAL = """
+placed_scores AS (SELECT *, row_number() OVER (PARTITION BY pair_id, object_id ORDER BY total_cost, track_id) AS by_object, row_number() OVER (PARTITION BY pair_id, track_id ORDER BY total_cost, object_id) AS by_track FROM scores),
+mutual AS (SELECT pair_id, track_id, object_id FROM placed_scores WHERE by_object = 1 AND by_track = 1)"""
+
+
+def _mutual(scores: DataFrame) -> DataFrame:
+    track = scores.groupBy("pair_id", "object_id").agg(F.min_by("track_id", F.struct("total_cost", "track_id")).alias("track_id"))
+    found = scores.groupBy("pair_id", "track_id").agg(F.min_by("object_id", F.struct("total_cost", "object_id")).alias("object_id"))
+    return track.join(found, ["pair_id", "track_id", "object_id"])
+
+
+@query(_with("upto:objects", SCORES + "," + MUTUAL, """
+SELECT pair_id, object_id, list_concat([track_id], others) AS track_ids
+FROM (SELECT m.pair_id, m.object_id, m.track_id, list(s.track_id ORDER BY s.total_cost, s.track_id) AS others FROM mutual m
+  JOIN scores s ON s.pair_id = m.pair_id AND s.object_id = m.object_id AND s.track_id <> m.track_id GROUP BY ALL)
+"""))
 def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
     scores = landed(_scores(spark, sf), "scores")
-    return A.merge_candidates(scores, A.match_tracks(scores))
+    return A.merge_candidates(scores, _mutual(scores))
 
 
-@query()
+@query(_with("upto:objects", SCORES + "," + MUTUAL, """
+SELECT pair_id, track_id, list_concat([object_id], others) AS object_ids
+FROM (SELECT m.pair_id, m.track_id, m.object_id, list(s.object_id ORDER BY s.total_cost, s.object_id) AS others FROM mutual m
+  JOIN placed_scores s ON s.pair_id = m.pair_id AND s.track_id = m.track_id AND s.object_id <> m.object_id AND s.by_object = 1 GROUP BY ALL)
+"""))
 def split_candidates(spark: SparkSession, sf: str) -> DataFrame:
     scores = landed(_scores(spark, sf), "scores")
-    return A.split_candidates(scores, A.match_tracks(scores))
+    return A.split_candidates(scores, _mutual(scores))
 
 
 @query("""SELECT o_custkey AS pair_id, 'merge' AS event_type, 'Tracks ' || list_aggregate(others, 'string_agg', ', ') || ' merged into track ' || o_custkey % 7 AS description, list_concat([o_custkey % 7], others) AS involved_track_ids FROM (SELECT o_custkey, list_filter(list_sort(list_distinct(list(o_orderkey % 7))), lambda x: x <> o_custkey % 7) AS others FROM orders GROUP BY o_custkey) WHERE len(others) > 0""")
@@ -352,6 +409,15 @@ def merge_events(spark: SparkSession, sf: str) -> DataFrame:
     return A.merge_events(each.withColumn("track_id", F.col("pair_id") % 7))
 
 
+@query("""
+SELECT o_custkey AS pair_id, 'split' AS event_type, 'Track ' || o_custkey % 7 || ' split into tracks ' || list_aggregate(others, 'string_agg', ', ') AS description, list_concat([o_custkey % 7], others) AS involved_track_ids
+FROM (SELECT o_custkey, list_filter(list_sort(list_distinct(list(o_orderkey % 7))), lambda x: x <> o_custkey % 7) AS others FROM orders GROUP BY o_custkey) WHERE len(others) > 0
+""")
+def split_events(spark: SparkSession, sf: str) -> DataFrame:
+    each = standins.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("pair_id")).agg(F.array_sort(F.collect_list(F.col("o_orderkey") % 7)).alias("other_ids"))
+    return A.split_events(each.withColumn("track_id", F.col("pair_id") % 7))
+
+
 @query(chain("upto:objects", then="""SELECT a.pair_id, round_even(b.lat - a.lat, 4) AS delta_lat, round_even(b.lon - a.lon, 4) AS delta_lon, round_even(least(a.w, b.w) / greatest(a.w, b.w), 3) AS quality FROM
 (SELECT scan_id + 1 AS pair_id, sum(greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) AS w, sum(centroid_lat * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lat, sum(centroid_lon * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lon FROM objects GROUP BY 1) a JOIN
 (SELECT scan_id AS pair_id, sum(greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) AS w, sum(centroid_lat * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lat, sum(centroid_lon * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lon FROM objects GROUP BY 1) b USING (pair_id)"""))
@@ -535,6 +601,49 @@ def api_objects(spark: SparkSession, sf: str) -> DataFrame:
     return api.get_objects(done, "ktlx").select("site_id", "timestamp", "object_count")
 
 
+@query(chain("sites", "stations", then=f"""
+SELECT station_id, site_id, name, latitude, longitude, round_even(d, 6) AS distance_km, CAST(row_number() OVER (PARTITION BY station_id ORDER BY b, ord) AS INT) AS site_rank
+FROM (SELECT *, d * 1000 * tan(radians(0.5)) + pow(d * 1000, 2) / (2 * 6371000.0) + elevation_m AS b FROM (SELECT s.*, t.*, {hav("t.lat", "t.lon", "s.latitude", "s.longitude")} AS d FROM stations t, sites s)) WHERE b <= 10000
+"""))
+def api_sites(spark: SparkSession, sf: str) -> DataFrame:
+    return api.get_sites(standins.stations(spark, sf)).select("station_id", "site_id", "name", "latitude", "longitude", r6("distance_km").alias("distance_km"), "site_rank")
+
+
+#: A time after most scans of the stand-in site, nearer to the one before it.
+ASKED = "2024-01-01T00:17:00"
+
+
+def _nearest_sql(then: str) -> str:
+    return f"""
+WITH s AS (SELECT DISTINCT vec_id // 50 AS m, TIMESTAMP '2024-01-01' + to_minutes(CAST(5 * (vec_id // 50) AS INT)) AS ts FROM embeddings),
+one AS (SELECT m, ts FROM s WHERE CAST(ts AS DATE) = DATE '2024-01-01' ORDER BY abs(epoch(ts) - epoch(TIMESTAMP '{ASKED.replace("T", " ")}')), ts LIMIT 1)
+{then}"""
+
+
+def _only_objects(spark: SparkSession, sf: str) -> Ingested:
+    scans, g = standins.scans(spark, sf), standins.gates(spark, sf)
+    o = D.detect_objects(scans, g).objects.withColumns({"max_inbound_ms": F.lit(None).cast("double"), "max_outbound_ms": F.lit(None).cast("double"), "rotation": F.lit(None).cast("struct<strength:string>")})
+    return Ingested(scans, g, *[o] * 7)
+
+
+@query(_nearest_sql("SELECT 'KTLX' AS site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS \"timestamp\", [0.5::DOUBLE] AS elevation_angles FROM one"))
+def api_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the scan nearest to a time."""
+    scans = standins.scans(spark, sf)
+    return api.get_scan(Ingested(scans, *[scans] * 8), "ktlx", ASKED)
+
+
+@query(chain("upto:objects", then="").rstrip() + "," + _nearest_sql("""
+SELECT 'KTLX' AS site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", object_id, centroid_lat, centroid_lon, distance_km, bearing_deg, peak_dbz, peak_label, area_km2
+FROM one JOIN objects ON scan_id = m
+""").replace("\nWITH s AS", "\ns AS"))
+def api_objects_at(spark: SparkSession, sf: str) -> DataFrame:
+    """The objects of the scan nearest to a time, with all their measures."""
+    rows = api.get_objects(_only_objects(spark, sf), "KTLX", ASKED)
+    fields = ["object_id", "centroid_lat", "centroid_lon", "distance_km", "bearing_deg", "peak_dbz", "peak_label", "area_km2"]
+    return rows.select("site_id", "timestamp", F.explode("objects").alias("o")).select("site_id", "timestamp", *[f"o.{c}" for c in fields])
+
+
 @query()
 def api_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return api.as_json(api.get_tracks(_done(spark, sf), "KTLX"))

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,20 +45,24 @@ def latest_scans(files: DataFrame, site_id: str, today: str) -> DataFrame:
 
 def nearest_scans(requests: DataFrame, files: DataFrame) -> DataFrame:
     """requests (request_id, site_id, dt) with the filename of the same site and day that is nearest in time, the first
-    by name on a tie. A request without files on its day has null. Aggregated by request on partial results."""
+    by name on a tie. A request without files on its day has null. Requests and files of a site and day are sorted by
+    time once, and each request looks at the last file before it and the first one after."""
     volumes = files.filter(~F.col("filename").endswith("_MDM")).withColumn("scan_ts", scan_timestamp("filename")).filter("scan_ts IS NOT NULL")
-    volumes = volumes.select("site_id", "filename", "scan_ts", F.to_date("scan_ts").alias("day"))
-    asked = requests.withColumn("day", F.to_date("dt"))
-    off = F.abs(F.unix_timestamp("scan_ts") - F.unix_timestamp("dt"))
-    best = asked.join(volumes, ["site_id", "day"], "left").groupBy("request_id", "site_id", "dt").agg(F.min(F.when(F.col("filename").isNotNull(), F.struct(off.alias("off"), "filename"))).alias("best"))
-    return best.select("request_id", "site_id", "dt", F.col("best.filename").alias("filename"), F.col("best.off").cast("long").alias("seconds_off"))
+    volumes = volumes.groupBy("site_id", F.to_date("scan_ts").alias("day"), F.unix_timestamp("scan_ts").alias("at")).agg(F.min("filename").alias("filename"))
+    asked = requests.select("request_id", "site_id", "dt", F.to_date("dt").alias("day"), F.unix_timestamp("dt").alias("at"), F.lit(None).cast("string").alias("filename"))
+    both = asked.unionByName(volumes, allowMissingColumns=True).withColumn("file", F.when(F.col("filename").isNotNull(), F.struct("at", "filename")))
+    day = Window.partitionBy("site_id", "day").orderBy("at")  # rows of one second are peers
+    sides = [F.last("file", ignorenulls=True).over(day.rangeBetween(Window.unboundedPreceding, 0)), F.first("file", ignorenulls=True).over(day.rangeBetween(0, Window.unboundedFollowing))]
+    off = [F.when(f.isNotNull(), F.struct(F.abs(f["at"] - F.col("at")).alias("off"), f["filename"].alias("filename"))) for f in (F.col("before"), F.col("after"))]
+    found = both.withColumns({"before": sides[0], "after": sides[1]}).filter("filename IS NULL").withColumn("best", F.least(*off))
+    return found.select("request_id", "site_id", "dt", F.col("best.filename").alias("filename"), F.col("best.off").cast("long").alias("seconds_off"))
 
 
 def fetch_scan(files: DataFrame, site_id: str, dt: str | None = None, today: str | None = None) -> str:
-    """The file nearest to a time, or the last of the latest; RuntimeError if there is none. The bytes stay where they
-    are: a shared file store needs no download."""
+    """The file nearest to a time, or the last of the latest as of today (by default the date in UTC); RuntimeError if
+    there is none. The bytes stay where they are: a shared file store needs no download."""
     if dt is None:
-        row = latest_scans(files, site_id, today or "1970-01-01").agg(F.max("filename")).first()[0]
+        row = latest_scans(files, site_id, today or datetime.now(UTC).date().isoformat()).agg(F.max("filename")).first()[0]
     else:
         asked = files.sparkSession.createDataFrame([(1, site_id, dt)], "request_id int, site_id string, dt string").withColumn("dt", F.col("dt").cast("timestamp"))
         row = nearest_scans(asked, files).first()["filename"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_AZ, N_RNG = 50, 64
@@ -19,9 +19,25 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("rng_idx", "v")).withColumn("v", F.col("v").cast("double"))
 
 
+#: Three scans in four have a storm with two cores: its box, one row or column wider a moat without echo, and around.
+BOX, MOAT = (6, 22, 8, 38), (5, 23, 7, 39)
+
+
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rays of 50 vectors make a scan: dbz = 20 + 160 v."""
-    return _values(spark, sf_dir).select(F.floor(F.col("vec_id") / N_AZ).alias("scan_id"), (F.col("vec_id") % N_AZ).cast("int").alias("az_idx"), "rng_idx", (F.col("v") * 160 + 20).alias("dbz"))
+    """Rays of 50 vectors make a scan: dbz = 20 + 160 v, but for the storm: 28 + 10 v and two cones of six gates around
+    cores that move from scan to scan, 30 high, or the second 44 high in even scans."""
+    k, az, rng, v = (F.col(c) for c in ("scan_id", "az_idx", "rng_idx", "v"))
+
+    def within(box: tuple[int, int, int, int]) -> Column:
+        return az.between(*box[:2]) & rng.between(*box[2:])
+
+    def cone(row: Column, column: Column, height: Column) -> Column:
+        return height * F.greatest(F.lit(0.0), 1 - F.sqrt((az - row) * (az - row) + (rng - column) * (rng - column)) / 6)
+
+    cores = F.greatest(cone(k % 3 + 12, k % 4 + 16, F.lit(30.0)), cone(k % 2 + 15, k % 3 + 30, F.when(k % 2 == 0, 44.0).otherwise(30.0)))
+    dbz = F.when((k % 4 == 3) | ~within(MOAT), v * 160 + 20).when(within(BOX), cores + 28 + v * 10).otherwise(F.lit(10.0))
+    rows = _values(spark, sf_dir).select(F.floor(F.col("vec_id") / N_AZ).alias("scan_id"), (F.col("vec_id") % N_AZ).cast("int").alias("az_idx"), "rng_idx", "v")
+    return rows.select("scan_id", "az_idx", "rng_idx", dbz.alias("dbz"))
 
 
 def velocity_gates(spark: SparkSession, sf_dir: str) -> DataFrame:

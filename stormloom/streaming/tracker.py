@@ -535,7 +535,7 @@ def tracked_row(tracker: Tracker, scan: Scan) -> dict:
 def scan_rows(scans: DataFrame, gates: DataFrame, objects: DataFrame, object_gates: DataFrame, quality: DataFrame) -> DataFrame:
     """One row per scan, with its gates, objects and their gates as arrays: what the fold reads. All are aggregated by
     scan, so a row is as large as one sweep."""
-    cells = gates.filter(~F.isnan("dbz")).groupBy("scan_id").agg(F.collect_list(F.struct("az_idx", "rng_idx", "dbz")).alias("gates"))
+    cells = gates.filter(~F.isnan("dbz")).groupBy("scan_id").agg(F.struct(*[F.collect_list(c).alias(c) for c in ("az_idx", "rng_idx", "dbz")]).alias("gates"))
     rotation = F.struct(F.col("rotation.strength").alias("strength"), F.col("rotation.max_shear_ms").alias("max_shear_ms")) if "rotation" in objects.columns else F.lit(None).cast("struct<strength:string,max_shear_ms:double>")
     fields = ["object_id", "centroid_lat", "centroid_lon", "distance_km", "bearing_deg", "peak_dbz", "peak_label", "area_km2"]
     has = F.col("rotation").isNotNull() if "rotation" in objects.columns else F.lit(False)
@@ -550,8 +550,8 @@ def scan_of(row: dict) -> Scan:
 
     azimuths, ranges = np.array(row["azimuths"], float), np.array(row["ranges_m"], float)
     grid = np.full((len(azimuths), len(ranges)), np.nan)
-    if gates := rows_of(row["gates"]):
-        grid[[g["az_idx"] for g in gates], [g["rng_idx"] for g in gates]] = [g["dbz"] for g in gates]
+    if (gates := row["gates"]) is not None:
+        grid[np.asarray(gates["az_idx"], int), np.asarray(gates["rng_idx"], int)] = gates["dbz"]
     objects = [dict(o) for o in rows_of(row["objects"])]
     cells = {int(m["object_id"]): (np.array(m["rows"], int), np.array(m["cols"], int)) for m in rows_of(row["masks"])}
     quality = None if row["score"] is None or row["score"] != row["score"] else float(row["score"])
