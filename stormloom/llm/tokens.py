@@ -53,10 +53,12 @@ def byte_characters() -> list[str]:
 def class_runs() -> list[tuple[int, int, int]]:
     """(class, first code point, the one after the last) by the library's regular expressions; the others are OTHER."""
     points = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], np.uint32)
-    every, out = points.tobytes().decode("utf-32-le"), []
-    for kind, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
-        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-            out.append((kind, int(points[a]), int(points[b - 1]) + 1))
+    finders = [(k, pre_tokenizers.Split(Regex(p), "removed", invert=True)) for k, p in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+"))]
+    out = []
+    for some in np.array_split(points, 256):  # the library keeps some hundred bytes for each character that it is given
+        text = some.tobytes().decode("utf-32-le")
+        for kind, finder in finders:
+            out += [(kind, int(some[a]), int(some[b - 1]) + 1) for _, (a, b) in finder.pre_tokenize_str(text)]
     return out
 
 
