@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import bit_map, lower_ascii, shared_table, shuffle_partitions, with_mark
 
 #: Entries of a bucket, beyond which it is split; more are allowed where the directory would pass MAX_DEPTH bits, which
-#: needs some 10 ** 10 keys. The directory, 2 ** MAX_DEPTH rows of 16 bytes at most, is broadcast.
-CAPACITY = 16_384
+#: needs some 5 * 10 ** 8 keys. The directory, 2 ** MAX_DEPTH rows of 16 bytes at most, is broadcast.
+CAPACITY = 2048
 MAX_DEPTH = 20
 #: Rows of a text, at most, that its bucket's owner compares, however many copies it has.
 SALTS = 16
