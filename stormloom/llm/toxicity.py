@@ -257,7 +257,8 @@ def train(texts: list[str], labels: list[int], rate: float, steps: int = STEPS,
     with other shares. With one class only, or none, every score is the rate."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.int64)
-    split = [[clean(w) for w in t.split()] for t in texts]
+    same: dict[str, str] = {}  # one object for each word, however often it comes
+    split = [[same.setdefault(c, c) for c in map(clean, t.split())] for t in texts]
     usable = np.array([bool(s) for s in split], bool)
     if not usable.any() or len(set(y[usable].tolist())) < 2:
         return Model({}, {}, 1.0, 0.0, rate, constant=True)
@@ -268,6 +269,7 @@ def train(texts: list[str], labels: list[int], rate: float, steps: int = STEPS,
     grams = gram_buckets(["", *every])
     word_of = np.array([0, *(vocabulary.get(w, 0) for w in every)])
     docs = [np.array([number[w] for w in s], np.int64) for s in split]
+    del split, same
     for_fit = usable & ((np.arange(len(docs)) % 10 < 8) | (len(docs) < 100))
     for_scale = usable & (~for_fit | (len(docs) < 100))
     if len(set(y[for_fit].tolist())) < 2 or len(set(y[for_scale].tolist())) < 2:
