@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +90,27 @@ def test_run_is_the_stages(spark, sf, results):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert zlib.crc32(b"") == 0 and docs.count()
     assert corpus_pipeline.run(spark, sf).count() == results["packing"][1].count()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, sf, docs, no_docs, name):
+    """Nulls in every column, empty and very long texts, copies, repeated rows; and no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, no_docs, sf).count() == 0
+    before, after = docs.collect(), stage(spark, docs, sf).collect()
+    key = lambda r: (str(r.doc_id), str(r.text))
+    old, new = Counter(map(key, before)), Counter(map(key, after)) if name != "packing" else None
+    if name == "toxicity":
+        assert all(new[k] == old[k] for k in new) and ("161", "None") in new
+    elif name == "line_dedup":
+        assert Counter(str(r.doc_id) for r in after) == Counter(str(r.doc_id) for r in before)
+        assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in after)
+    elif name == "near_dedup":
+        assert all(n == 1 for n in new.values()) and set(new) <= set(old)
+        # of all rows without words the smallest id; the row of null id is alone in its group
+        assert [k for k in new if not k[1].strip() or k[1] == "None"] == [("161", "None")] and any(k[0] == "None" for k in new)
+    elif name == "mixing":
+        assert set(new) <= set(old) and all(n <= 3 * old[k] for k, n in new.items())
+    else:
+        assert sum(r.piece == 0 for r in after) == len(before)
+        assert Counter(str(r.doc_id) for r in after if r.piece == 0) == Counter(str(r.doc_id) for r in before)

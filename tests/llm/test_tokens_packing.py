@@ -144,6 +144,26 @@ def test_plan_uses_every_piece_once():
     assert sum(t for t, _ in plan) <= 1.005 * sum(n * c for n, c in counts.items()) / 256 + 1
 
 
+def test_plan_is_that_of_one_bin_at_a_time():
+    """The same number of bins as filling bin after bin by the fullest subset of single pieces."""
+    rng = random.Random(5)
+    for _ in range(5):
+        pieces = sorted((rng.randrange(1, 30) for _ in range(60)), reverse=True)
+        counts = {n: pieces.count(n) for n in set(pieces)}
+        bins, left = 0, list(pieces)
+        while left:
+            room = 40 - left.pop(0)
+            best: dict[int, list[int]] = {0: []}
+            for k, n in enumerate(left):
+                for total, used in list(best.items()):
+                    if total + n <= room and total + n not in best:
+                        best[total + n] = [*used, k]
+            for k in reversed(best[max(best)]):
+                left.pop(k)
+            bins += 1
+        assert abs(sum(t for t, _ in packing.plan_bins(counts, 40)) - bins) <= 1
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_pack_documents(docs, no_docs, library, capacity):
     rows = packing.pack_documents(docs, PATH, capacity).collect()

@@ -110,6 +110,36 @@ def test_gradients():
             array[at] = old
 
 
+def test_forward_by_the_formulas():
+    """The network written out for one window at a time, in plain loops."""
+    rng = np.random.default_rng(2)
+    p = {k: v.astype(np.float64) for k, v in toxicity.new_params(3, rng).items()}
+    x = rng.normal(size=(2, 6, 4, 3 * toxicity.HIDDEN))
+    lengths = [6, 4, 1, 3]
+    mask = np.array([[float(t < n) for n in lengths] for t in range(6)])
+    h = toxicity.HIDDEN
+
+    def sig(v: float) -> float:
+        return 1 / (1 + np.exp(-v))
+
+    want = []
+    for j, n in enumerate(lengths):
+        states = [[0.0] * (2 * h) for _ in range(n)]
+        for k, d in enumerate("fb"):
+            state = [0.0] * h
+            for t in range(n) if d == "f" else reversed(range(n)):
+                u = [sum(state[a] * p[f"U{d}"][a, b] for a in range(h)) for b in range(3 * h)]
+                z = [sig(x[k, t, j, a] + u[a]) for a in range(h)]
+                r = [sig(x[k, t, j, h + a] + u[h + a]) for a in range(h)]
+                c = [np.tanh(x[k, t, j, 2 * h + a] + r[a] * u[2 * h + a]) for a in range(h)]
+                state = [(1 - z[a]) * c[a] + z[a] * state[a] for a in range(h)]
+                states[t][k * h : (k + 1) * h] = state
+        energy = [sum(np.tanh(sum(s[a] * p["A"][a, b] for a in range(2 * h))) * p["v"][b] for b in range(toxicity.ATTENTION)) for s in states]
+        weight = [np.exp(e) / sum(np.exp(o) for o in energy) for e in energy]
+        want.append(sum(w * sum(s[a] * p["o"][a] for a in range(2 * h)) for w, s in zip(weight, states, strict=True)) + p["b"][0])
+    assert np.allclose(toxicity.forward(p, x[0], x[1], mask), want)
+
+
 def test_windows_cover_every_word():
     for n in (1, 31, 32, 33, 55, 56, 57, 1000):
         starts = toxicity.windows_of(n)
