@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes rows with the columns of documents and keeps columns that it doesn't use as they are, whatever their
+names. Rows with a null in any column take part; a table without rows gives one without rows.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +31,8 @@ def restored(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. Labels of the held-out fifth aren't learnt from."""
+    """Documents predicted toxic go. Labels of the held-out fifth aren't learnt from. A null text, or one without words,
+    scores the share of toxic labels, so it stays where that is under a half. Rows alike go or stay together."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     used = ("doc_id", "text")
     scored = toxicity.score_toxicity(aside(docs, *used), read_table(spark, sf_dir, "labels"), fold != 0)
@@ -35,25 +40,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source are taken out of its documents' texts; n_chars is that of what is left."""
+    """Boilerplate lines of a source are taken out of its documents' texts; n_chars is that of what is left. Null sources
+    are one source. A null text stays null and has a null n_chars; no row goes, and rows alike stay alike."""
     used = ("doc_id", "text", "source", "n_chars")
     cleaned = line_dedup.site_line_dedup(aside(docs, *used))
     return restored(cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs, *used)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that five-word shingles with a similarity of 0.8 or more link, the smallest id stays."""
+    """Of each group that five-word shingles with a similarity of 0.8 or more link, the row with the smallest id stays, once
+    however often it comes; of several texts with that id the one with the smallest hash. Texts without words, null ones
+    too, are one group. A row of null id stays only if no row of its group has an id; then all of the group do."""
     return similar.drop_similar_texts(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as their source's target weight asks, so some come several times and some not at all."""
+    """Documents come as often as their source's target weight asks, so some come several times and some not at all. Null
+    sources are one source, the last. A document without words, or with a null text, comes as often as the whole part of
+    what its source wants. Rows alike are rounded one by one."""
     used = ("doc_id", "text", "source")
     return restored(mixing.mix_documents(aside(docs, *used)), docs, *used)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its place in a sequence."""
+    """One row per piece of a document, with its place in a sequence. A null text is empty: its document is the end id
+    alone. Rows alike are packed one by one; null ids are kept."""
     return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), SEQUENCE_TOKENS, END_ID)
 
 
