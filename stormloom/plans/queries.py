@@ -58,11 +58,24 @@ def nearest_scans(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.nearest_scans(standins.scan_requests(spark, sf), standins.scan_files(spark, sf)).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
 
-@query(chain("files", then="SELECT site_id, filename FROM files WHERE substr(filename, 2, 1) IN ('1', '2') AND right(split_part(filename, '_V', 1), 1) IN ('0', '2', '4', '6', '8')"))
+@query(chain("files", then="""
+SELECT site_id, filename, '/cache/' || site_id || '/' || filename AS path FROM files WHERE right(split_part(filename, '_V', 1), 1) IN ('0', '2', '4', '6', '8')
+"""))
 def cached_scans(spark: SparkSession, sf: str) -> DataFrame:
     files = standins.scan_files(spark, sf)
     even = F.substring(F.substring_index("filename", "_V", 1), -1, 1).isin("0", "2", "4", "6", "8")
-    return catalog.cached_scans(files.filter(F.col("site_id").isin("S1", "S2")), files.filter(even))
+    return catalog.cached_scans(files, files.filter(even)).select("site_id", "filename", catalog.cache_path("/cache/").alias("path"))
+
+
+@query("""
+SELECT c_custkey, n_name AS city, 'R' || n_regionkey AS state, n_nationkey + 20.5::DOUBLE AS lat, -n_nationkey - 60.25::DOUBLE AS lon FROM customer JOIN nation ON n_nationkey = c_nationkey
+""")
+def known_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Geocoding from a table of places: customers stand in for those who ask, nations for the places."""
+    nation = standins.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("city"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("state"))
+    asked = standins.table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "city", "state")
+    known = nation.select("city", "state", (F.col("n_nationkey") + 20.5).alias("lat"), (-F.col("n_nationkey") - 60.25).alias("lon"))
+    return sites.places(asked, known)
 
 
 @query(chain("files", then="""SELECT 1 AS request_id, site_id, filename FROM files WHERE site_id = 'S1' QUALIFY row_number() OVER (ORDER BY filename DESC) <= 5
@@ -564,7 +577,7 @@ def scan_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def benchmark_results(spark: SparkSession, sf: str) -> DataFrame:
-    entries = spark.createDataFrame([("all", "dense", "KTLX", None, 50, True, None), ("last", "quick", "KTLX", "2024-01-01", 3, True, None)], "id string, category string, site_id string, date string, scans int, local_only boolean, end_filename string")
+    entries = spark.createDataFrame([("all", "dense", "KTLX", None, standins.scans(spark, sf).count(), True, None), ("last", "quick", "KTLX", "2024-01-01", 3, True, None)], "id string, category string, site_id string, date string, scans int, local_only boolean, end_filename string")
     return replay.run_benchmarks(entries, standins.scans(spark, sf), standins.gates(spark, sf), standins.velocity_sweeps(spark, sf), standins.velocity_gates(spark, sf))[0]
 
 
@@ -577,6 +590,65 @@ def object_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return summary.scan_summaries(scans, _detected(spark, sf).objects).select("scan_id", "text")
 
 
+ROTATION_TEXTS = f"""
+near AS (SELECT o.scan_id, o.object_id, arg_min({{'strength': r.strength, 'deg': r.bearing_deg, 'km': r.distance_km}}, {{'d': d, 'k': r.k}}) AS rot
+  FROM (SELECT o.scan_id, o.object_id, r.strength, r.bearing_deg, r.distance_km, r.sweep_idx * 1000000000 + r.label AS k, {hav("o.centroid_lat", "o.centroid_lon", "r.centroid_lat", "r.centroid_lon")} AS d
+    FROM objects o JOIN rotations r ON r.scan_id = o.scan_id) r JOIN objects o ON o.scan_id = r.scan_id AND o.object_id = r.object_id WHERE d <= 30 GROUP BY ALL),
+ranked AS (SELECT o.*, n.rot, count(*) OVER s AS n, sum(area_km2) OVER s AS total, row_number() OVER (PARTITION BY o.scan_id ORDER BY peak_dbz + least(ln(1 + area_km2), 6.0) DESC, peak_dbz DESC, area_km2 DESC, distance_km, rank) AS place
+  FROM objects o LEFT JOIN near n ON n.scan_id = o.scan_id AND n.object_id = o.object_id WINDOW s AS (PARTITION BY o.scan_id)),
+told AS (SELECT scan_id, string_agg(' Rotation signature ' || CAST(round_even(rot.km / 1.60934, 0) AS INT) || ' miles ' || {bearing("rot.deg")} || ' of the radar, ' || rot.strength || ' shear.', '' ORDER BY rank) AS others
+  FROM (SELECT * FROM ranked WHERE place > 1 AND rot IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY rank) <= 2) GROUP BY scan_id)
+SELECT scan_id, 'Oklahoma City: ' || n || CASE WHEN n = 1 THEN ' rain object' ELSE ' rain objects' END || ' detected. Strongest: ' || peak_label || ', ' || CAST(round_even(distance_km / 1.60934, 0) AS INT) || ' miles ' || {bearing("bearing_deg")} || ' of the radar.'
+  || CASE WHEN rot IS NULL THEN '' ELSE ' ' || upper(rot.strength[1]) || rot.strength[2:] || ' rotation detected.' END || coalesce(others, '') || ' Covering approximately ' || CAST(round_even(total / (1.60934 * 1.60934), 0) AS INT) || ' square miles.' AS text
+FROM ranked LEFT JOIN told USING (scan_id) WHERE place = 1
+"""
+
+
+@query(chain("upto:objects", "vgates", "shear", "rotations", then="").rstrip() + "," + ROTATION_TEXTS)
+def rotation_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries with rotation, without tracks, of the scans that have objects."""
+    sweeps = standins.velocity_sweeps(spark, sf)
+    rotations = V.sweep_rotations(sweeps, V.shear_gates(sweeps, standins.velocity_gates(spark, sf))).withColumn("rotation_id", F.col("sweep_idx") * 1_000_000_000 + F.col("label"))
+    objects = V.objects_with_rotation(_detected(spark, sf).objects, rotations)
+    told = summary.scan_summaries(sites.site_name(standins.scans(spark, sf)), objects)
+    return told.join(objects.select("scan_id").distinct(), "scan_id", "left_semi").select("scan_id", "text")
+
+
+@query("""
+WITH e AS (SELECT event_id, ['weak', 'moderate', 'strong', NULL][event_id % 4 + 1] AS strength, CASE WHEN event_id % 7 <> 3 THEN list_transform(generate_series(1, event_id % 5 + 1), lambda i: CASE WHEN (event_id // i) % 3 <> 0 THEN 'weak' END) END AS hs FROM events),
+r AS (SELECT *, coalesce(list_position(list_transform(list_reverse(hs), lambda x: x IS NULL), true) - 1, len(hs)) AS run, len(list_filter(hs[-3:], lambda x: x IS NOT NULL)) > 0 AND hs[-1] IS NULL AS weaker FROM e)
+SELECT event_id, CASE WHEN strength IS NULL THEN CASE WHEN weaker THEN ' Rotation weakening.' ELSE '' END WHEN hs IS NOT NULL AND run >= 3 THEN ' Persistent ' || strength || ' rotation.'
+  WHEN hs IS NOT NULL AND run <= 1 THEN ' New ' || strength || ' rotation detected.' ELSE ' ' || upper(strength[1]) || strength[2:] || ' rotation detected.' END AS phrase
+FROM r
+""")
+def rotation_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    strength = F.get(F.array(F.lit("weak"), F.lit("moderate"), F.lit("strong"), F.lit(None)), (k % 4).cast("int"))
+    each = F.transform(F.sequence(F.lit(1), (k % 5 + 1).cast("int")), lambda i: F.struct(F.when(F.floor(k / i) % 3 != 0, "weak").alias("strength")))
+    rows = standins.table(spark, sf, "events").select("event_id", strength.alias("strength"), F.when(k % 7 != 3, each).alias("history"))
+    return rows.select("event_id", summary.rotation_phrase(F.col("strength"), F.col("history")).alias("phrase"))
+
+
+@query("""
+WITH e AS (SELECT event_id, ['N', 'uncertain', 'stationary', 'nearly stationary', 'SSW'][event_id % 5 + 1] AS label, CAST(event_id % 70 AS INT) AS mph, event_id % 3 <> 0 AS has_focus, (event_id % 11) / 10.0::DOUBLE AS fs, event_id % 4 AS flips, event_id % 6 AS fe,
+  coalesce(CASE WHEN event_id % 17 <> 0 THEN (event_id % 13) / 12.0::DOUBLE END, (event_id % 8) / 8.0::DOUBLE) AS ident, ['matched', 'new_track', 'split_child', 'merge_survivor', NULL][(event_id // 5) % 5 + 1] AS ctx, event_id % 2 = 0 AS is_focus, event_id % 9 AS ev FROM events),
+d AS (SELECT *, label IN ('N', 'SSW') AND is_focus AND CASE WHEN has_focus THEN fs <= 0.6 OR (flips >= 2 AND fe >= 4) ELSE ident < 0.45 OR (ev >= 6 AND ident < 0.75) OR (coalesce(ctx IN ('new_track', 'split_child', 'merge_survivor'), false) AND ident < 0.75) END AS doubtful FROM e)
+SELECT event_id, CASE WHEN doubtful OR label = 'uncertain' THEN ', tracking uncertain' WHEN label LIKE '%stationary' THEN ', ' || label ELSE ', moving ' || label || ' at ' || mph || ' mph' END AS phrase
+FROM d
+""")
+def motion_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    label = F.get(F.array(*map(F.lit, ("N", "uncertain", "stationary", "nearly stationary", "SSW"))), (k % 5).cast("int"))
+    context = F.get(F.array(*map(F.lit, ("matched", "new_track", "split_child", "merge_survivor", None))), (F.floor(k / 5) % 5).cast("int"))
+    focus = F.when(k % 3 != 0, F.struct(((k % 11) / 10.0).alias("score"), (k % 4).alias("recent_heading_flip_count"), (k % 6).alias("recent_structural_event_count")))
+    track = F.struct(
+        F.struct(label.alias("heading_label"), (k % 70).cast("int").alias("speed_mph")).alias("motion"), focus.alias("focus"), ((k % 8) / 8.0).alias("identity_confidence"),
+        F.struct(F.when(k % 17 != 0, (k % 13) / 12.0).alias("score"), context.alias("event_context")).alias("identity"), (k % 2 == 0).alias("is_primary_focus"),
+    )
+    rows = standins.table(spark, sf, "events").select("event_id", track.alias("t"), (k % 9).alias("n"))
+    return rows.select("event_id", summary.motion_phrase(F.col("t"), F.col("n")).alias("phrase"))
+
+
 @query("""WITH s AS (SELECT user_id, CAST(event_id AS BIGINT) AS scan_id, ts, CAST(event_id % 5 AS BIGINT) AS o, CAST(event_id % 4 AS BIGINT) AS a, CAST(event_id % 90 AS INT) AS sp, event_id % 3 = 0 AS m, CASE WHEN event_id % 6 <> 1 THEN event_id % 3 END AS f, CASE WHEN event_id % 5 <> 2 THEN value % 360 END AS h, CASE WHEN event_id % 7 <> 3 THEN (event_id % 10) / 10.0::DOUBLE END AS c, ['moving N at 3 mph', 'tracking uncertain', 'nearly stationary'][event_id % 3 + 1] AS summary FROM events),
 l AS (SELECT *, lag(f) OVER w AS pf, lag(h) OVER w AS ph, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, scan_id)), d AS (SELECT *, ph IS NOT NULL AND h IS NOT NULL AND least(abs(ph - h) % 360, 360 - abs(ph - h) % 360) >= 90 AS flip FROM l)
 SELECT user_id AS benchmark_id, count(*) AS scan_count, round_even(avg(o), 2) AS mean_objects, max(sp) AS max_speed_mph, CAST(sum(CASE WHEN m THEN 1 ELSE 0 END) AS BIGINT) AS total_merges, round_even(coalesce(avg(c), 0.0), 2) AS mean_focus_identity_confidence, count(*) FILTER (c < 0.45) AS focus_low_identity_scans, count(*) FILTER (pf <> f) AS focus_switches, count(*) FILTER (flip) AS focus_heading_flips_ge_90, count(*) FILTER (flip AND c < 0.45) AS focus_flips_with_low_motion_confidence,
@@ -644,6 +716,19 @@ def api_objects_at(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("site_id", "timestamp", F.explode("objects").alias("o")).select("site_id", "timestamp", *[f"o.{c}" for c in fields])
 
 
+@query(chain("vgates", "wind", "regions", "merged_regions", then="").rstrip() + "," + _nearest_sql("""
+SELECT 'KTLX' AS site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", region_id, y.kind AS region_type, y.peak AS peak_velocity_ms, y.mean AS mean_velocity_ms, y.area AS area_km2, y.lat AS centroid_lat, y.lon AS centroid_lon,
+  y.km AS distance_km, y.deg AS bearing_deg, y.n AS sweep_count, y.els AS elevation_angles FROM one JOIN merged_regions ON scan_id = m
+""").replace("\nWITH s AS", "\ns AS"))
+def api_regions_at(spark: SparkSession, sf: str) -> DataFrame:
+    """The wind regions of the scan nearest to a time, as the velocity endpoint gives them."""
+    scans, sweeps, gates = standins.scans(spark, sf), standins.velocity_sweeps(spark, sf), standins.velocity_gates(spark, sf)
+    none = spark.createDataFrame([], V.ROTATION)
+    done = Ingested(scans, *[scans] * 5, V.velocity_regions(sweeps, gates), none, scans)
+    rows = api.get_velocity(done, "KTLX", ASKED)
+    return rows.select("site_id", "timestamp", F.explode("regions").alias("r")).select("site_id", "timestamp", "r.*")
+
+
 @query()
 def api_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return api.as_json(api.get_tracks(_done(spark, sf), "KTLX"))
