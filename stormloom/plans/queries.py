@@ -565,6 +565,55 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("site_id", "scan_id", "t.track_id", "t.status", F.size("t.positions").alias("n_positions"), F.col("t.motion.heading_label").alias("heading_label"), F.col("t.motion.speed_mph").alias("speed_mph"), "t.identity_confidence", "t.is_primary_focus")
 
 
+FIRST_TRACKS = """
+factor AS (SELECT scan_id, greatest(0.25::DOUBLE, least(1.0::DOUBLE, round_even(greatest(0.0, least(1.0, 1 - (1 - n / 3200.0) * 0.7 - least(gone / 3200.0 * 20, 0.3))), 3))) AS f
+  FROM (SELECT scan_id, CAST(count(*) AS DOUBLE) AS n, (SELECT count(*) FROM speckle s WHERE s.scan_id = g.scan_id) AS gone FROM gates g GROUP BY scan_id)),
+born AS (SELECT o.*, CAST(printf('%.2f', 0.45::DOUBLE + f * 0.35::DOUBLE) AS DOUBLE) AS c FROM objects o JOIN factor USING (scan_id)),
+led AS (SELECT *, peak_dbz / 10 + least(area_km2 / 150, 8.0::DOUBLE) + 0.7::DOUBLE + 2 * c - least(distance_km / 40, 6.0::DOUBLE) AS s FROM born),
+placed_tracks AS (SELECT *, row_number() OVER w AS place, lead(s) OVER w AS second, lead(rank) OVER w AS runner FROM led WINDOW w AS (PARTITION BY scan_id ORDER BY s DESC, peak_dbz DESC, area_km2 DESC, rank))
+SELECT scan_id, rank AS track_id, 'active' AS status, 1 AS n_positions, 'stationary' AS heading_label, 0 AS speed_mph, c AS identity_confidence, 'initial' AS event_context, 'first-scan track initialization' AS reason, 0 AS missed_scans,
+  place = 1 AS is_primary_focus, CASE WHEN place = 1 THEN CAST(printf('%.2f', s - second) AS DOUBLE) END AS selection_margin, CASE WHEN place = 1 THEN runner END AS runner_up_track_id
+FROM placed_tracks
+"""
+
+
+@query(chain("upto:objects", "speckle", then="").rstrip() + "," + FIRST_TRACKS)
+def first_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """The fold where each scan is the first of a site of its own: every object begins a track, the strongest is the focus."""
+    scans, g = standins.scans(spark, sf).withColumn("site_id", F.concat(F.lit("Z"), F.col("scan_id").cast("string"))), standins.gates(spark, sf)
+    found = D.detect_objects(scans, g)
+    rows = track_scans(scan_rows(scans, g, found.objects, found.object_gates, Q.scan_quality(scans, g, Q.speckle_gates(g))))
+    t = rows.select("scan_id", F.explode("tracks").alias("t"))
+    return t.select(
+        "scan_id", "t.track_id", "t.status", F.size("t.positions").alias("n_positions"), F.col("t.motion.heading_label").alias("heading_label"), F.col("t.motion.speed_mph").alias("speed_mph"), "t.identity_confidence",
+        F.col("t.identity.event_context").alias("event_context"), F.col("t.identity.reason").alias("reason"), "t.missed_scans", "t.is_primary_focus", F.col("t.focus.selection_margin").alias("selection_margin"), F.col("t.focus.runner_up_track_id").alias("runner_up_track_id"),
+    )
+
+
+LOST_TRACKS = FIRST_TRACKS[: FIRST_TRACKS.index("led AS")].rstrip() + """
+aged AS (SELECT *, CAST(printf('%.2f', greatest(0.0::DOUBLE, CAST(printf('%.2f', c - 0.2::DOUBLE) AS DOUBLE))) AS DOUBLE) AS c1 FROM born)
+SELECT scan_id * 10 + k AS scan_id, rank AS track_id, CASE k WHEN 2 THEN 'lost' ELSE 'active' END AS status, CAST(k AS INT) AS missed_scans,
+  CASE k WHEN 0 THEN c WHEN 1 THEN c1 ELSE greatest(0.0::DOUBLE, CAST(printf('%.2f', c1 - 0.2::DOUBLE) AS DOUBLE)) END AS identity_confidence, CASE k WHEN 0 THEN 'initial' ELSE 'missed_scan' END AS event_context
+FROM aged, (VALUES (0), (1), (2)) v(k)
+"""
+
+
+@query(chain("upto:objects", "speckle", then="").rstrip() + "," + LOST_TRACKS)
+def lost_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """The fold over each scan and two scans without echo after it: a track that is missed twice is lost."""
+    scans, g = standins.scans(spark, sf).withColumn("site_id", F.concat(F.lit("Z"), F.col("scan_id").cast("string"))), standins.gates(spark, sf)
+    found = D.detect_objects(scans, g)
+
+    def first(df: DataFrame) -> DataFrame:
+        return df.withColumn("scan_id", F.col("scan_id") * 10)
+
+    k = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    three = scans.withColumn("k", k).withColumns({"scan_id": F.col("scan_id") * 10 + F.col("k"), "scan_ts": F.timestamp_seconds(F.unix_timestamp("scan_ts") + F.col("k") * 300)}).drop("k")
+    rows = track_scans(scan_rows(three, first(g), first(found.objects), first(found.object_gates), first(Q.scan_quality(scans, g, Q.speckle_gates(g)))))
+    t = rows.select("scan_id", F.explode("tracks").alias("t"))
+    return t.select("scan_id", "t.track_id", "t.status", "t.missed_scans", "t.identity_confidence", F.col("t.identity.event_context").alias("event_context"))
+
+
 @query()
 def track_events(spark: SparkSession, sf: str) -> DataFrame:
     return _tracked(spark, sf).select("site_id", "scan_id", F.explode("events").alias("e")).select("site_id", "scan_id", "e.*")
