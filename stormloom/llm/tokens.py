@@ -111,14 +111,16 @@ class Transducer:
         symbol = {s: [vocab[c + end] for c in chars] for s, end in ((0, ""), (1, suffix))}
         self.of_symbol = symbol[0] + symbol[1]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}  # token: rank of the merge that makes it, and its parts
         text_of = {i: (bytes([b]), end) for end in (0, 1) for b, i in enumerate(symbol[end])}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             pair, new = (vocab[a], vocab[b]), vocab[a + b]
             self.merges.setdefault(pair, (rank, new))
+            self.made.setdefault(new, (rank, *pair))
             text_of[new] = (text_of[pair[0]][0] + text_of[pair[1]][0], text_of[pair[1]][1])
         self.text_of = text_of
-        self.id_of = {v: k for k, v in text_of.items()}
+        self.id_of = [{t: k for k, (t, e) in text_of.items() if e == end} for end in (0, 1)]
         self.prefixes = {t[:k] for t, end in text_of.values() for k in range(1, len(t) + end)}
         self.longest = max(len(t) for t, _ in text_of.values())
         self.token_bytes = np.zeros(max(text_of) + 1, np.int32)
@@ -158,20 +160,39 @@ class Transducer:
     def fits(self, before: int, token: int) -> bool:
         """True if the encoding keeps both tokens side by side; before is -1 at a word's start."""
         if (found := self._fits.get(before << 20 | token)) is None:
-            both = [token] if before < 0 else [before, token]
             if len(self._fits) > MAX_STATES:
                 self._fits.clear()
-            found = self._fits[before << 20 | token] = self.merge([s for t in both for s in self.symbols(t)]) == both
+            if before < 0:
+                found = self.merge(self.symbols(token)) == [token]
+            else:
+                found = self.fits(-1, before) and self.fits(-1, token) and self.apart(before, token)
+            self._fits[before << 20 | token] = found
         return found
 
+    def apart(self, left: int, right: int) -> bool:
+        """True if no merge joins the two tokens at any time: their merges are undone, the latest first (of equals the
+        right one's), and those across the bound looked up that would have come before the one undone last."""
+        none = (-1, -1, -1)
+        limit = len(self.merges)
+        while True:
+            if (across := self.merges.get((left, right))) and across[0] < limit:
+                return False
+            a, b = self.made.get(left, none), self.made.get(right, none)
+            if a[0] < 0 and b[0] < 0:
+                return True
+            if a[0] > b[0]:
+                limit, left = a[0], a[2]
+            else:  # an equal merge across the bound would be further left, so before it
+                limit, right = b[0] + 1, b[1]
+
     def compile(self, state: int, symbol: int) -> None:
         """Add the transition: the encoding of the longer word is that of one of its prefixes and one more token."""
         context, at_start, lasts, counts = self.states[state]
         byte, end = bytes([symbol & 255]), symbol >> 8
         text = context + byte
-        for n in range(min(len(text), self.longest), 0, -1):
-            k = len(text) - n
-            if (token := self.id_of.get((text[k:], end))) is not None and self.fits(lasts[k], token):
+        ends, ids = [text[k:] for k in range(len(text))], self.id_of[end]
+        for k in range(max(0, len(text) - self.longest), len(text)):
+            if (token := ids.get(ends[k])) is not None and self.fits(lasts[k], token):
                 break
         else:
             raise AssertionError("every byte is a token")
@@ -179,12 +200,11 @@ class Transducer:
         if end:
             target = 0
         else:
-            cut = 0
-            while cut < len(text) and text[cut:] not in self.prefixes:
-                cut += 1
             # only where a later token can start does it matter which token and count come before
-            live = [text[k:] in self.prefixes for k in range(cut, len(text))] + [True]
-            key = (text[cut:], at_start and not cut, tuple(t if x else None for t, x in zip((*lasts, token)[cut:], live, strict=True)), tuple(c - count if x else None for c, x in zip((*counts, count)[cut:], live, strict=True)))
+            live = [e in self.prefixes for e in ends] + [True]
+            cut = live.index(True)
+            live, lasts, counts = live[cut:], (*lasts, token)[cut:], (*counts, count)[cut:]
+            key = (text[cut:], at_start and not cut, tuple([t if x else None for t, x in zip(lasts, live)]), tuple([c - count if x else None for c, x in zip(counts, live)]))
             if (target := self.number.get(key)) is None:
                 target = self.number[key] = len(self.states)
                 self.states.append(key)

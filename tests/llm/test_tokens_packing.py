@@ -65,6 +65,18 @@ def test_maps_compose_in_few_rounds(machine, library):
     assert len(steps) < 12 * tokens.CHUNK  # 234 chunks each
 
 
+def test_tokens_that_stay_apart(machine):
+    """Undoing merges says the same as merging."""
+    rng = random.Random(8)
+    tokens_ = [t for t in machine.text_of if machine.fits(-1, t)]
+    inner, common = [t for t in tokens_ if not machine.text_of[t][1]], list(range(512, 3000))
+    pairs = [(rng.choice(inner), rng.choice(tokens_)) for _ in range(4000)] + [(a, b) for a, b in ((rng.choice(common), rng.choice(common)) for _ in range(8000)) if a in machine.text_of and b in machine.text_of and not machine.text_of[a][1]]
+    pairs += [(t, t) for t in inner[:3000]] + [(machine.made[t][1], machine.made[t][2]) for t in tokens_[2000:4000] if t in machine.made]
+    said = [machine.fits(a, b) for a, b in pairs]
+    assert said == [machine.merge(machine.symbols(a) + machine.symbols(b)) == [a, b] and machine.fits(-1, a) and machine.fits(-1, b) for a, b in pairs]
+    assert 0.1 < sum(said) / len(said) < 0.99
+
+
 def test_composition_of_maps():
     rng = np.random.default_rng(3)
     for lanes in (1, 2, 5, 64, 100):
