@@ -52,8 +52,12 @@ def latest_scans(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.latest_scans(standins.scan_files(spark, sf), "S4", "2024-01-31").select("site_id", "filename")
 
 
-@query(chain("files", then="""SELECT e.event_id AS request_id, 'S' || (e.user_id + 3) % 10 AS site_id, e.ts + INTERVAL 7 MINUTES AS dt, min_by(d.filename, {'o': abs(CAST(floor(epoch(d.scan_ts)) AS BIGINT) - CAST(floor(epoch(e.ts + INTERVAL 7 MINUTES)) AS BIGINT)), 'f': d.filename}) AS filename,
-min(abs(CAST(floor(epoch(d.scan_ts)) AS BIGINT) - CAST(floor(epoch(e.ts + INTERVAL 7 MINUTES)) AS BIGINT))) AS seconds_off FROM events e LEFT JOIN dated d ON d.site_id = 'S' || (e.user_id + 3) % 10 AND CAST(d.scan_ts AS DATE) = CAST(e.ts + INTERVAL 7 MINUTES AS DATE) AND NOT d.filename LIKE '%\\_MDM' ESCAPE '\\' WHERE e.event_type = 'click' GROUP BY ALL"""))
+@query(chain("files", then="""
+SELECT e.event_id AS request_id, 'S' || (e.user_id + 3) % 10 AS site_id, e.ts + INTERVAL 7 MINUTES AS dt, min_by(d.filename,
+  {'o': abs(CAST(floor(epoch(d.scan_ts)) AS BIGINT) - CAST(floor(epoch(e.ts + INTERVAL 7 MINUTES)) AS BIGINT)), 'f': d.filename}) AS filename,
+min(abs(CAST(floor(epoch(d.scan_ts)) AS BIGINT) - CAST(floor(epoch(e.ts + INTERVAL 7 MINUTES)) AS BIGINT))) AS seconds_off FROM events e LEFT
+  JOIN dated d ON d.site_id = 'S' || (e.user_id + 3) % 10 AND CAST(d.scan_ts AS DATE) = CAST(e.ts + INTERVAL 7 MINUTES AS DATE) AND NOT d.filename LIKE '%\\_MDM' ESCAPE '\\'
+  WHERE e.event_type = 'click' GROUP BY ALL"""))
 def nearest_scans(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.nearest_scans(standins.scan_requests(spark, sf), standins.scan_files(spark, sf)).withColumn("dt", F.col("dt").cast("timestamp_ntz"))
 
@@ -68,7 +72,8 @@ def cached_scans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, n_name AS city, 'R' || n_regionkey AS state, n_nationkey + 20.5::DOUBLE AS lat, -n_nationkey - 60.25::DOUBLE AS lon FROM customer JOIN nation ON n_nationkey = c_nationkey
+SELECT c_custkey, n_name AS city, 'R' || n_regionkey AS state, n_nationkey + 20.5::DOUBLE AS lat, -n_nationkey - 60.25::DOUBLE AS lon FROM customer
+  JOIN nation ON n_nationkey = c_nationkey
 """)
 def known_places(spark: SparkSession, sf: str) -> DataFrame:
     """Geocoding from a table of places: customers stand in for those who ask, nations for the places."""
@@ -79,7 +84,8 @@ def known_places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(chain("files", then="""SELECT 1 AS request_id, site_id, filename FROM files WHERE site_id = 'S1' QUALIFY row_number() OVER (ORDER BY filename DESC) <= 5
-UNION ALL SELECT 2, site_id, filename FROM files WHERE site_id = 'S2' AND filename <= (SELECT min(filename) FROM files WHERE site_id = 'S2' AND filename > 'S220240110') QUALIFY row_number() OVER (ORDER BY filename DESC) <= 3"""))
+UNION ALL SELECT 2, site_id, filename FROM files WHERE site_id = 'S2' AND filename <= (SELECT min(filename) FROM files WHERE site_id = 'S2' AND filename > 'S220240110')
+  QUALIFY row_number() OVER (ORDER BY filename DESC) <= 3"""))
 def scan_windows(spark: SparkSession, sf: str) -> DataFrame:
     files = standins.scan_files(spark, sf)
     end = files.filter("site_id = 'S2' AND filename > 'S220240110'").agg(F.lit(2).alias("request_id"), F.lit("S2").alias("site_id"), F.lit(3).alias("n"), F.min("filename").alias("end_filename"))
@@ -87,14 +93,20 @@ def scan_windows(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.scan_windows(files, asked).select("request_id", "site_id", "filename")
 
 
-@query(chain("files", then="SELECT site_id, filename FROM files WHERE site_id = 'S5' AND filename LIKE '%20240112%' QUALIFY row_number() OVER (ORDER BY filename DESC) <= 4"))
+@query(chain("files", then="""
+SELECT site_id, filename FROM files WHERE site_id = 'S5' AND filename LIKE '%20240112%' QUALIFY row_number() OVER (ORDER BY filename DESC) <= 4
+"""))
 def local_scans(spark: SparkSession, sf: str) -> DataFrame:
     """None of the listed files is cached, so the day's cached files are taken."""
     files = standins.scan_files(spark, sf)
     return catalog.local_scans(files.filter(F.lit(False)), files, "S5", "2024-01-12", 4).select("site_id", "filename")
 
 
-@query("SELECT vec_id // 100 AS scan_id, min(CAST(strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(5 * (vec_id // 100) AS INT)), '%Y-%m-%d %H:%M:%S') AS VARCHAR)) AS scan_ts, list_sort(list_distinct(list(round_even(((vec_id // 10) % 5) * 0.97::DOUBLE + 0.48, 1)))) AS elevations FROM embeddings GROUP BY 1 HAVING count(*) FILTER ((vec_id // 50) % 2 = 0 AND (vec_id // 10) % 5 = 0) > 0")
+@query("""
+SELECT vec_id // 100 AS scan_id, min(CAST(strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(5 * (vec_id // 100) AS INT)), '%Y-%m-%d %H:%M:%S') AS VARCHAR)) AS scan_ts,
+  list_sort(list_distinct(list(round_even(((vec_id // 10) % 5) * 0.97::DOUBLE + 0.48, 1)))) AS elevations
+  FROM embeddings GROUP BY 1 HAVING count(*) FILTER ((vec_id // 50) % 2 = 0 AND (vec_id // 10) % 5 = 0) > 0
+""")
 def reflectivity_headers(spark: SparkSession, sf: str) -> DataFrame:
     heads = volumes.reflectivity_scans(standins.volumes(spark, sf)[0])
     return heads.select("scan_id", F.date_format("scan_ts", "yyyy-MM-dd HH:mm:ss").alias("scan_ts"), "elevations")
@@ -111,13 +123,19 @@ def reflectivity_extract(spark: SparkSession, sf: str) -> DataFrame:
     return volumes.reflectivity_gates(standins.volumes(spark, sf)[1]).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("dbz")).alias("total"))
 
 
-@query(chain("sites", "stations", then=f"""SELECT station_id, site_id, round_even(d, 6) AS distance_km, round_even(b, 4) AS beam_height_m, CAST(row_number() OVER (PARTITION BY station_id ORDER BY b, ord) AS INT) AS site_rank
-FROM (SELECT *, d * 1000 * tan(radians(0.5)) + pow(d * 1000, 2) / (2 * 6371000.0) + elevation_m AS b FROM (SELECT s.*, t.*, {hav("t.lat", "t.lon", "s.latitude", "s.longitude")} AS d FROM stations t, sites s)) WHERE b <= 10000"""))
+@query(chain("sites", "stations", then=f"""
+SELECT station_id, site_id, round_even(d, 6) AS distance_km, round_even(b, 4) AS beam_height_m, CAST(row_number() OVER (PARTITION BY station_id ORDER BY b,
+  ord) AS INT) AS site_rank
+FROM (SELECT *, d * 1000 * tan(radians(0.5)) + pow(d * 1000, 2) / (2 * 6371000.0) + elevation_m AS b
+  FROM (SELECT s.*, t.*, {hav("t.lat", "t.lon", "s.latitude", "s.longitude")} AS d FROM stations t, sites s)) WHERE b <= 10000"""))
 def rank_sites(spark: SparkSession, sf: str) -> DataFrame:
     return sites.rank_sites(standins.stations(spark, sf)).select("station_id", "site_id", r6("distance_km").alias("distance_km"), F.bround("beam_height_m", 4).alias("beam_height_m"), "site_rank")
 
 
-@query(chain("sites", then="SELECT n_nationkey, coalesce(s.name, upper(x)) AS site_name FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'ktlx' WHEN n_nationkey % 3 = 1 THEN 'KABR' ELSE 'zz' || n_nationkey END AS x FROM nation) LEFT JOIN sites s ON s.site_id = upper(x)"))
+@query(chain("sites", then="""
+SELECT n_nationkey, coalesce(s.name, upper(x)) AS site_name FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'ktlx'
+  WHEN n_nationkey % 3 = 1 THEN 'KABR' ELSE 'zz' || n_nationkey END AS x FROM nation) LEFT JOIN sites s ON s.site_id = upper(x)
+"""))
 def site_names(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("n_nationkey")
     x = F.when(k % 3 == 0, "ktlx").when(k % 3 == 1, "KABR").otherwise(F.concat(F.lit("zz"), k.cast("string")))
@@ -133,8 +151,13 @@ def geography(spark: SparkSession, sf: str) -> DataFrame:
     return standins.stations(spark, sf).select("station_id", r6(S.haversine_km("lat", "lon", F.lit(35.3331), F.lit(-97.2778))).alias("distance_km"), r6(lat).alias("to_lat"), r6(lon).alias("to_lon"))
 
 
-@query(f"""SELECT event_id, {intensity("value / 6")} AS intensity, {bearing("value")} AS bearing, CASE WHEN value / 10 >= 35 THEN 'strong' WHEN value / 10 >= 25 THEN 'moderate' ELSE 'weak' END AS strength, CASE WHEN value / 500 >= 0.75 THEN 'high' WHEN value / 500 >= 0.45 THEN 'medium' ELSE 'low' END AS confidence,
-CAST(round_even(value / 1.60934, 0) AS INT) AS miles, CAST(round_even(value / (1.60934 * 1.60934), 0) AS INT) AS square_miles, greatest(0.25, least(value / 400, 1.0)) AS quality_factor, round_even(greatest(0.0, least(1.0, 1 - value / 100 / 10)), 2) AS match_quality FROM events""")
+@query(f"""
+SELECT event_id, {intensity("value / 6")} AS intensity, {bearing("value")} AS bearing, CASE WHEN value / 10 >= 35 THEN 'strong'
+  WHEN value / 10 >= 25 THEN 'moderate' ELSE 'weak' END AS strength, CASE WHEN value / 500 >= 0.75 THEN 'high'
+  WHEN value / 500 >= 0.45 THEN 'medium' ELSE 'low' END AS confidence,
+CAST(round_even(value / 1.60934, 0) AS INT) AS miles, CAST(round_even(value / (1.60934 * 1.60934), 0) AS INT) AS square_miles, greatest(0.25, least(value / 400,
+  1.0)) AS quality_factor, round_even(greatest(0.0, least(1.0, 1 - value / 100 / 10)), 2) AS match_quality
+  FROM events""")
 def labels_and_units(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value")
     return standins.table(spark, sf, "events").select("event_id", S.intensity_label(v / 6).alias("intensity"), S.bearing_label(v).alias("bearing"), S.rotation_strength(v / 10).alias("strength"), S.confidence_label(v / 500).alias("confidence"), S.miles(v).alias("miles"), S.square_miles(v).alias("square_miles"), S.scan_quality_factor(v / 400).alias("quality_factor"), S.match_quality(v / 100).alias("match_quality"))
@@ -165,15 +188,21 @@ def speckle(spark: SparkSession, sf: str) -> DataFrame:
     return Q.speckle_gates(standins.gates(spark, sf))
 
 
-@query(chain("gates", "speckle", then="SELECT g.scan_id, g.az_idx, g.rng_idx, round_even(g.dbz, 6) AS dbz FROM gates g ANTI JOIN speckle s USING (scan_id, az_idx, rng_idx)"))
+@query(chain("gates", "speckle", then="""
+SELECT g.scan_id, g.az_idx, g.rng_idx, round_even(g.dbz, 6) AS dbz FROM gates g ANTI JOIN speckle s USING (scan_id, az_idx, rng_idx)
+"""))
 def clean_gates(spark: SparkSession, sf: str) -> DataFrame:
     g = standins.gates(spark, sf)
     return Q.remove_speckle(g, Q.speckle_gates(g)).withColumn("dbz", r6("dbz"))
 
 
-@query(chain("gates", "speckle", then="""SELECT scan_id, round_even(greatest(0.0, least(1.0, 1 - (1 - n / 3200.0) * 0.7 - least(gone / 3200.0 * 20, 0.3))), 3) AS score, round_even(n / 3200.0, 3) AS finite_fraction, gone AS removed_speckle_pixels, round_even(gone / 3200.0, 5) AS removed_speckle_fraction,
-list_filter([CASE WHEN 1 - n / 3200.0 >= 0.35 THEN 'high_missing_fraction' END, CASE WHEN gone > 0 THEN 'speckle_filtered' END, CASE WHEN echo <= gone THEN 'no_object_scale_echo' END], lambda x: x IS NOT NULL) AS flags
-FROM (SELECT scan_id, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (dbz >= 20) AS echo, (SELECT count(*) FROM speckle s WHERE s.scan_id = g.scan_id) AS gone FROM gates g GROUP BY scan_id)"""))
+@query(chain("gates", "speckle", then="""
+SELECT scan_id, round_even(greatest(0.0, least(1.0, 1 - (1 - n / 3200.0) * 0.7 - least(gone / 3200.0 * 20, 0.3))), 3) AS score, round_even(n / 3200.0,
+  3) AS finite_fraction, gone AS removed_speckle_pixels, round_even(gone / 3200.0, 5) AS removed_speckle_fraction,
+list_filter([CASE WHEN 1 - n / 3200.0 >= 0.35 THEN 'high_missing_fraction' END, CASE WHEN gone > 0 THEN 'speckle_filtered' END, CASE
+  WHEN echo <= gone THEN 'no_object_scale_echo' END], lambda x: x IS NOT NULL) AS flags
+FROM (SELECT scan_id, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (dbz >= 20) AS echo, (SELECT count(*) FROM speckle s WHERE s.scan_id = g.scan_id) AS gone
+  FROM gates g GROUP BY scan_id)"""))
 def scan_quality(spark: SparkSession, sf: str) -> DataFrame:
     g = standins.gates(spark, sf)
     return Q.scan_quality(standins.scans(spark, sf), g, Q.speckle_gates(g))
@@ -184,7 +213,9 @@ def threshold_tree(spark: SparkSession, sf: str) -> DataFrame:
     return D.threshold_tree(D.threshold_labels(standins.gates(spark, sf))).withColumn("peak_dbz", r6("peak_dbz"))
 
 
-@query(chain("upto:seeds", then="SELECT scan_id, blob, node_id, threshold, list_filter([20.0, 30.0, 40.0, 50.0, 60.0], lambda t: t <= threshold)::DOUBLE[] AS threshold_path FROM leaves"))
+@query(chain("upto:seeds", then="""
+SELECT scan_id, blob, node_id, threshold, list_filter([20.0, 30.0, 40.0, 50.0, 60.0], lambda t: t <= threshold)::DOUBLE[] AS threshold_path FROM leaves
+"""))
 def tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return D.threshold_paths(D.tree_leaves(D.threshold_tree(D.threshold_labels(standins.gates(spark, sf))))).select("scan_id", "blob", "node_id", "threshold", "threshold_path")
 
@@ -204,7 +235,9 @@ def _detected(spark: SparkSession, sf: str) -> D.Detection:
     return D.detect_objects(standins.scans(spark, sf), standins.gates(spark, sf))
 
 
-@query(chain("upto:objects", then="SELECT scan_id, object_id, centroid_lat, centroid_lon, distance_km, bearing_deg, peak_dbz, peak_label, area_km2, pixel_count, rank FROM objects"))
+@query(chain("upto:objects", then="""
+SELECT scan_id, object_id, centroid_lat, centroid_lon, distance_km, bearing_deg, peak_dbz, peak_label, area_km2, pixel_count, rank FROM objects
+"""))
 def objects(spark: SparkSession, sf: str) -> DataFrame:
     return _detected(spark, sf).objects.select("scan_id", "object_id", "centroid_lat", "centroid_lon", "distance_km", "bearing_deg", "peak_dbz", "peak_label", "area_km2", "pixel_count", "rank")
 
@@ -228,14 +261,20 @@ def sweep_regions(spark: SparkSession, sf: str) -> DataFrame:
     return V.sweep_regions(standins.velocity_sweeps(spark, sf), V.wind_gates(standins.velocity_gates(spark, sf)))
 
 
-@query(chain("vgates", "wind", then="""SELECT scan_id, region_type, sweep_a, label_a, sweep_b, label_b, shared, round_even(shared / (na + nb - shared), 6) AS iou FROM (SELECT a.scan_id, a.region_type, a.sweep_idx AS sweep_a, a.label AS label_a, b.sweep_idx AS sweep_b, b.label AS label_b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
-FROM (SELECT *, count(*) OVER (PARTITION BY scan_id, sweep_idx, region_type, label) AS n FROM wind) a JOIN (SELECT *, count(*) OVER (PARTITION BY scan_id, sweep_idx, region_type, label) AS n FROM wind) b USING (scan_id, region_type, az_idx, rng_idx) WHERE a.sweep_idx < b.sweep_idx GROUP BY ALL)"""))
+@query(chain("vgates", "wind", then="""
+SELECT scan_id, region_type, sweep_a, label_a, sweep_b, label_b, shared, round_even(shared / (na + nb - shared), 6) AS iou
+  FROM (SELECT a.scan_id, a.region_type, a.sweep_idx AS sweep_a, a.label AS label_a, b.sweep_idx AS sweep_b, b.label AS label_b, count(*) AS shared, any_value(a.n) AS na,
+  any_value(b.n) AS nb
+FROM (SELECT *, count(*) OVER (PARTITION BY scan_id, sweep_idx, region_type, label) AS n FROM wind) a
+  JOIN (SELECT *, count(*) OVER (PARTITION BY scan_id, sweep_idx, region_type, label) AS n FROM wind) b USING (scan_id, region_type, az_idx, rng_idx)
+  WHERE a.sweep_idx < b.sweep_idx GROUP BY ALL)"""))
 def region_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return V.region_overlaps(V.wind_gates(standins.velocity_gates(spark, sf))).select("scan_id", "region_type", "sweep_a", "label_a", "sweep_b", "label_b", "shared", r6("iou").alias("iou"))
 
 
 MERGED_REGIONS = """
-SELECT scan_id, region_id, y.kind AS region_type, y.peak AS peak_velocity_ms, y.mean AS mean_velocity_ms, y.area AS area_km2, y.lat AS centroid_lat, y.lon AS centroid_lon,
+SELECT scan_id, region_id, y.kind AS region_type, y.peak AS peak_velocity_ms, y.mean AS mean_velocity_ms, y.area AS area_km2, y.lat AS centroid_lat,
+  y.lon AS centroid_lon,
   y.km AS distance_km, y.deg AS bearing_deg, y.n AS sweep_count, y.els AS elevation_angles
 FROM merged_regions
 """
@@ -247,7 +286,9 @@ def velocity_regions(spark: SparkSession, sf: str) -> DataFrame:
     return V.velocity_regions(standins.velocity_sweeps(spark, sf), standins.velocity_gates(spark, sf))
 
 
-@query(chain("vgates", "shear", then="SELECT scan_id, sweep_idx, az_idx, rng_idx, round_even(shear, 6) AS shear, round_even(inbound, 6) AS inbound, round_even(outbound, 6) AS outbound FROM shear"))
+@query(chain("vgates", "shear", then="""
+SELECT scan_id, sweep_idx, az_idx, rng_idx, round_even(shear, 6) AS shear, round_even(inbound, 6) AS inbound, round_even(outbound, 6) AS outbound FROM shear
+"""))
 def shear_gates(spark: SparkSession, sf: str) -> DataFrame:
     found = V.shear_gates(standins.velocity_sweeps(spark, sf), standins.velocity_gates(spark, sf))
     return found.withColumns({c: r6(c) for c in ("shear", "inbound", "outbound")})
@@ -302,16 +343,30 @@ def objects_with_rotation(spark: SparkSession, sf: str) -> DataFrame:
 # -- association ------------------------------------------------------------------------------------------------------
 
 PAIRS = """og AS (SELECT d.scan_id, o.object_id, d.az_idx, d.rng_idx FROM divided d JOIN objects o ON o.scan_id = d.scan_id AND o.blob = d.blob AND o.seed = d.seed),
-sz AS (SELECT scan_id, object_id, count(*) AS n FROM og GROUP BY ALL), moved AS (SELECT scan_id, object_id, az_idx + 2 AS az_idx, rng_idx - 1 AS rng_idx FROM og WHERE az_idx + 2 < 50 AND rng_idx >= 1),
+sz AS (SELECT scan_id, object_id, count(*) AS n FROM og GROUP BY ALL), moved AS (SELECT scan_id, object_id, az_idx + 2 AS az_idx, rng_idx - 1 AS rng_idx FROM og
+  WHERE az_idx + 2 < 50 AND rng_idx >= 1),
 msz AS (SELECT scan_id, object_id, count(*) AS n FROM moved GROUP BY ALL),
-ov AS (SELECT b.scan_id AS pair_id, a.object_id AS prev_id, b.object_id, count(*) AS shared, count(*) / any_value(s.n) AS overlap, count(*) / (any_value(s.n) + any_value(z.n) - count(*)) AS iou FROM og a JOIN og b ON b.scan_id = a.scan_id + 1 AND a.az_idx = b.az_idx AND a.rng_idx = b.rng_idx JOIN sz s ON s.scan_id = a.scan_id AND s.object_id = a.object_id JOIN sz z ON z.scan_id = b.scan_id AND z.object_id = b.object_id GROUP BY ALL),
-adv AS (SELECT b.scan_id AS pair_id, a.object_id AS prev_id, b.object_id, count(*) AS shared, count(*) / any_value(s.n) AS overlap, count(*) / (any_value(s.n) + any_value(z.n) - count(*)) AS iou FROM moved a JOIN og b ON b.scan_id = a.scan_id + 1 AND a.az_idx = b.az_idx AND a.rng_idx = b.rng_idx JOIN msz s ON s.scan_id = a.scan_id AND s.object_id = a.object_id JOIN sz z ON z.scan_id = b.scan_id AND z.object_id = b.object_id GROUP BY ALL)"""
+ov AS (SELECT b.scan_id AS pair_id, a.object_id AS prev_id, b.object_id, count(*) AS shared, count(*) / any_value(s.n) AS overlap,
+  count(*) / (any_value(s.n) + any_value(z.n) - count(*)) AS iou
+  FROM og a JOIN og b ON b.scan_id = a.scan_id + 1 AND a.az_idx = b.az_idx AND a.rng_idx = b.rng_idx JOIN sz s ON s.scan_id = a.scan_id AND s.object_id = a.object_id
+  JOIN sz z ON z.scan_id = b.scan_id AND z.object_id = b.object_id GROUP BY ALL),
+adv AS (SELECT b.scan_id AS pair_id, a.object_id AS prev_id, b.object_id, count(*) AS shared, count(*) / any_value(s.n) AS overlap,
+  count(*) / (any_value(s.n) + any_value(z.n) - count(*)) AS iou
+  FROM moved a JOIN og b ON b.scan_id = a.scan_id + 1 AND a.az_idx = b.az_idx AND a.rng_idx = b.rng_idx JOIN msz s ON s.scan_id = a.scan_id AND s.object_id = a.object_id
+  JOIN sz z ON z.scan_id = b.scan_id AND z.object_id = b.object_id GROUP BY ALL)"""
 
 SCORES = PAIRS + f""",
-cand AS (SELECT b.scan_id AS pair_id, a.object_id AS track_id, b.object_id, coalesce(v.overlap, 0.0) AS overlap, coalesce(w.iou, 0.0) AS advected, {hav("a.centroid_lat", "a.centroid_lon", "b.centroid_lat", "b.centroid_lon")} AS dist, {hav("(a.centroid_lat + 0.01)", "(a.centroid_lon - 0.01)", "b.centroid_lat", "b.centroid_lon")} AS off, a.area_km2 AS a1, b.area_km2 AS a2, a.peak_dbz AS p1, b.peak_dbz AS p2
-  FROM objects a JOIN objects b ON b.scan_id = a.scan_id + 1 LEFT JOIN ov v ON v.pair_id = b.scan_id AND v.prev_id = a.object_id AND v.object_id = b.object_id LEFT JOIN adv w ON w.pair_id = b.scan_id AND w.prev_id = a.object_id AND w.object_id = b.object_id),
-scores AS (SELECT pair_id, track_id, object_id, round_even(overlap, 4) AS overlap_score, round_even(advected, 4) AS advected_overlap_score, round_even(least(dist / 10.0, 5.0), 4) AS distance_score, round_even(least(off / 10.0, 5.0), 4) AS predicted_position_score, round_even(abs(a2 - a1) / greatest(a1, 1.0), 4) AS area_change_score, round_even(abs(p2 - p1) / 60, 4) AS intensity_change_score,
-  round_even((1 - greatest(overlap, advected)) * 0.65 + least(off / 10.0, 5.0) * 0.18 + least(dist / 10.0, 5.0) * 0.07 + abs(a2 - a1) / greatest(a1, 1.0) * 0.07 + abs(p2 - p1) / 60 * 0.03, 4) AS total_cost FROM cand WHERE NOT (overlap < 0.3 AND advected < 0.15 AND dist > 10.0))"""
+cand AS (SELECT b.scan_id AS pair_id, a.object_id AS track_id, b.object_id, coalesce(v.overlap, 0.0) AS overlap, coalesce(w.iou, 0.0) AS advected,
+  {hav("a.centroid_lat", "a.centroid_lon", "b.centroid_lat", "b.centroid_lon")} AS dist, {hav("(a.centroid_lat + 0.01)", "(a.centroid_lon - 0.01)", "b.centroid_lat",
+  "b.centroid_lon")} AS off, a.area_km2 AS a1, b.area_km2 AS a2, a.peak_dbz AS p1, b.peak_dbz AS p2
+  FROM objects a JOIN objects b ON b.scan_id = a.scan_id + 1 LEFT JOIN ov v ON v.pair_id = b.scan_id AND v.prev_id = a.object_id AND v.object_id = b.object_id LEFT
+    JOIN adv w ON w.pair_id = b.scan_id AND w.prev_id = a.object_id AND w.object_id = b.object_id),
+scores AS (SELECT pair_id, track_id, object_id, round_even(overlap, 4) AS overlap_score, round_even(advected, 4) AS advected_overlap_score,
+  round_even(least(dist / 10.0, 5.0), 4) AS distance_score, round_even(least(off / 10.0, 5.0), 4) AS predicted_position_score, round_even(abs(a2 - a1) / greatest(a1,
+  1.0), 4) AS area_change_score, round_even(abs(p2 - p1) / 60, 4) AS intensity_change_score,
+  round_even((1 - greatest(overlap, advected)) * 0.65 + least(off / 10.0, 5.0) * 0.18 + least(dist / 10.0, 5.0) * 0.07 + abs(a2 - a1) / greatest(a1,
+    1.0) * 0.07 + abs(p2 - p1) / 60 * 0.03, 4) AS total_cost
+    FROM cand WHERE NOT (overlap < 0.3 AND advected < 0.15 AND dist > 10.0))"""
 
 
 def _with(names: str, extra: str, then: str) -> str:
@@ -339,7 +394,9 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return A.candidate_scores(tracks, o.withColumnRenamed("scan_id", "pair_id"), A.mask_overlaps(before, after), _moved(before, after), F.lit(5 / 60))
 
 
-@query("SELECT 'KTLX' AS site_id, s - 1 AS previous_id, s AS scan_id, round_even(5 / 60.0, 6) AS hours FROM (SELECT DISTINCT vec_id // 50 AS s FROM embeddings) WHERE s > 0")
+@query("""
+SELECT 'KTLX' AS site_id, s - 1 AS previous_id, s AS scan_id, round_even(5 / 60.0, 6) AS hours FROM (SELECT DISTINCT vec_id // 50 AS s FROM embeddings) WHERE s > 0
+""")
 def scan_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return A.scan_pairs(standins.scans(spark, sf)).withColumn("hours", r6("hours"))
 
@@ -362,15 +419,19 @@ def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 IDENTITY = f"""
-leads AS (SELECT *, list_sort(list(total_cost) OVER (PARTITION BY pair_id, object_id)) AS of_object, list_sort(list(total_cost) OVER (PARTITION BY pair_id, track_id)) AS of_track FROM scores),
+leads AS (SELECT *, list_sort(list(total_cost) OVER (PARTITION BY pair_id, object_id)) AS of_object,
+  list_sort(list(total_cost) OVER (PARTITION BY pair_id, track_id)) AS of_track
+  FROM scores),
 margins AS (SELECT *, {even("least(of_object[2] - of_object[1], of_track[2] - of_track[1])", 2)} AS margin,
   {even("greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - total_cost / 10))", 2)} AS match_quality FROM leads),
-graded AS (SELECT *, match_quality * 0.45::DOUBLE + CASE WHEN margin IS NULL THEN 0.7::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, margin / 0.75::DOUBLE)) END * 0.2::DOUBLE
+graded AS (SELECT *, match_quality * 0.45::DOUBLE + CASE
+  WHEN margin IS NULL THEN 0.7::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, margin / 0.75::DOUBLE)) END * 0.2::DOUBLE
   + 0.8::DOUBLE * 0.15::DOUBLE + (1 - 0.08::DOUBLE) * 0.2::DOUBLE AS score FROM margins)"""
 
 
 @query(_with("upto:objects", SCORES + "," + IDENTITY, f"""
-SELECT pair_id, track_id, object_id, total_cost, margin, match_quality, CASE WHEN margin < 0.15 THEN least({even("score", 2)}, 0.4::DOUBLE) ELSE {even("score", 2)} END AS identity_score
+SELECT pair_id, track_id, object_id, total_cost, margin, match_quality, CASE
+  WHEN margin < 0.15 THEN least({even("score", 2)}, 0.4::DOUBLE) ELSE {even("score", 2)} END AS identity_score
 FROM graded
 """))
 def identity_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,7 +447,9 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Pairs that are each other's cheapest stand in for the optimal matches, which SQL can't find.
 MUTUAL = """
-placed_scores AS (SELECT *, row_number() OVER (PARTITION BY pair_id, object_id ORDER BY total_cost, track_id) AS by_object, row_number() OVER (PARTITION BY pair_id, track_id ORDER BY total_cost, object_id) AS by_track FROM scores),
+placed_scores AS (SELECT *, row_number() OVER (PARTITION BY pair_id, object_id ORDER BY total_cost, track_id) AS by_object, row_number() OVER (PARTITION BY pair_id,
+  track_id ORDER BY total_cost, object_id) AS by_track
+  FROM scores),
 mutual AS (SELECT pair_id, track_id, object_id FROM placed_scores WHERE by_object = 1 AND by_track = 1)"""
 
 
@@ -423,17 +486,25 @@ def merge_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey AS pair_id, 'split' AS event_type, 'Track ' || o_custkey % 7 || ' split into tracks ' || list_aggregate(others, 'string_agg', ', ') AS description, list_concat([o_custkey % 7], others) AS involved_track_ids
-FROM (SELECT o_custkey, list_filter(list_sort(list_distinct(list(o_orderkey % 7))), lambda x: x <> o_custkey % 7) AS others FROM orders GROUP BY o_custkey) WHERE len(others) > 0
+SELECT o_custkey AS pair_id, 'split' AS event_type, 'Track ' || o_custkey % 7 || ' split into tracks ' || list_aggregate(others, 'string_agg', ', ') AS description,
+  list_concat([o_custkey % 7], others) AS involved_track_ids
+FROM (SELECT o_custkey, list_filter(list_sort(list_distinct(list(o_orderkey % 7))), lambda x: x <> o_custkey % 7) AS others FROM orders GROUP BY o_custkey)
+  WHERE len(others) > 0
 """)
 def split_events(spark: SparkSession, sf: str) -> DataFrame:
     each = standins.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("pair_id")).agg(F.array_sort(F.collect_list(F.col("o_orderkey") % 7)).alias("other_ids"))
     return A.split_events(each.withColumn("track_id", F.col("pair_id") % 7))
 
 
-@query(chain("upto:objects", then="""SELECT a.pair_id, round_even(b.lat - a.lat, 4) AS delta_lat, round_even(b.lon - a.lon, 4) AS delta_lon, round_even(least(a.w, b.w) / greatest(a.w, b.w), 3) AS quality FROM
-(SELECT scan_id + 1 AS pair_id, sum(greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) AS w, sum(centroid_lat * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lat, sum(centroid_lon * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lon FROM objects GROUP BY 1) a JOIN
-(SELECT scan_id AS pair_id, sum(greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) AS w, sum(centroid_lat * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lat, sum(centroid_lon * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lon FROM objects GROUP BY 1) b USING (pair_id)"""))
+@query(chain("upto:objects", then="""
+SELECT a.pair_id, round_even(b.lat - a.lat, 4) AS delta_lat, round_even(b.lon - a.lon, 4) AS delta_lon, round_even(least(a.w, b.w) / greatest(a.w, b.w),
+  3) AS quality FROM
+(SELECT scan_id + 1 AS pair_id, sum(greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) AS w,
+  sum(centroid_lat * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lat, sum(centroid_lon * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lon
+  FROM objects GROUP BY 1) a JOIN
+(SELECT scan_id AS pair_id, sum(greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) AS w,
+  sum(centroid_lat * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lat, sum(centroid_lon * greatest(area_km2, 0.1) * greatest(peak_dbz, 20.0)) / w AS lon
+  FROM objects GROUP BY 1) b USING (pair_id)"""))
 def object_shifts(spark: SparkSession, sf: str) -> DataFrame:
     o = _detected(spark, sf).objects.select("scan_id", F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon"), F.col("area_km2").alias("area"), F.col("peak_dbz").alias("peak"))
     return A.object_shift(o.withColumn("pair_id", F.col("scan_id") + 1), o.withColumn("pair_id", F.col("scan_id")))
@@ -442,8 +513,12 @@ def object_shifts(spark: SparkSession, sf: str) -> DataFrame:
 BLEND = """e AS (SELECT event_id, (event_id % 11 - 5) / 400.0::DOUBLE AS gl, (event_id % 7 - 3) / 400.0::DOUBLE AS go, (event_id % 10) / 10.0::DOUBLE AS gq, value / 30000 - 0.006 AS ll, value / 40000 - 0.006 AS lo, (event_id % 13) / 12.0::DOUBLE AS lq FROM events)"""
 
 
-@query(f"""WITH {BLEND} SELECT event_id, CASE k WHEN 1 THEN gl WHEN 2 THEN ll ELSE round_even((ll * lq + gl * gq * 0.6) / (lq + gq * 0.6), 4) + 0.0 END AS delta_lat, CASE k WHEN 1 THEN go WHEN 2 THEN lo ELSE round_even((lo * lq + go * gq * 0.6) / (lq + gq * 0.6), 4) + 0.0 END AS delta_lon, CASE k WHEN 1 THEN gq WHEN 2 THEN lq ELSE round_even(least(1.0, greatest(lq, gq)), 3) END AS quality, CASE k WHEN 1 THEN 'scene' WHEN 2 THEN 'local' ELSE 'blended:scene+local' END AS source
-FROM (SELECT *, CASE WHEN lq <= 0 THEN 1 WHEN gq <= 0 THEN 2 WHEN lq < 0.6 OR (gq >= 0.35 AND sqrt(pow(ll - gl, 2) + pow(lo - go, 2)) > 0.03) THEN 1 ELSE 3 END AS k FROM e)""")
+@query(f"""
+WITH {BLEND} SELECT event_id, CASE k WHEN 1 THEN gl WHEN 2 THEN ll ELSE round_even((ll * lq + gl * gq * 0.6) / (lq + gq * 0.6), 4) + 0.0 END AS delta_lat, CASE k
+  WHEN 1 THEN go WHEN 2 THEN lo ELSE round_even((lo * lq + go * gq * 0.6) / (lq + gq * 0.6), 4) + 0.0 END AS delta_lon, CASE k WHEN 1 THEN gq
+  WHEN 2 THEN lq ELSE round_even(least(1.0, greatest(lq, gq)), 3) END AS quality, CASE k WHEN 1 THEN 'scene' WHEN 2 THEN 'local' ELSE 'blended:scene+local' END AS source
+FROM (SELECT *, CASE WHEN lq <= 0 THEN 1 WHEN gq <= 0 THEN 2 WHEN lq < 0.6 OR (gq >= 0.35 AND sqrt(pow(ll - gl, 2) + pow(lo - go, 2)) > 0.03) THEN 1 ELSE 3 END AS k
+  FROM e)""")
 def blended_shifts(spark: SparkSession, sf: str) -> DataFrame:
     k, v = F.col("event_id"), F.col("value")
     scene = F.struct(((k % 11 - 5) / 400.0).alias("delta_lat"), ((k % 7 - 3) / 400.0).alias("delta_lon"), ((k % 10) / 10.0).alias("quality"), F.lit("scene").alias("source"))
@@ -455,7 +530,9 @@ def blended_shifts(spark: SparkSession, sf: str) -> DataFrame:
 # -- motion -----------------------------------------------------------------------------------------------------------
 
 
-@query(chain("positions", "steps_of", then="SELECT track_id, position_id, round_even(speed_kmh, 4) AS speed_kmh, round_even(heading_deg, 6) AS heading_deg FROM steps_of", positions="positions"))
+@query(chain("positions", "steps_of", then="""
+SELECT track_id, position_id, round_even(speed_kmh, 4) AS speed_kmh, round_even(heading_deg, 6) AS heading_deg FROM steps_of
+""", positions="positions"))
 def track_steps(spark: SparkSession, sf: str) -> DataFrame:
     return M.track_steps(standins.positions(spark, sf)).select("track_id", "position_id", F.bround("speed_kmh", 4).alias("speed_kmh"), r6("heading_deg").alias("heading_deg"))
 
@@ -480,8 +557,13 @@ def recent_headings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _field_sql(prefix: str = "") -> str:
-    return f"""field AS (SELECT *, CASE WHEN sp > 160 THEN 0.0 ELSE sp END AS f_speed, CASE WHEN sp > 160 THEN 'uncertain' WHEN sp < 2 THEN 'nearly stationary' ELSE {bearing("hd")} END AS f_label, CASE WHEN sp <= 160 AND sp >= 2 THEN hd END AS f_heading, CASE WHEN sp > 160 THEN 'low' WHEN sp >= 2 AND q >= 0.75 THEN 'high' WHEN q >= 0.35 THEN 'medium' ELSE 'low' END AS f_conf, CASE WHEN sp > 160 THEN 0.0 ELSE round_even(q, 2) END AS f_score, CASE WHEN sp > 160 THEN 'suppressed' ELSE 'motion_field' END AS f_source
-  FROM (SELECT *, round_even(sqrt(pow(dla * 111.32, 2) + pow(dlo * 111.32 * cos(radians(35.0)), 2)) / hours, 1) AS sp, round_even({pmod("degrees(atan2(dlo * 111.32 * cos(radians(35.0)), dla * 111.32))")}, 1) AS hd FROM {prefix}))"""
+    return f"""
+field AS (SELECT *, CASE WHEN sp > 160 THEN 0.0 ELSE sp END AS f_speed, CASE WHEN sp > 160 THEN 'uncertain'
+  WHEN sp < 2 THEN 'nearly stationary' ELSE {bearing("hd")} END AS f_label, CASE WHEN sp <= 160 AND sp >= 2 THEN hd END AS f_heading, CASE WHEN sp > 160 THEN 'low'
+  WHEN sp >= 2 AND q >= 0.75 THEN 'high' WHEN q >= 0.35 THEN 'medium' ELSE 'low' END AS f_conf, CASE WHEN sp > 160 THEN 0.0 ELSE round_even(q, 2) END AS f_score, CASE
+  WHEN sp > 160 THEN 'suppressed' ELSE 'motion_field' END AS f_source
+  FROM (SELECT *, round_even(sqrt(pow(dla * 111.32, 2) + pow(dlo * 111.32 * cos(radians(35.0)), 2)) / hours, 1) AS sp,
+    round_even({pmod("degrees(atan2(dlo * 111.32 * cos(radians(35.0)), dla * 111.32))")}, 1) AS hd FROM {prefix}))"""
 
 
 @query("WITH src AS (SELECT event_id, (event_id % 21 - 10) / 100.0::DOUBLE AS dla, value / 2000 - 0.12 AS dlo, (event_id % 11) / 10.0::DOUBLE AS q, 0.2::DOUBLE AS hours FROM events), " + _field_sql("src") + " SELECT event_id, f_speed AS speed_kmh, CAST(round_even(f_speed / 1.60934, 0) AS INT) AS speed_mph, f_heading AS heading_deg, f_label AS heading_label, f_conf AS confidence_label, f_score AS confidence_score, f_source AS source FROM field")
@@ -505,9 +587,13 @@ picked AS (SELECT *, CASE WHEN directed AND {doubtful.format("0.75")} THEN 'trac
  WHEN ha AND f_heading IS NOT NULL AND {delta("f_heading", "recent_heading")} < 60 THEN 'field' WHEN ha THEN 'recent track steps disagree with fitted heading'
  WHEN f_score >= 0.5 AND directed AND ((abs(speed_kmh - f_speed) >= 30 AND speed_kmh / greatest(f_speed, 5.0) >= 1.8) OR (f_speed >= 5 AND speed_kmh >= 20 AND {delta("heading_deg", "f_heading")} >= 75)) THEN {by_field}
  WHEN (NOT directed OR (confidence_label <> 'low' AND ident >= 0.45 AND NOT {doubtful.format("0.85")})) AND ((ident >= 0.75 AND confidence_label <> 'low') OR (ident >= 0.45 AND confidence_label = 'medium')) THEN 'history'
- WHEN f_score >= 0.35 THEN {by_field} WHEN heading_label IN ('stationary', 'nearly stationary') THEN 'history' ELSE 'track identity too weak for publishable motion' END AS pick FROM flags)
-SELECT track_id, CASE pick WHEN 'history' THEN speed_kmh WHEN 'field' THEN f_speed ELSE 0.0 END AS speed_kmh, CASE pick WHEN 'history' THEN heading_deg WHEN 'field' THEN f_heading END AS heading_deg, CASE pick WHEN 'history' THEN heading_label WHEN 'field' THEN f_label ELSE 'uncertain' END AS heading_label, CASE pick WHEN 'history' THEN 'track_history' WHEN 'field' THEN f_source ELSE 'suppressed' END AS source,
- CASE pick WHEN 'history' THEN confidence_reason WHEN 'field' THEN CASE WHEN f_source = 'suppressed' THEN 'motion field exceeds plausibility threshold' ELSE 'scene motion field from scene' END ELSE pick END AS confidence_reason FROM picked"""
+ WHEN f_score >= 0.35 THEN {by_field}
+   WHEN heading_label IN ('stationary', 'nearly stationary') THEN 'history' ELSE 'track identity too weak for publishable motion' END AS pick FROM flags)
+SELECT track_id, CASE pick WHEN 'history' THEN speed_kmh WHEN 'field' THEN f_speed ELSE 0.0 END AS speed_kmh, CASE pick WHEN 'history' THEN heading_deg
+  WHEN 'field' THEN f_heading END AS heading_deg, CASE pick WHEN 'history' THEN heading_label WHEN 'field' THEN f_label ELSE 'uncertain' END AS heading_label, CASE pick
+  WHEN 'history' THEN 'track_history' WHEN 'field' THEN f_source ELSE 'suppressed' END AS source,
+ CASE pick WHEN 'history' THEN confidence_reason WHEN 'field' THEN CASE
+   WHEN f_source = 'suppressed' THEN 'motion field exceeds plausibility threshold' ELSE 'scene motion field from scene' END ELSE pick END AS confidence_reason FROM picked"""
 
 
 @query(chain("hourly", "steps_of", "history", "recent", then="", positions="hourly").rstrip() + ",\n" + _reported_sql())
@@ -518,19 +604,34 @@ def reported_motion(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("track_id", M.reported_motion(*(F.col(c) for c in ("motion", "field", "headings", "identity", "context", "margin", "events"))).alias("m")).select("track_id", *[f"m.{c}" for c in ("speed_kmh", "heading_deg", "heading_label", "source", "confidence_reason")])
 
 
-@query("""WITH h AS (SELECT user_id, list(value ORDER BY ts DESC, event_id DESC)[1:4] AS d FROM events GROUP BY user_id), o AS (SELECT user_id, list_reverse(d) AS hs FROM h),
-t AS (SELECT user_id, hs, list_transform(generate_series(1, len(hs) - 1), lambda i: (((hs[i + 1] - hs[i] + 540) % 360) + 360) % 360 - 180) AS s FROM o), g AS (SELECT *, list_transform(s, lambda x: abs(x)) AS a, list_transform(list_filter(s, lambda x: abs(x) >= 20), lambda x: sign(x)) AS sg FROM t),
-c AS (SELECT *, len(list_filter(a, lambda x: x >= 90)) AS rev, len(list_filter(generate_series(1, len(sg) - 1), lambda i: sg[i] <> sg[i + 1])) AS chg, list_max(a) AS wide, list_avg(a) AS mean FROM g)
-SELECT user_id, CASE WHEN len(hs) < 2 THEN 'insufficient' WHEN rev >= 2 OR chg >= 2 OR (rev >= 1 AND chg >= 1) THEN 'unstable' WHEN wide <= 35 THEN 'stable' WHEN chg = 0 AND wide <= 75 THEN 'coherent_turn' ELSE 'mixed' END AS label, CAST(CASE WHEN len(hs) < 2 THEN 1.0 WHEN rev >= 2 OR chg >= 2 THEN 0.1 WHEN rev >= 1 AND chg >= 1 THEN 0.2 WHEN wide <= 35 THEN 0.95 WHEN chg = 0 AND wide <= 75 THEN 0.85 WHEN chg = 0 AND mean <= 60 THEN 0.65 WHEN rev >= 1 THEN 0.45 ELSE 0.6 END AS DOUBLE) AS score FROM c""")
+@query("""
+WITH h AS (SELECT user_id, list(value ORDER BY ts DESC, event_id DESC)[1:4] AS d FROM events GROUP BY user_id), o AS (SELECT user_id, list_reverse(d) AS hs FROM h),
+t AS (SELECT user_id, hs, list_transform(generate_series(1, len(hs) - 1), lambda i: (((hs[i + 1] - hs[i] + 540) % 360) + 360) % 360 - 180) AS s
+  FROM o), g AS (SELECT *, list_transform(s, lambda x: abs(x)) AS a, list_transform(list_filter(s, lambda x: abs(x) >= 20), lambda x: sign(x)) AS sg FROM t),
+c AS (SELECT *, len(list_filter(a, lambda x: x >= 90)) AS rev, len(list_filter(generate_series(1, len(sg) - 1), lambda i: sg[i] <> sg[i + 1])) AS chg,
+  list_max(a) AS wide, list_avg(a) AS mean
+  FROM g)
+SELECT user_id, CASE WHEN len(hs) < 2 THEN 'insufficient' WHEN rev >= 2 OR chg >= 2 OR (rev >= 1 AND chg >= 1) THEN 'unstable' WHEN wide <= 35 THEN 'stable'
+  WHEN chg = 0 AND wide <= 75 THEN 'coherent_turn' ELSE 'mixed' END AS label, CAST(CASE WHEN len(hs) < 2 THEN 1.0 WHEN rev >= 2 OR chg >= 2 THEN 0.1
+  WHEN rev >= 1 AND chg >= 1 THEN 0.2 WHEN wide <= 35 THEN 0.95 WHEN chg = 0 AND wide <= 75 THEN 0.85 WHEN chg = 0 AND mean <= 60 THEN 0.65
+  WHEN rev >= 1 THEN 0.45 ELSE 0.6 END AS DOUBLE) AS score FROM c""")
 def heading_stability(spark: SparkSession, sf: str) -> DataFrame:
     """Of each user's last four values, read as headings."""
     e = standins.table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("all"))
     return e.select("user_id", M.heading_stability(F.transform(M.last(F.col("all"), 4), lambda x: x["value"])).alias("s")).select("user_id", "s.label", "s.score")
 
 
-@query(chain("upto:objects", then="""SELECT scan_id, focus_track_id, runner_up_track_id, round_even(fs - ss, 2) AS selection_margin FROM (SELECT f.scan_id, f.track_id AS focus_track_id, f.score AS fs, s.track_id AS runner_up_track_id, s.score AS ss, row_number() OVER (PARTITION BY f.scan_id ORDER BY CASE WHEN f.stays THEN s.score END DESC NULLS LAST, CASE WHEN f.stays THEN s.track_id END DESC NULLS LAST, s.place) AS k FROM
-(SELECT *, bool_or(stay_row) OVER (PARTITION BY scan_id) AS stays FROM (SELECT *, prior AND top_score < score + 2 AND place > 1 AS stay_row FROM (SELECT *, max(score) OVER (PARTITION BY scan_id) AS top_score, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, peak_dbz DESC, area_km2 DESC, track_id) AS place FROM sc))) f LEFT JOIN
-(SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, peak_dbz DESC, area_km2 DESC, track_id) AS place FROM sc) s ON s.scan_id = f.scan_id AND s.track_id <> f.track_id WHERE CASE WHEN f.stays THEN f.stay_row ELSE f.place = 1 END) WHERE k = 1""").replace("\nSELECT scan_id, focus_track_id", ",\nsc AS (SELECT scan_id, object_id AS track_id, peak_dbz, area_km2, object_id % 9 = 4 AND object_id < 9 AS prior, peak_dbz / 10 + least(area_km2 / 150, 8.0) + least(object_id % 8, 6) * 0.7 + (object_id % 5) / 5.0 * 2 + CASE WHEN object_id % 9 = 4 AND object_id < 9 THEN 2.5 ELSE 0.0 END - least(distance_km / 40, 6.0) AS score FROM objects)\nSELECT scan_id, focus_track_id", 1))
+@query(chain("upto:objects", then="""
+SELECT scan_id, focus_track_id, runner_up_track_id, round_even(fs - ss, 2) AS selection_margin
+  FROM (SELECT f.scan_id, f.track_id AS focus_track_id, f.score AS fs, s.track_id AS runner_up_track_id, s.score AS ss,
+  row_number() OVER (PARTITION BY f.scan_id ORDER BY CASE
+  WHEN f.stays THEN s.score END DESC NULLS LAST, CASE WHEN f.stays THEN s.track_id END DESC NULLS LAST, s.place) AS k FROM
+(SELECT *, bool_or(stay_row) OVER (PARTITION BY scan_id) AS stays FROM (SELECT *, prior AND top_score < score + 2 AND place > 1 AS stay_row
+  FROM (SELECT *, max(score) OVER (PARTITION BY scan_id) AS top_score, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, peak_dbz DESC, area_km2 DESC,
+  track_id) AS place
+  FROM sc))) f LEFT JOIN
+(SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, peak_dbz DESC, area_km2 DESC, track_id) AS place
+  FROM sc) s ON s.scan_id = f.scan_id AND s.track_id <> f.track_id WHERE CASE WHEN f.stays THEN f.stay_row ELSE f.place = 1 END) WHERE k = 1""").replace("\nSELECT scan_id, focus_track_id", ",\nsc AS (SELECT scan_id, object_id AS track_id, peak_dbz, area_km2, object_id % 9 = 4 AND object_id < 9 AS prior, peak_dbz / 10 + least(area_km2 / 150, 8.0) + least(object_id % 8, 6) * 0.7 + (object_id % 5) / 5.0 * 2 + CASE WHEN object_id % 9 = 4 AND object_id < 9 THEN 2.5 ELSE 0.0 END - least(distance_km / 40, 6.0) AS score FROM objects)\nSELECT scan_id, focus_track_id", 1))
 def focus_choice(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("object_id")
     t = _detected(spark, sf).objects.select("scan_id", k.alias("track_id"), F.col("peak_dbz").alias("peak"), F.col("area_km2").alias("area"), (k % 8).alias("n_positions"), ((k % 5) / 5.0).alias("identity"), F.col("distance_km").alias("distance"), ((k % 9 == 4) & (k < 9)).alias("prior"))
@@ -541,7 +642,8 @@ def focus_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT 'S' || user_id % 10 AS site_id, event_id AS scan_id, date_trunc('second', ts) AS scan_ts FROM events)
-SELECT site_id, scan_id, count(*) OVER h AS scan_count, lag(scan_id) OVER (PARTITION BY site_id ORDER BY scan_ts, scan_id) AS previous_id, min(scan_ts) OVER h AS first_ts FROM s WINDOW h AS (PARTITION BY site_id ORDER BY scan_ts RANGE BETWEEN INTERVAL 120 MINUTES PRECEDING AND CURRENT ROW)""")
+SELECT site_id, scan_id, count(*) OVER h AS scan_count, lag(scan_id) OVER (PARTITION BY site_id ORDER BY scan_ts, scan_id) AS previous_id, min(scan_ts) OVER h AS first_ts
+  FROM s WINDOW h AS (PARTITION BY site_id ORDER BY scan_ts RANGE BETWEEN INTERVAL 120 MINUTES PRECEDING AND CURRENT ROW)""")
 def replay_buffer(spark: SparkSession, sf: str) -> DataFrame:
     e = standins.table(spark, sf, "events").select(F.concat(F.lit("S"), (F.col("user_id") % 10).cast("string")).alias("site_id"), F.col("event_id").alias("scan_id"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("scan_ts"))
     return buffer.retained(e).select("site_id", "scan_id", "scan_count", "previous_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"))
@@ -566,13 +668,17 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FIRST_TRACKS = """
-factor AS (SELECT scan_id, greatest(0.25::DOUBLE, least(1.0::DOUBLE, round_even(greatest(0.0, least(1.0, 1 - (1 - n / 3200.0) * 0.7 - least(gone / 3200.0 * 20, 0.3))), 3))) AS f
+factor AS (SELECT scan_id, greatest(0.25::DOUBLE,
+  least(1.0::DOUBLE, round_even(greatest(0.0, least(1.0, 1 - (1 - n / 3200.0) * 0.7 - least(gone / 3200.0 * 20, 0.3))), 3))) AS f
   FROM (SELECT scan_id, CAST(count(*) AS DOUBLE) AS n, (SELECT count(*) FROM speckle s WHERE s.scan_id = g.scan_id) AS gone FROM gates g GROUP BY scan_id)),
 born AS (SELECT o.*, CAST(printf('%.2f', 0.45::DOUBLE + f * 0.35::DOUBLE) AS DOUBLE) AS c FROM objects o JOIN factor USING (scan_id)),
 led AS (SELECT *, peak_dbz / 10 + least(area_km2 / 150, 8.0::DOUBLE) + 0.7::DOUBLE + 2 * c - least(distance_km / 40, 6.0::DOUBLE) AS s FROM born),
-placed_tracks AS (SELECT *, row_number() OVER w AS place, lead(s) OVER w AS second, lead(rank) OVER w AS runner FROM led WINDOW w AS (PARTITION BY scan_id ORDER BY s DESC, peak_dbz DESC, area_km2 DESC, rank))
-SELECT scan_id, rank AS track_id, 'active' AS status, 1 AS n_positions, 'stationary' AS heading_label, 0 AS speed_mph, c AS identity_confidence, 'initial' AS event_context, 'first-scan track initialization' AS reason, 0 AS missed_scans,
-  place = 1 AS is_primary_focus, CASE WHEN place = 1 THEN CAST(printf('%.2f', s - second) AS DOUBLE) END AS selection_margin, CASE WHEN place = 1 THEN runner END AS runner_up_track_id
+placed_tracks AS (SELECT *, row_number() OVER w AS place, lead(s) OVER w AS second, lead(rank) OVER w AS runner
+  FROM led WINDOW w AS (PARTITION BY scan_id ORDER BY s DESC, peak_dbz DESC, area_km2 DESC, rank))
+SELECT scan_id, rank AS track_id, 'active' AS status, 1 AS n_positions, 'stationary' AS heading_label, 0 AS speed_mph, c AS identity_confidence,
+  'initial' AS event_context, 'first-scan track initialization' AS reason, 0 AS missed_scans,
+  place = 1 AS is_primary_focus, CASE WHEN place = 1 THEN CAST(printf('%.2f', s - second) AS DOUBLE) END AS selection_margin, CASE
+    WHEN place = 1 THEN runner END AS runner_up_track_id
 FROM placed_tracks
 """
 
@@ -593,7 +699,8 @@ def first_tracks(spark: SparkSession, sf: str) -> DataFrame:
 LOST_TRACKS = FIRST_TRACKS[: FIRST_TRACKS.index("led AS")].rstrip() + """
 aged AS (SELECT *, CAST(printf('%.2f', greatest(0.0::DOUBLE, CAST(printf('%.2f', c - 0.2::DOUBLE) AS DOUBLE))) AS DOUBLE) AS c1 FROM born)
 SELECT scan_id * 10 + k AS scan_id, rank AS track_id, CASE k WHEN 2 THEN 'lost' ELSE 'active' END AS status, CAST(k AS INT) AS missed_scans,
-  CASE k WHEN 0 THEN c WHEN 1 THEN c1 ELSE greatest(0.0::DOUBLE, CAST(printf('%.2f', c1 - 0.2::DOUBLE) AS DOUBLE)) END AS identity_confidence, CASE k WHEN 0 THEN 'initial' ELSE 'missed_scan' END AS event_context
+  CASE k WHEN 0 THEN c WHEN 1 THEN c1 ELSE greatest(0.0::DOUBLE, CAST(printf('%.2f', c1 - 0.2::DOUBLE) AS DOUBLE)) END AS identity_confidence, CASE k
+    WHEN 0 THEN 'initial' ELSE 'missed_scan' END AS event_context
 FROM aged, (VALUES (0), (1), (2)) v(k)
 """
 
@@ -630,9 +737,15 @@ def benchmark_results(spark: SparkSession, sf: str) -> DataFrame:
     return replay.run_benchmarks(entries, standins.scans(spark, sf), standins.gates(spark, sf), standins.velocity_sweeps(spark, sf), standins.velocity_gates(spark, sf))[0]
 
 
-@query(chain("upto:objects", then=f"""SELECT scan_id, 'Oklahoma City: ' || n || CASE WHEN n = 1 THEN ' rain object' ELSE ' rain objects' END || ' detected. Strongest: ' || peak_label || ', ' || CAST(round_even(distance_km / 1.60934, 0) AS INT) || ' miles ' || {bearing("bearing_deg")} || ' of the radar. Covering approximately ' || CAST(round_even(total / (1.60934 * 1.60934), 0) AS INT) || ' square miles.' AS text
-FROM (SELECT *, count(*) OVER (PARTITION BY scan_id) AS n, sum(area_km2) OVER (PARTITION BY scan_id) AS total FROM objects QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY peak_dbz + least(ln(1 + area_km2), 6.0) DESC, peak_dbz DESC, area_km2 DESC, distance_km, rank) = 1)
-UNION ALL SELECT s, 'Oklahoma City: No significant precipitation detected.' FROM (SELECT DISTINCT vec_id // 50 AS s FROM embeddings) WHERE s NOT IN (SELECT scan_id FROM objects)"""))
+@query(chain("upto:objects", then=f"""
+SELECT scan_id, 'Oklahoma City: ' || n || CASE
+  WHEN n = 1 THEN ' rain object' ELSE ' rain objects' END || ' detected. Strongest: ' || peak_label || ', ' || CAST(round_even(distance_km / 1.60934,
+  0) AS INT) || ' miles ' || {bearing("bearing_deg")} || ' of the radar. Covering approximately ' || CAST(round_even(total / (1.60934 * 1.60934),
+  0) AS INT) || ' square miles.' AS text
+FROM (SELECT *, count(*) OVER (PARTITION BY scan_id) AS n, sum(area_km2) OVER (PARTITION BY scan_id) AS total FROM objects
+  QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY peak_dbz + least(ln(1 + area_km2), 6.0) DESC, peak_dbz DESC, area_km2 DESC, distance_km, rank) = 1)
+UNION ALL SELECT s, 'Oklahoma City: No significant precipitation detected.' FROM (SELECT DISTINCT vec_id // 50 AS s FROM embeddings) WHERE s NOT IN (SELECT scan_id
+  FROM objects)"""))
 def object_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """Summaries without tracks."""
     scans = sites.site_name(standins.scans(spark, sf))
@@ -641,14 +754,20 @@ def object_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 ROTATION_TEXTS = f"""
 near AS (SELECT o.scan_id, o.object_id, arg_min({{'strength': r.strength, 'deg': r.bearing_deg, 'km': r.distance_km}}, {{'d': d, 'k': r.k}}) AS rot
-  FROM (SELECT o.scan_id, o.object_id, r.strength, r.bearing_deg, r.distance_km, r.sweep_idx * 1000000000 + r.label AS k, {hav("o.centroid_lat", "o.centroid_lon", "r.centroid_lat", "r.centroid_lon")} AS d
+  FROM (SELECT o.scan_id, o.object_id, r.strength, r.bearing_deg, r.distance_km, r.sweep_idx * 1000000000 + r.label AS k,
+    {hav("o.centroid_lat", "o.centroid_lon", "r.centroid_lat", "r.centroid_lon")} AS d
     FROM objects o JOIN rotations r ON r.scan_id = o.scan_id) r JOIN objects o ON o.scan_id = r.scan_id AND o.object_id = r.object_id WHERE d <= 30 GROUP BY ALL),
-ranked AS (SELECT o.*, n.rot, count(*) OVER s AS n, sum(area_km2) OVER s AS total, row_number() OVER (PARTITION BY o.scan_id ORDER BY peak_dbz + least(ln(1 + area_km2), 6.0) DESC, peak_dbz DESC, area_km2 DESC, distance_km, rank) AS place
+ranked AS (SELECT o.*, n.rot, count(*) OVER s AS n, sum(area_km2) OVER s AS total,
+  row_number() OVER (PARTITION BY o.scan_id ORDER BY peak_dbz + least(ln(1 + area_km2), 6.0) DESC, peak_dbz DESC, area_km2 DESC, distance_km, rank) AS place
   FROM objects o LEFT JOIN near n ON n.scan_id = o.scan_id AND n.object_id = o.object_id WINDOW s AS (PARTITION BY o.scan_id)),
 told AS (SELECT scan_id, string_agg(' Rotation signature ' || CAST(round_even(rot.km / 1.60934, 0) AS INT) || ' miles ' || {bearing("rot.deg")} || ' of the radar, ' || rot.strength || ' shear.', '' ORDER BY rank) AS others
   FROM (SELECT * FROM ranked WHERE place > 1 AND rot IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY rank) <= 2) GROUP BY scan_id)
-SELECT scan_id, 'Oklahoma City: ' || n || CASE WHEN n = 1 THEN ' rain object' ELSE ' rain objects' END || ' detected. Strongest: ' || peak_label || ', ' || CAST(round_even(distance_km / 1.60934, 0) AS INT) || ' miles ' || {bearing("bearing_deg")} || ' of the radar.'
-  || CASE WHEN rot IS NULL THEN '' ELSE ' ' || upper(rot.strength[1]) || rot.strength[2:] || ' rotation detected.' END || coalesce(others, '') || ' Covering approximately ' || CAST(round_even(total / (1.60934 * 1.60934), 0) AS INT) || ' square miles.' AS text
+SELECT scan_id, 'Oklahoma City: ' || n || CASE
+  WHEN n = 1 THEN ' rain object' ELSE ' rain objects' END || ' detected. Strongest: ' || peak_label || ', ' || CAST(round_even(distance_km / 1.60934,
+  0) AS INT) || ' miles ' || {bearing("bearing_deg")} || ' of the radar.'
+  || CASE
+    WHEN rot IS NULL THEN '' ELSE ' ' || upper(rot.strength[1]) || rot.strength[2:] || ' rotation detected.' END || coalesce(others,
+    '') || ' Covering approximately ' || CAST(round_even(total / (1.60934 * 1.60934), 0) AS INT) || ' square miles.' AS text
 FROM ranked LEFT JOIN told USING (scan_id) WHERE place = 1
 """
 
@@ -664,9 +783,13 @@ def rotation_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT event_id, ['weak', 'moderate', 'strong', NULL][event_id % 4 + 1] AS strength, CASE WHEN event_id % 7 <> 3 THEN list_transform(generate_series(1, event_id % 5 + 1), lambda i: CASE WHEN (event_id // i) % 3 <> 0 THEN 'weak' END) END AS hs FROM events),
-r AS (SELECT *, coalesce(list_position(list_transform(list_reverse(hs), lambda x: x IS NULL), true) - 1, len(hs)) AS run, len(list_filter(hs[-3:], lambda x: x IS NOT NULL)) > 0 AND hs[-1] IS NULL AS weaker FROM e)
-SELECT event_id, CASE WHEN strength IS NULL THEN CASE WHEN weaker THEN ' Rotation weakening.' ELSE '' END WHEN hs IS NOT NULL AND run >= 3 THEN ' Persistent ' || strength || ' rotation.'
+WITH e AS (SELECT event_id, ['weak', 'moderate', 'strong', NULL][event_id % 4 + 1] AS strength, CASE
+  WHEN event_id % 7 <> 3 THEN list_transform(generate_series(1, event_id % 5 + 1), lambda i: CASE WHEN (event_id // i) % 3 <> 0 THEN 'weak' END) END AS hs FROM events),
+r AS (SELECT *, coalesce(list_position(list_transform(list_reverse(hs), lambda x: x IS NULL), true) - 1, len(hs)) AS run,
+  len(list_filter(hs[-3:], lambda x: x IS NOT NULL)) > 0 AND hs[-1] IS NULL AS weaker
+  FROM e)
+SELECT event_id, CASE WHEN strength IS NULL THEN CASE WHEN weaker THEN ' Rotation weakening.' ELSE '' END
+  WHEN hs IS NOT NULL AND run >= 3 THEN ' Persistent ' || strength || ' rotation.'
   WHEN hs IS NOT NULL AND run <= 1 THEN ' New ' || strength || ' rotation detected.' ELSE ' ' || upper(strength[1]) || strength[2:] || ' rotation detected.' END AS phrase
 FROM r
 """)
@@ -679,10 +802,17 @@ def rotation_phrases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT event_id, ['N', 'uncertain', 'stationary', 'nearly stationary', 'SSW'][event_id % 5 + 1] AS label, CAST(event_id % 70 AS INT) AS mph, event_id % 3 <> 0 AS has_focus, (event_id % 11) / 10.0::DOUBLE AS fs, event_id % 4 AS flips, event_id % 6 AS fe,
-  coalesce(CASE WHEN event_id % 17 <> 0 THEN (event_id % 13) / 12.0::DOUBLE END, (event_id % 8) / 8.0::DOUBLE) AS ident, ['matched', 'new_track', 'split_child', 'merge_survivor', NULL][(event_id // 5) % 5 + 1] AS ctx, event_id % 2 = 0 AS is_focus, event_id % 9 AS ev FROM events),
-d AS (SELECT *, label IN ('N', 'SSW') AND is_focus AND CASE WHEN has_focus THEN fs <= 0.6 OR (flips >= 2 AND fe >= 4) ELSE ident < 0.45 OR (ev >= 6 AND ident < 0.75) OR (coalesce(ctx IN ('new_track', 'split_child', 'merge_survivor'), false) AND ident < 0.75) END AS doubtful FROM e)
-SELECT event_id, CASE WHEN doubtful OR label = 'uncertain' THEN ', tracking uncertain' WHEN label LIKE '%stationary' THEN ', ' || label ELSE ', moving ' || label || ' at ' || mph || ' mph' END AS phrase
+WITH e AS (SELECT event_id, ['N', 'uncertain', 'stationary', 'nearly stationary', 'SSW'][event_id % 5 + 1] AS label, CAST(event_id % 70 AS INT) AS mph,
+  event_id % 3 <> 0 AS has_focus, (event_id % 11) / 10.0::DOUBLE AS fs, event_id % 4 AS flips, event_id % 6 AS fe,
+  coalesce(CASE
+    WHEN event_id % 17 <> 0 THEN (event_id % 13) / 12.0::DOUBLE END, (event_id % 8) / 8.0::DOUBLE) AS ident, ['matched', 'new_track', 'split_child', 'merge_survivor',
+    NULL][(event_id // 5) % 5 + 1] AS ctx, event_id % 2 = 0 AS is_focus, event_id % 9 AS ev
+    FROM events),
+d AS (SELECT *, label IN ('N', 'SSW') AND is_focus AND CASE
+  WHEN has_focus THEN fs <= 0.6 OR (flips >= 2 AND fe >= 4) ELSE ident < 0.45 OR (ev >= 6 AND ident < 0.75) OR (coalesce(ctx IN ('new_track', 'split_child', 'merge_survivor'), false) AND ident < 0.75) END AS doubtful
+  FROM e)
+SELECT event_id, CASE WHEN doubtful OR label = 'uncertain' THEN ', tracking uncertain'
+  WHEN label LIKE '%stationary' THEN ', ' || label ELSE ', moving ' || label || ' at ' || mph || ' mph' END AS phrase
 FROM d
 """)
 def motion_phrases(spark: SparkSession, sf: str) -> DataFrame:
@@ -698,10 +828,24 @@ def motion_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", summary.motion_phrase(F.col("t"), F.col("n")).alias("phrase"))
 
 
-@query("""WITH s AS (SELECT user_id, CAST(event_id AS BIGINT) AS scan_id, ts, CAST(event_id % 5 AS BIGINT) AS o, CAST(event_id % 4 AS BIGINT) AS a, CAST(event_id % 90 AS INT) AS sp, event_id % 3 = 0 AS m, CASE WHEN event_id % 6 <> 1 THEN event_id % 3 END AS f, CASE WHEN event_id % 5 <> 2 THEN value % 360 END AS h, CASE WHEN event_id % 7 <> 3 THEN (event_id % 10) / 10.0::DOUBLE END AS c, ['moving N at 3 mph', 'tracking uncertain', 'nearly stationary'][event_id % 3 + 1] AS summary FROM events),
-l AS (SELECT *, lag(f) OVER w AS pf, lag(h) OVER w AS ph, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, scan_id)), d AS (SELECT *, ph IS NOT NULL AND h IS NOT NULL AND least(abs(ph - h) % 360, 360 - abs(ph - h) % 360) >= 90 AS flip FROM l)
-SELECT user_id AS benchmark_id, count(*) AS scan_count, round_even(avg(o), 2) AS mean_objects, max(sp) AS max_speed_mph, CAST(sum(CASE WHEN m THEN 1 ELSE 0 END) AS BIGINT) AS total_merges, round_even(coalesce(avg(c), 0.0), 2) AS mean_focus_identity_confidence, count(*) FILTER (c < 0.45) AS focus_low_identity_scans, count(*) FILTER (pf <> f) AS focus_switches, count(*) FILTER (flip) AS focus_heading_flips_ge_90, count(*) FILTER (flip AND c < 0.45) AS focus_flips_with_low_motion_confidence,
-count(*) FILTER (summary LIKE '%tracking uncertain%') AS summary_tracking_uncertain_count, count(*) FILTER (summary LIKE '%moving %') AS summary_motion_published_count, count(*) FILTER (summary LIKE '%stationary%') AS summary_stationaryish_count, CAST(sum(CASE WHEN k > 1 THEN a ELSE 0 END) AS BIGINT) AS total_new_tracks_after_first_scan, round_even(sum(CASE WHEN k > 1 THEN a ELSE 0 END) / greatest(sum(o), 1), 3) AS fragmentation_proxy FROM d GROUP BY user_id""")
+@query("""
+WITH s AS (SELECT user_id, CAST(event_id AS BIGINT) AS scan_id, ts, CAST(event_id % 5 AS BIGINT) AS o, CAST(event_id % 4 AS BIGINT) AS a,
+  CAST(event_id % 90 AS INT) AS sp, event_id % 3 = 0 AS m, CASE
+  WHEN event_id % 6 <> 1 THEN event_id % 3 END AS f, CASE WHEN event_id % 5 <> 2 THEN value % 360 END AS h, CASE
+  WHEN event_id % 7 <> 3 THEN (event_id % 10) / 10.0::DOUBLE END AS c, ['moving N at 3 mph', 'tracking uncertain', 'nearly stationary'][event_id % 3 + 1] AS summary
+  FROM events),
+l AS (SELECT *, lag(f) OVER w AS pf, lag(h) OVER w AS ph, row_number() OVER w AS k
+  FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, scan_id)), d AS (SELECT *, ph IS NOT NULL AND h IS NOT NULL AND least(abs(ph - h) % 360,
+  360 - abs(ph - h) % 360) >= 90 AS flip
+  FROM l)
+SELECT user_id AS benchmark_id, count(*) AS scan_count, round_even(avg(o), 2) AS mean_objects, max(sp) AS max_speed_mph, CAST(sum(CASE
+  WHEN m THEN 1 ELSE 0 END) AS BIGINT) AS total_merges, round_even(coalesce(avg(c), 0.0), 2) AS mean_focus_identity_confidence,
+  count(*) FILTER (c < 0.45) AS focus_low_identity_scans, count(*) FILTER (pf <> f) AS focus_switches, count(*) FILTER (flip) AS focus_heading_flips_ge_90,
+  count(*) FILTER (flip AND c < 0.45) AS focus_flips_with_low_motion_confidence,
+count(*) FILTER (summary LIKE '%tracking uncertain%') AS summary_tracking_uncertain_count, count(*) FILTER (summary LIKE '%moving %') AS summary_motion_published_count,
+  count(*) FILTER (summary LIKE '%stationary%') AS summary_stationaryish_count, CAST(sum(CASE
+  WHEN k > 1 THEN a ELSE 0 END) AS BIGINT) AS total_new_tracks_after_first_scan, round_even(sum(CASE
+  WHEN k > 1 THEN a ELSE 0 END) / greatest(sum(o), 1), 3) AS fragmentation_proxy FROM d GROUP BY user_id""")
 def benchmark_roll_up(spark: SparkSession, sf: str) -> DataFrame:
     """Of snapshots made up from events, a benchmark per user."""
     k = F.col("event_id")
@@ -723,8 +867,10 @@ def api_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(chain("sites", "stations", then=f"""
-SELECT station_id, site_id, name, latitude, longitude, round_even(d, 6) AS distance_km, CAST(row_number() OVER (PARTITION BY station_id ORDER BY b, ord) AS INT) AS site_rank
-FROM (SELECT *, d * 1000 * tan(radians(0.5)) + pow(d * 1000, 2) / (2 * 6371000.0) + elevation_m AS b FROM (SELECT s.*, t.*, {hav("t.lat", "t.lon", "s.latitude", "s.longitude")} AS d FROM stations t, sites s)) WHERE b <= 10000
+SELECT station_id, site_id, name, latitude, longitude, round_even(d, 6) AS distance_km, CAST(row_number() OVER (PARTITION BY station_id ORDER BY b,
+  ord) AS INT) AS site_rank
+FROM (SELECT *, d * 1000 * tan(radians(0.5)) + pow(d * 1000, 2) / (2 * 6371000.0) + elevation_m AS b
+  FROM (SELECT s.*, t.*, {hav("t.lat", "t.lon", "s.latitude", "s.longitude")} AS d FROM stations t, sites s)) WHERE b <= 10000
 """))
 def api_sites(spark: SparkSession, sf: str) -> DataFrame:
     return api.get_sites(standins.stations(spark, sf)).select("station_id", "site_id", "name", "latitude", "longitude", r6("distance_km").alias("distance_km"), "site_rank")
@@ -755,7 +901,8 @@ def api_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(chain("upto:objects", then="").rstrip() + "," + _nearest_sql("""
-SELECT 'KTLX' AS site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", object_id, centroid_lat, centroid_lon, distance_km, bearing_deg, peak_dbz, peak_label, area_km2
+SELECT 'KTLX' AS site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", object_id, centroid_lat, centroid_lon, distance_km, bearing_deg, peak_dbz, peak_label,
+  area_km2
 FROM one JOIN objects ON scan_id = m
 """).replace("\nWITH s AS", "\ns AS"))
 def api_objects_at(spark: SparkSession, sf: str) -> DataFrame:
@@ -766,7 +913,8 @@ def api_objects_at(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(chain("vgates", "wind", "regions", "merged_regions", then="").rstrip() + "," + _nearest_sql("""
-SELECT 'KTLX' AS site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", region_id, y.kind AS region_type, y.peak AS peak_velocity_ms, y.mean AS mean_velocity_ms, y.area AS area_km2, y.lat AS centroid_lat, y.lon AS centroid_lon,
+SELECT 'KTLX' AS site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", region_id, y.kind AS region_type, y.peak AS peak_velocity_ms, y.mean AS mean_velocity_ms,
+  y.area AS area_km2, y.lat AS centroid_lat, y.lon AS centroid_lon,
   y.km AS distance_km, y.deg AS bearing_deg, y.n AS sweep_count, y.els AS elevation_angles FROM one JOIN merged_regions ON scan_id = m
 """).replace("\nWITH s AS", "\ns AS"))
 def api_regions_at(spark: SparkSession, sf: str) -> DataFrame:
