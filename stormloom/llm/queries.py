@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, quality, sharding, simhash, tokens, toxicity, urls
-from .common import read_table
+from . import exact_dedup, line_dedup, mixing, packing, quality, runs, sharding, simhash, tokens, toxicity, urls
+from .common import WORD, read_table
 
 
 #: The vocabulary that token counts and packing use.
@@ -127,9 +127,58 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
+def repeat_endings(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the endings of a tenth of the texts made periodic, as their ids' checksums say. A null id
+    changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("h", h).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))))
+    docs = docs.withColumn("n", F.size("words")).withColumns({"a": F.expr("CASE WHEN n > 0 THEN (h DIV 10) % n END"), "g": F.expr("h DIV 10")})
+    docs = docs.withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(words, (x, i) -> get(words, cast(CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS int))), ' ')")
+    return docs.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs of four periods and six words or more, and digests of them and of what is left of the text."""
+    found = runs.word_runs(repeat_endings(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("aggregate(runs, get(runs, 0), (y, x) -> CASE WHEN x.length * y.period > y.length * x.period THEN x ELSE y END)")
+    found = found.withColumn("best", best)
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: A run of period q covers two whole blocks that begin at a multiple of q and the block behind them, so few words of each
+#: block tell which periods to look at.
+OP11_SQL = r"""
+WITH doc AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h FROM documents),
+plan AS (SELECT d, n, h % 10 = 0 AS planted, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM (SELECT d, len(w) AS n, h FROM doc WHERE len(w) > 0)),
+original AS (SELECT d, unnest(range(len(w))) AS i, unnest(w) AS x FROM doc),
+place AS (SELECT o.d, o.i, CASE WHEN p.planted AND o.i >= p.a THEN p.a + (o.i - p.a) % p.p ELSE o.i END AS j FROM original o JOIN plan p ON p.d = o.d),
+word AS MATERIALIZED (SELECT l.d, l.i, o.x FROM place l JOIN original o ON o.d = l.d AND o.i = l.j),
+step AS (SELECT d, q, unnest(range(n // q - 2)) * q AS i FROM (SELECT d, n, unnest(range(1, n // 4 + 1)) AS q FROM plan)),
+first AS MATERIALIZED (SELECT s.*, x FROM step s JOIN word w ON w.d = s.d AND w.i = s.i),
+second AS MATERIALIZED (SELECT s.* FROM first s JOIN word w ON w.d = s.d AND w.i = s.i + s.q AND w.x = s.x),
+third AS MATERIALIZED (SELECT s.d, s.q, s.i FROM second s JOIN word w ON w.d = s.d AND w.i = s.i + 2 * s.q AND w.x = s.x),
+middle AS MATERIALIZED (SELECT s.*, w.x FROM third s JOIN word w ON w.d = s.d AND w.i = s.i + s.q // 2),
+period AS MATERIALIZED (SELECT DISTINCT s.d, s.q FROM middle s JOIN word w ON w.d = s.d AND w.i = s.i + s.q // 2 + s.q AND w.x = s.x),
+every AS MATERIALIZED (SELECT p.d, p.q, w.i, w.x FROM period p JOIN word w ON w.d = p.d),
+same AS (SELECT e.d, e.q, e.i, e.i - row_number() OVER (PARTITION BY e.d, e.q ORDER BY e.i) AS island FROM every e JOIN word w ON w.d = e.d AND w.i = e.i + e.q AND w.x = e.x),
+stretch AS (SELECT d, q, min(i) AS start, count(*) + q AS length FROM same GROUP BY d, q, island),
+run AS (SELECT d, start, length, min(q) AS period FROM stretch WHERE length >= greatest(6, 4 * q) GROUP BY d, start, length),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY d ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+listed AS (SELECT d, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM run GROUP BY d),
+gone AS (SELECT DISTINCT d, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT w.d, string_agg(w.x, ' ' ORDER BY w.i) AS t FROM word w LEFT JOIN gone g ON g.d = w.d AND g.i = w.i WHERE g.d IS NULL GROUP BY w.d)
+SELECT doc.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM doc LEFT JOIN best b ON b.d = doc.d LEFT JOIN listed l ON l.d = doc.d LEFT JOIN kept k ON k.d = doc.d
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash, op9_url_filter, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash, op9_url_filter, op10_toxicity, op11_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op11_runs": OP11_SQL}
