@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, quality, runs, sharding, simhash, tokens, toxicity, urls
+from . import exact_dedup, line_dedup, mixing, packing, quality, ranked, runs, sharding, simhash, tokens, toxicity, urls
 from .common import WORD, read_table
 
 
@@ -176,9 +176,29 @@ FROM doc LEFT JOIN best b ON b.d = doc.d LEFT JOIN listed l ON l.d = doc.d LEFT
 """
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark passage."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.ranked_search(docs, read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP13_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+corpus AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM doc WHERE len(w) > 0),
+size AS (SELECT d, doc_id, 50 + (50 * len(w) * corpus.n) // corpus.l AS m FROM doc, corpus WHERE len(w) > 0),
+posting AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM doc) GROUP BY d, t),
+term AS (SELECT t, CAST(floor(1000 * ln((2 * max(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM posting, corpus GROUP BY t),
+score AS (SELECT i.q, i.item_id, s.doc_id, s.d, CAST(sum(t.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * s.m))) AS BIGINT) AS score
+  FROM (SELECT q, item_id, unnest(w) AS t FROM item) i JOIN term t ON t.t = i.t JOIN posting p ON p.t = i.t JOIN size s ON s.d = p.d GROUP BY i.q, i.item_id, s.doc_id, s.d)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, d) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, d) <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash, op9_url_filter, op10_toxicity, op11_runs)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash, op9_url_filter, op10_toxicity, op11_runs, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op11_runs": OP11_SQL}
+    return {"op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op11_runs": OP11_SQL, "op13_ranked_search": OP13_SQL}
