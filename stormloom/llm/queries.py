@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, quality, ranked, runs, sharding, simhash, tokens, toxicity, urls
+from . import exact_dedup, jaccard, line_dedup, mixing, packing, quality, ranked, runs, sharding, simhash, tokens, toxicity, urls
 from .common import WORD, read_table
 
 
@@ -176,6 +176,11 @@ FROM doc LEFT JOIN best b ON b.d = doc.d LEFT JOIN listed l ON l.d = doc.d LEFT
 """
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_components(docs)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for each benchmark passage."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -197,7 +202,7 @@ QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash, op9_url_filter, op10_toxicity, op11_runs, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_quality, op4_exact_dedup, op5_mixing, op6_packing, op7_line_dedup, op8_simhash, op9_url_filter, op10_toxicity, op11_runs, op12_jaccard_join, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
