@@ -181,6 +181,18 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(docs)
 
 
+OP12_SQL = r"""
+WITH RECURSIVE doc AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+gram AS MATERIALIZED (SELECT DISTINCT d, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM doc),
+size AS MATERIALIZED (SELECT d, count(*) AS n FROM gram GROUP BY d),
+shared AS (SELECT a.d AS x, b.d AS y, count(*) AS k FROM gram a JOIN gram b ON a.g = b.g AND a.d <> b.d GROUP BY a.d, b.d),
+link AS MATERIALIZED (SELECT x, y FROM shared JOIN size a ON a.d = x JOIN size b ON b.d = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+reach AS (SELECT d, d AS r FROM doc UNION SELECT reach.d, y FROM reach JOIN link ON x = r)
+SELECT any_value(doc.doc_id) AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other.doc_id) AS component_id
+FROM doc JOIN reach ON reach.d = doc.d JOIN doc other ON other.d = reach.r LEFT JOIN size ON size.d = doc.d GROUP BY doc.d
+"""
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for each benchmark passage."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -206,4 +218,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op11_runs": OP11_SQL, "op13_ranked_search": OP13_SQL}
+    return {"op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op11_runs": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op13_ranked_search": OP13_SQL}
