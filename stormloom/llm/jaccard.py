@@ -32,9 +32,10 @@ WORDS, SIMILARITY = 4, 85
 #: n-grams that pairs must share among their first ones (l above), if they have to share so many at all.
 LEVEL = 3
 #: Sets of a column whose pairs are all multiplied; sets of a column's cell, about, in one task.
-DIRECT_ROWS, CELL_ROWS = 32, 2048
-#: Rounds in which the sets of larger columns meet others of like size, before all pairs of components do.
-ROUNDS = 3
+DIRECT_ROWS, CELL_ROWS = 16, 2048
+#: Rounds, at most, in which each set is compared with one other before all pairs that are left are; they end early
+#: where larger columns have no more pairs across components than so many times their rows.
+ROUNDS, FEW_PAIRS = 3, 4
 #: n-grams of a task that are counted at a time; a count of FREQUENT there makes one frequent; as many as HOT, those that
 #: are frequent most often, are ordered by that and broadcast, 12 bytes each. That is for speed only.
 COUNTED, FREQUENT, HOT = 4_000_000, 4, 1 << 18
@@ -163,11 +164,16 @@ class _Pairs:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], shared, level[first])], names=["a", "b", "shared", "level"])
 
 
-PAIR = "a long, b long, shared long, level long"
+PAIR = "kind int, a long, b long, shared long, level long"
+
+
+def _kind(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, kind, np.int32)), *batch.columns], names=["kind", "a", "b", "shared", "level"])
 
 
 def _multiply(similarity: int, direct_rows: int):
-    """From rows (gram, cell, cells, fp, n, pos): overlaps of pairs in small columns."""
+    """From rows (gram, cell, cells, fp, n, pos): overlaps of pairs in small columns, as kind 0; rows (gram, fp, n, pos) of
+    the other columns, as kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Pairs()
@@ -175,7 +181,11 @@ def _multiply(similarity: int, direct_rows: int):
             start = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])]))
             size = np.diff(np.append(start, len(gram)))
             column = np.repeat(np.arange(len(start)), size)
-            small = np.flatnonzero((size[column] > 1) & (size[column] <= direct_rows) & (cells == 1))
+            size = size[column]
+            more = (size > direct_rows) | (cells > 1)
+            if more.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(more.sum()), np.int32)), *(pa.array(x[more]) for x in (gram, fp, n, pos))], names=["kind", "a", "b", "shared", "level"])
+            small = np.flatnonzero((size > 1) & ~more)
             for k in range(1, direct_rows):
                 i, j = small[:-k], small[k:]
                 i, j = i[x := column[i] == column[j]], j[x]
@@ -183,22 +193,9 @@ def _multiply(similarity: int, direct_rows: int):
                     break
                 fits, level = _possible(i, j, n, pos, similarity)
                 found.add(fp[i[fits]], fp[j[fits]], np.ones(int(fits.sum()), np.int64), level[fits])
-                if found.held > 500_000:
-                    yield found.out()
-        yield found.out()
-
-    return run
-
-
-def _large(direct_rows: int):
-    """From rows like _multiply's: those (gram, fp, n, pos) of the columns that it leaves out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for gram, cell, cells, fp, n, pos in _columns(batches):
-            start = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (cell[1:] != cell[:-1])]))
-            size = np.diff(np.append(start, len(gram)))
-            more = (np.repeat(size, size) > direct_rows) | (cells > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (gram, fp, n, pos)], names=["gram", "fp", "n", "pos"])
+            if found.held > 500_000:
+                yield _kind(found.out(), 0)
+        yield _kind(found.out(), 0)
 
     return run
 
@@ -217,8 +214,8 @@ def _meet(similarity: int, turn: int):
                 fits &= root[i] != root[j]
                 found.add(fp[i[fits]], fp[j[fits]], level[fits], level[fits])
             if found.held > 500_000:
-                yield found.out()
-        yield found.out()
+                yield _kind(found.out(), 0)
+        yield _kind(found.out(), 0)
 
     return run
 
@@ -241,8 +238,8 @@ def _across(similarity: int):
                     fits, level = _possible(i, j, n, pos, similarity)
                     found.add(fp[i[fits]], fp[j[fits]], level[fits], level[fits])
                     if found.held > 500_000:
-                        yield found.out()
-        yield found.out()
+                        yield _kind(found.out(), 0)
+        yield _kind(found.out(), 0)
 
     return run
 
@@ -291,44 +288,74 @@ class JaccardJoin:
         return shared_table(found.select("fp", "__text").mapInArrow(run, "fp long, s binary"), "jaccard-whole-sets")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The links (a, b) among pairs whose overlaps (shared) add up to the least (level)."""
-        pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("level").alias("level")).filter("shared >= level").select("a", "b")
-        pairs = shared_table(pairs, "jaccard-pairs")
+        """The links (a, b) among pairs."""
         sets = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
         left, right = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b")
         return shared_table(both.mapInArrow(_compared(self.similarity), "a long, b long"), "jaccard-links")
 
-    def _open(self, large: DataFrame, links: DataFrame) -> DataFrame:
-        """The rows of large columns in which there are several components: (gram, cells, main: the component with most
-        rows, root, fp, n, pos)."""
-        roots = components(links)
-        rows = shared_table(large.join(roots, large["fp"] == roots["node"], "left").select("gram", "fp", F.coalesce("root", "fp").alias("root"), "n", "pos"), "jaccard-large")
+    def _apart(self, pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Pairs (a, b, shared) of which the two are in two components."""
+        if roots is None:
+            return pairs
+        of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+        joined = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+        return shared_table(joined.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "shared"), "jaccard-apart")
+
+    def _open(self, large: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int, int]:
+        """(rows of large columns in which there are several components: gram, cells, main: the component with most rows,
+        root, fp, n, pos; their number; the number of pairs across components)."""
+        rows = large.withColumn("root", F.col("fp"))
+        if roots is not None:
+            rows = large.join(roots, large["fp"] == roots["node"], "left").select("gram", "fp", F.coalesce("root", "fp").alias("root"), "n", "pos")
+        rows = shared_table(rows, "jaccard-large")
         shares = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("rows"))
-        several = shares.groupBy("gram").agg(F.max_by("root", "rows").alias("main"), F.ceil(F.sum("rows") / self.cell_rows).cast("int").alias("cells"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        return shared_table(rows.join(several, "gram").select("gram", "cells", "main", "root", "fp", "n", "pos"), "jaccard-open")
+        of_gram = shares.groupBy("gram").agg(F.max_by("root", "rows").alias("main"), F.sum("rows").alias("all"), F.sum(F.col("rows") * F.col("rows")).alias("inside"), F.count(F.lit(1)).alias("roots"))
+        several = shared_table(of_gram.filter("roots > 1"), "jaccard-several")
+        n, pairs = several.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(F.col("all") * F.col("all") - F.col("inside")), F.lit(0))).first()
+        cells = F.ceil(F.col("all") / self.cell_rows).cast("int").alias("cells")
+        return rows.join(several.select("gram", "main", cells), "gram").select("gram", "cells", "main", "root", "fp", "n", "pos"), n, pairs // 2
 
     def links(self) -> DataFrame:
-        """Links (a, b) between sets by their fps: they join all that are similar enough, and no more."""
+        """Links (a, b) between sets by their fps: they join all that are similar enough, and no more. Of the pairs that are
+        left after the bounds, each set's most promising one is compared first; those that then still lead from one
+        component to another follow."""
         at = F.posexplode(F.arrays_zip("first", "cells")).alias("pos", "x")
         entries = self.nodes.select("fp", "n", at).select(F.col("x.first").alias("gram"), F.col("x.cells").alias("cells"), "fp", "n", F.col("pos").cast("long").alias("pos"))
         entries = entries.withColumn("cell", F.pmod(F.xxhash64("fp", "gram"), F.col("cells")).cast("int"))
         blocks = self._blocks(entries.select("gram", "cell", "cells", "fp", "n", "pos"))
-        links = self._verified(blocks.mapInArrow(_multiply(self.similarity, self.direct_rows), PAIR))
-        large = shared_table(blocks.mapInArrow(_large(self.direct_rows), "gram long, fp long, n long, pos long"), "jaccard-large")
-        if not large.limit(1).count():
-            return links
+        product = shared_table(blocks.mapInArrow(_multiply(self.similarity, self.direct_rows), PAIR), "jaccard-product")
+
+        def summed(parts: DataFrame) -> DataFrame:
+            return parts.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("level").alias("level")).filter("shared >= level").select("a", "b", "shared")
+
+        rest = shared_table(summed(product.filter("kind = 0")), "jaccard-pairs")
+        large = product.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("fp"), F.col("shared").alias("n"), F.col("level").alias("pos"))
+        links, roots = None, None
         for turn in range(self.rounds):
-            rows = self._open(large, links)
-            if not rows.limit(1).count():
-                return links
+            rows, n, pairs = self._open(large, roots)
+            if turn and pairs <= FEW_PAIRS * n:
+                break
             dealt = self._blocks(rows.withColumn("cell", F.pmod(F.xxhash64("fp", "gram", F.lit(turn)), F.col("cells")).cast("int")).select("gram", "cell", "fp", "root", "n", "pos"))
-            links = links.unionByName(self._verified(dealt.mapInArrow(_meet(self.similarity, turn), PAIR)))
-        rows = self._open(large, links)
-        columns = ["gram", "cell", "guest", "fp", "root", "n", "pos"]
-        here = rows.withColumns({"cell": F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"), "guest": F.lit(0)}).select(columns)
-        guests = rows.filter("root <> main").withColumns({"cell": F.explode(F.sequence(F.lit(0), F.col("cells") - 1)), "guest": F.lit(1)}).select(columns)
-        return links.unionByName(self._verified(self._blocks(here.unionByName(guests)).mapInArrow(_across(self.similarity), PAIR)))
+            some = rest.unionByName(summed(dealt.mapInArrow(_meet(self.similarity, turn), PAIR))) if n else rest
+            both = some.unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+            best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+            chosen = shared_table(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-chosen")
+            more = self._verified(chosen)
+            links = more if links is None else links.unionByName(more)
+            roots = components(links)
+            rest = self._apart(rest, roots)
+        rows, n, _ = self._open(large, roots)
+        if n:
+            columns = ["gram", "cell", "guest", "fp", "root", "n", "pos"]
+            here = rows.withColumns({"cell": F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"), "guest": F.lit(0)}).select(columns)
+            guests = rows.filter("root <> main").withColumns({"cell": F.explode(F.sequence(F.lit(0), F.col("cells") - 1)), "guest": F.lit(1)}).select(columns)
+            rest = rest.unionByName(summed(self._blocks(here.unionByName(guests)).mapInArrow(_across(self.similarity), PAIR)))
+        last = shared_table(rest.select("a", "b").distinct(), "jaccard-rest")
+        if last.limit(1).count():
+            more = self._verified(last)
+            links = more if links is None else links.unionByName(more)
+        return links if links is not None else last
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, **how: int) -> DataFrame:
