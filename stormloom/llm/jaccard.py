@@ -34,7 +34,7 @@ LEVEL = 3
 #: Sets of a column whose pairs are all multiplied; sets of a column's cell, about, in one task.
 DIRECT_ROWS, CELL_ROWS = 16, 2048
 #: Rounds, at most, in which each set is compared with one other before all pairs that are left are; they end early
-#: where larger columns have no more pairs across components than so many times their rows.
+#: where larger columns leave no more pairs across components than so many times their rows.
 ROUNDS, FEW_PAIRS = 3, 4
 #: n-grams of a task that are counted at a time; a count of FREQUENT there makes one frequent; as many as HOT, those that
 #: are frequent most often, are ordered by that and broadcast, 12 bytes each. That is for speed only.
@@ -81,8 +81,8 @@ def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, n
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: int, cell_rows: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(id, k1, k2: of the row; fp: what stands for the set; n: its size; first: its leading n-grams; cells: that their
-    columns are dealt into) of every row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "fp", "n")], T.StructField("first", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    columns are dealt into; parity: of the n-grams in each of 512 parts) of every row."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "fp", "n")], T.StructField("first", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BinaryType())])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                fp, n, first, cells = [], [], [], []
+                fp, n, first, cells, parity = [], [], [], [], []
                 for t in batch.column(3):
                     s = shingles(t.as_py(), words)
                     count = np.zeros(len(s), np.int64)
@@ -102,7 +102,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
                     n.append(len(s))
                     first.append(s[head].view(np.int64))
                     cells.append((1 + count[head] // cell_rows).astype(np.int32))
-                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
+                    parity.append(np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes())
+                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32())), pa.array(parity, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=schema.names)
 
     return with_row_keys(docs, id_col, text_col).select(F.col(f"`{id_col}`"), "__k1", "__k2", F.col(f"`{text_col}`")).mapInArrow(run, schema)
@@ -131,6 +132,17 @@ def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, simi
     return fits, level
 
 
+def _odd(parity: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(parity), np.uint64).reshape(len(parity), 8)
+
+
+def _differ(i: np.ndarray, j: np.ndarray, n: np.ndarray, odd: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether rows i and j differ in fewer parts than sets of their sizes may: each part of odd difference holds an n-gram
+    that one set has and the other has not."""
+    parts = sum(np.bitwise_count(odd[i, w] ^ odd[j, w]).astype(np.int64) for w in range(8))
+    return parts <= n[i] + n[j] - 2 * least_common(n[i], n[j], similarity)
+
+
 def _near(fp: np.ndarray, n: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places: each row and the one before it, and the first one, by an order that depends on turn, among rows of
     about its size."""
@@ -201,17 +213,17 @@ def _multiply(similarity: int, direct_rows: int):
 
 
 def _meet(similarity: int, turn: int):
-    """From rows (gram, cell, fp, root, n, pos): pairs of like size that are in two components."""
+    """From rows (gram, cell, fp, root, n, pos, parity): pairs of like size that are in two components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Pairs()
         for rows in _columns(batches):
             cuts = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
             for at, end in zip([0, *cuts], [*cuts, len(rows[0])], strict=True):
-                gram, _, fp, root, n, pos = (x[at:end] for x in rows)
+                gram, _, fp, root, n, pos, parity = (x[at:end] for x in rows)
                 i, j = _near(fp, n, 2 * turn + int(gram[0]) % 2)
                 fits, level = _possible(i, j, n, pos, similarity)
-                fits &= root[i] != root[j]
+                fits &= (root[i] != root[j]) & _differ(i, j, n, _odd(parity), similarity)
                 found.add(fp[i[fits]], fp[j[fits]], level[fits], level[fits])
             if found.held > 500_000:
                 yield _kind(found.out(), 0)
@@ -220,23 +232,29 @@ def _meet(similarity: int, turn: int):
     return run
 
 
-def _across(similarity: int):
-    """From rows (gram, cell, guest, fp, root, n, pos): all pairs of a guest and a row of its cell that can be similar
-    and are in two components."""
+def _across(similarity: int, count: bool):
+    """From rows (gram, cell, guest, fp, root, n, pos, parity): all pairs of a guest and a row of its cell that can be
+    similar and are in two components; or only how many they are, in `shared`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Pairs()
         for rows in _columns(batches):
             cuts = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
             for at, end in zip([0, *cuts], [*cuts, len(rows[0])], strict=True):
-                _, _, guest, fp, root, n, pos = (x[at:end] for x in rows)
-                here, there = np.flatnonzero(guest == 0), np.flatnonzero(guest == 1)
+                _, _, guest, fp, root, n, pos, parity = (x[at:end] for x in rows)
+                here, there, odd = np.flatnonzero(guest == 0), np.flatnonzero(guest == 1), _odd(parity)
                 for g in range(0, len(there), 64):
                     i, j = (x.reshape(-1) for x in np.meshgrid(there[g : g + 64], here, indexing="ij"))
                     apart = root[i] != root[j]
                     i, j = i[apart], j[apart]
                     fits, level = _possible(i, j, n, pos, similarity)
-                    found.add(fp[i[fits]], fp[j[fits]], level[fits], level[fits])
+                    i, j, level = i[fits], j[fits], level[fits]
+                    fits = _differ(i, j, n, odd, similarity)
+                    if count:
+                        total = np.array([fits.sum()], np.int64)
+                        found.add(total * 0, total * 0, total, total * 0)
+                    else:
+                        found.add(fp[i[fits]], fp[j[fits]], level[fits], level[fits])
                     if found.held > 500_000:
                         yield _kind(found.out(), 0)
         yield _kind(found.out(), 0)
@@ -267,7 +285,7 @@ class JaccardJoin:
         self.direct_rows, self.cell_rows, self.rounds = direct_rows, cell_rows, rounds
         self.rows = shared_table(_rows(docs, id_col, text_col, words, similarity, cell_rows, _frequent(docs, text_col, words)), "jaccard-rows")
         sets = self.rows.filter("n > 0").groupBy("fp")
-        self.nodes = shared_table(sets.agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("cells").alias("cells"), F.min(F.struct("k1", "k2")).alias("row")), "jaccard-sets")
+        self.nodes = shared_table(sets.agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("cells").alias("cells"), F.first("parity").alias("parity"), F.min(F.struct("k1", "k2")).alias("row")), "jaccard-sets")
 
     def _blocks(self, df: DataFrame) -> DataFrame:
         return df.repartition(shuffle_partitions(df.sparkSession), "gram", "cell").sortWithinPartitions("gram", "cell")
@@ -302,19 +320,27 @@ class JaccardJoin:
         joined = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
         return shared_table(joined.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "shared"), "jaccard-apart")
 
-    def _open(self, large: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int, int]:
+    def _open(self, large: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int]:
         """(rows of large columns in which there are several components: gram, cells, main: the component with most rows,
-        root, fp, n, pos; their number; the number of pairs across components)."""
+        root, fp, n, pos, parity; their number)."""
         rows = large.withColumn("root", F.col("fp"))
         if roots is not None:
-            rows = large.join(roots, large["fp"] == roots["node"], "left").select("gram", "fp", F.coalesce("root", "fp").alias("root"), "n", "pos")
-        rows = shared_table(rows, "jaccard-large")
+            rows = large.join(roots, large["fp"] == roots["node"], "left").select(*large.columns, F.coalesce("root", "fp").alias("root"))
+            rows = shared_table(rows, "jaccard-rooted")
         shares = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("rows"))
-        of_gram = shares.groupBy("gram").agg(F.max_by("root", "rows").alias("main"), F.sum("rows").alias("all"), F.sum(F.col("rows") * F.col("rows")).alias("inside"), F.count(F.lit(1)).alias("roots"))
+        of_gram = shares.groupBy("gram").agg(F.max_by("root", "rows").alias("main"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("roots"))
         several = shared_table(of_gram.filter("roots > 1"), "jaccard-several")
-        n, pairs = several.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum(F.col("all") * F.col("all") - F.col("inside")), F.lit(0))).first()
         cells = F.ceil(F.col("all") / self.cell_rows).cast("int").alias("cells")
-        return rows.join(several.select("gram", "main", cells), "gram").select("gram", "cells", "main", "root", "fp", "n", "pos"), n, pairs // 2
+        n = several.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+        return rows.join(several.select("gram", "main", cells), "gram").select("gram", "cells", "main", "root", "fp", "n", "pos", "parity"), n
+
+    def _facing(self, rows: DataFrame) -> DataFrame:
+        """The blocks of _across from the rows of open columns: each row in its cell, and those that aren't of their column's
+        main component in every cell of it, as guests."""
+        columns = ["gram", "cell", "guest", "fp", "root", "n", "pos", "parity"]
+        here = rows.withColumns({"cell": F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"), "guest": F.lit(0)}).select(columns)
+        guests = rows.filter("root <> main").withColumns({"cell": F.explode(F.sequence(F.lit(0), F.col("cells") - 1)), "guest": F.lit(1)}).select(columns)
+        return self._blocks(here.unionByName(guests))
 
     def links(self) -> DataFrame:
         """Links (a, b) between sets by their fps: they join all that are similar enough, and no more. Of the pairs that are
@@ -331,12 +357,10 @@ class JaccardJoin:
 
         rest = shared_table(summed(product.filter("kind = 0")), "jaccard-pairs")
         large = product.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("fp"), F.col("shared").alias("n"), F.col("level").alias("pos"))
-        links, roots = None, None
+        large = shared_table(large.join(self.nodes.select("fp", "parity"), "fp").select("gram", "fp", "n", "pos", "parity"), "jaccard-large")
+        links, roots, rows, n = None, None, *self._open(large, None)
         for turn in range(self.rounds):
-            rows, n, pairs = self._open(large, roots)
-            if turn and pairs <= FEW_PAIRS * n:
-                break
-            dealt = self._blocks(rows.withColumn("cell", F.pmod(F.xxhash64("fp", "gram", F.lit(turn)), F.col("cells")).cast("int")).select("gram", "cell", "fp", "root", "n", "pos"))
+            dealt = self._blocks(rows.withColumn("cell", F.pmod(F.xxhash64("fp", "gram", F.lit(turn)), F.col("cells")).cast("int")).select("gram", "cell", "fp", "root", "n", "pos", "parity"))
             some = rest.unionByName(summed(dealt.mapInArrow(_meet(self.similarity, turn), PAIR))) if n else rest
             both = some.unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
             best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
@@ -345,12 +369,11 @@ class JaccardJoin:
             links = more if links is None else links.unionByName(more)
             roots = components(links)
             rest = self._apart(rest, roots)
-        rows, n, _ = self._open(large, roots)
+            rows, n = self._open(large, roots)
+            if not n or self._facing(rows).mapInArrow(_across(self.similarity, True), PAIR).agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0] <= FEW_PAIRS * n:
+                break
         if n:
-            columns = ["gram", "cell", "guest", "fp", "root", "n", "pos"]
-            here = rows.withColumns({"cell": F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"), "guest": F.lit(0)}).select(columns)
-            guests = rows.filter("root <> main").withColumns({"cell": F.explode(F.sequence(F.lit(0), F.col("cells") - 1)), "guest": F.lit(1)}).select(columns)
-            rest = rest.unionByName(summed(self._blocks(here.unionByName(guests)).mapInArrow(_across(self.similarity), PAIR)))
+            rest = rest.unionByName(summed(self._facing(rows).mapInArrow(_across(self.similarity, False), PAIR)))
         last = shared_table(rest.select("a", "b").distinct(), "jaccard-rest")
         if last.limit(1).count():
             more = self._verified(last)
