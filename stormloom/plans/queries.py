@@ -123,6 +123,31 @@ def reflectivity_extract(spark: SparkSession, sf: str) -> DataFrame:
     return volumes.reflectivity_gates(standins.volumes(spark, sf)[1]).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("dbz")).alias("total"))
 
 
+def _archive(spark: SparkSession, sf: str) -> DataFrame:
+    """The stand-in volumes as archive files: words of 16 bits, a thousandth apart."""
+    return landed(volumes.pack_volumes(*standins.volumes(spark, sf), {m: (1000.0, 32768.0) for m in volumes.MOMENT_NAMES}), "archive")
+
+
+@query("""
+SELECT vec_id // 100 AS scan_id, CASE WHEN (vec_id // 50) % 2 = 0 THEN 'reflectivity' ELSE 'velocity' END AS moment, CAST((vec_id // 10) % 5 AS INT) AS sweep_idx,
+  CAST(vec_id % 10 AS INT) AS az_idx, count(*) AS n, round_even(sum(round_even(v * 1000 + 32768, 0) - 32768) / 1000, 6) AS total
+FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) WHERE v > -0.2 GROUP BY ALL""")
+def archive_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Gates of volumes that were written as archive files and decoded."""
+    _, gates = volumes.archive_volumes(_archive(spark, sf))
+    return gates.groupBy("scan_id", "moment", "sweep_idx", "az_idx").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
+
+
+@query("""
+SELECT vec_id // 100 AS scan_id, 'KTLX' AS site_id, strftime(TIMESTAMP '2024-01-01' + INTERVAL 5 MINUTE * (vec_id // 100), '%Y-%m-%d %H:%M:%S') AS scan_ts,
+  50 AS n_rays, 64 AS n_gates, CAST(65000 AS DOUBLE) AS last_m, list_sort(list(DISTINCT round_even(CAST(CAST(0.48 + 0.97 * ((vec_id // 10) % 5) AS FLOAT) AS DOUBLE), 1))) AS elevations
+FROM embeddings GROUP BY vec_id // 100 HAVING min(vec_id % 100) < 10""")
+def archive_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers of the lowest reflectivity sweep, from archive files."""
+    heads = volumes.reflectivity_scans(volumes.archive_volumes(_archive(spark, sf))[0])
+    return heads.select("scan_id", "site_id", F.date_format("scan_ts", "yyyy-MM-dd HH:mm:ss").alias("scan_ts"), F.size("azimuths").alias("n_rays"), F.size("ranges_m").alias("n_gates"), F.element_at("ranges_m", -1).alias("last_m"), "elevations")
+
+
 @query(chain("sites", "stations", then=f"""
 SELECT station_id, site_id, round_even(d, 6) AS distance_km, round_even(b, 4) AS beam_height_m, CAST(row_number() OVER (PARTITION BY station_id ORDER BY b,
   ord) AS INT) AS site_rank

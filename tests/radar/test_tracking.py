@@ -11,7 +11,6 @@ from stormloom.operators import association as A
 from stormloom.plans import api, replay, summary
 from stormloom.plans.ingest import ingest
 from stormloom.sources import catalog, manifest, sites
-from stormloom.sources.volumes import RadarArchive
 from stormloom.streaming import buffer, tracker
 
 from .conftest import AZ, RADAR, RNG, T0, Scenes, grid
@@ -189,8 +188,6 @@ def test_sites_and_manifest(spark, tmp_path):
     manifest.write_json(manifest.read_manifest(spark, str(tmp_path / "m.json")), str(tmp_path / "out"))
     known = spark.createDataFrame([("Norman", "OK", 35.2, -97.4)], "city string, state string, lat double, lon double")
     assert sites.places(spark.createDataFrame([("Norman", "OK")], "city string, state string"), known).first().lat == 35.2
-    with pytest.raises(RuntimeError, match="pyart"):
-        RadarArchive({}).reader(None)
     assert replay.arguments(["KTLX", "--quick"]).quick
 
 
