@@ -14,6 +14,7 @@ from ..operators import detection as D
 from ..operators import motion as M
 from ..operators import quality as Q
 from ..operators import velocity as V
+from ..operators.unfolding import unfold_velocity
 from ..operators.labels import label_gates
 from ..sources import catalog, sites, standins, volumes
 from ..sources.landing import landed
@@ -148,6 +149,16 @@ def archive_headers(spark: SparkSession, sf: str) -> DataFrame:
     return heads.select("scan_id", "site_id", F.date_format("scan_ts", "yyyy-MM-dd HH:mm:ss").alias("scan_ts"), F.size("azimuths").alias("n_rays"), F.size("ranges_m").alias("n_gates"), F.element_at("ranges_m", -1).alias("last_m"), "elevations")
 
 
+@query("""
+SELECT vec_id // 100 AS scan_id, CAST((vec_id // 50) % 2 AS INT) AS sweep_idx, CAST(vec_id % 50 AS INT) AS az_idx, CAST(i AS INT) AS rng_idx,
+  round_even(40 * sin(2 * pi() * (vec_id % 50) / 50) + (vec_id // 100) % 3 + 5 * v, 6) AS vel
+FROM (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) WHERE v > -0.2""")
+def unfolded_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """A smooth wind back from velocities folded into the Nyquist interval."""
+    found = unfold_velocity(standins.velocity_sweeps(spark, sf), standins.folded_gates(spark, sf))
+    return found.select("scan_id", "sweep_idx", "az_idx", "rng_idx", r6("vel").alias("vel"))
+
+
 @query(chain("sites", "stations", then=f"""
 SELECT station_id, site_id, round_even(d, 6) AS distance_km, round_even(b, 4) AS beam_height_m, CAST(row_number() OVER (PARTITION BY station_id ORDER BY b,
   ord) AS INT) AS site_rank

@@ -100,8 +100,8 @@ def run_benchmarks(manifest: DataFrame, scans: DataFrame, gates: DataFrame, velo
 
     own = landed(mine.withColumn("site_id", F.concat_ws("|", "benchmark_id", "site_id")).withColumn("scan_id", key).select(scans.columns), "benchmark-headers")
     done = ingest(own, copied(gates), copied(velocity_sweeps), copied(velocity_gates))
-    shots = landed(diagnostics(done), "diagnostics").withColumn("benchmark_id", F.substring_index("site_id", "|", 1))
-    totals = lineage_totals(done.tracked).withColumn("benchmark_id", F.substring_index("site_id", "|", 1)).drop("site_id")
+    shots = landed(diagnostics(done), "diagnostics").withColumn("benchmark_id", F.regexp_extract("site_id", r"(?s)^(.*)\|", 1))
+    totals = lineage_totals(done.tracked).withColumn("benchmark_id", F.regexp_extract("site_id", r"(?s)^(.*)\|", 1)).drop("site_id")
     about = ids.select("benchmark_id", "category", F.col("m_site").alias("site_id"), "local_only").distinct()
     return about.join(roll_up(shots), "benchmark_id").join(totals, "benchmark_id"), shots
 

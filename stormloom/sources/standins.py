@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,14 @@ def velocity_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("scan_id", "sweep_idx", *_axes(), (F.col("sweep_idx") + 0.5).alias("elevation"), F.lit(26.2).alias("nyquist"))
 
 
+def folded_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """velocity_gates' places with a smooth wind, 40 sin(az) + scan_id % 3 + 5 v, as a radar with a Nyquist velocity of 26.2
+    tells it; places with v of -0.2 or less have no gate."""
+    wind = F.sin(F.col("az_idx") * (2 * math.pi / N_AZ)) * 40 + F.col("scan_id") % 3 + F.col("vel") / 16
+    found = velocity_gates(spark, sf_dir).filter("vel > -16").withColumn("wind", wind)
+    return found.select("scan_id", "sweep_idx", "az_idx", "rng_idx", (F.col("wind") - 52.4 * F.rint(F.col("wind") / 52.4)).alias("vel"))
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks of the users' events: (track_id, ts, lat, lon, position_id)."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 1000 + 35).alias("lat"), ((F.col("event_id") % 100) / 1000.0 - 97).alias("lon"), F.col("event_id").alias("position_id"))

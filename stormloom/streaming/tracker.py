@@ -577,7 +577,8 @@ def track_scans(rows: DataFrame) -> DataFrame:
 
 def track_stream(rows: DataFrame) -> DataFrame:
     """The same over a streaming DataFrame of scan rows: the tracker is the state of its site. Scans that arrive
-    together are put in order; one that is older than the last taken is dropped."""
+    together are put in order. One that is older than the last taken can't be followed any more: its row has no tracks
+    and one event, late_scan, so late scans are counted with the events."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = pickle.loads(state.get[0]) if state.exists else Tracker()  # noqa: S301  our own state
@@ -587,6 +588,9 @@ def track_stream(rows: DataFrame) -> DataFrame:
             if tracker.last is None or scan.ts >= tracker.last.ts:
                 tracker.advance(scan)
                 out.append(tracked_row(tracker, scan))
+            else:
+                late = {"event_type": "late_scan", "timestamp": scan.ts.isoformat(), "description": f"scan {scan.scan_id} is older than the last one followed", "involved_track_ids": []}
+                out.append({"site_id": scan.site_id, "scan_id": scan.scan_id, "scan_ts": scan.ts, "tracks": [], "events": [late], "candidates": []})
         state.update((pickle.dumps(tracker),))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in TRACKED.split(", ")])
 

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 import numpy as np
 import pytest
 
-from stormloom.plans.ingest import ingest
+from stormloom.plans.ingest import ingest_archive
 from stormloom.sources import level2, volumes
 from stormloom.sources.level2 import Sweep, Volume
 
@@ -94,8 +94,7 @@ def test_ingest_from_files(spark, tmp_path):
     dbz = grid((85, 95, 195, 205, 45.0))
     v = Volume("KTLX", START, 35.0, -97.0, [Sweep("reflectivity", 0, np.arange(360.0), 0.5, 26.0, 2000, 497, dbz)])
     (tmp_path / "KTLX20260408_183000_V06").write_bytes(level2.encode_volume(v, SCALE, 8))
-    sweeps, gates = volumes.archive_volumes(volumes.archive_files(spark, str(tmp_path)))
-    done = ingest(volumes.reflectivity_scans(sweeps), volumes.reflectivity_gates(gates), volumes.velocity_sweeps(sweeps), volumes.velocity_gates(gates))
+    done = ingest_archive(volumes.archive_files(spark, str(tmp_path)))
     assert [(r.peak_dbz, r.peak_label) for r in done.objects.collect()] == [(45.0, "heavy rain")]
     assert done.regions.count() == 0
 
