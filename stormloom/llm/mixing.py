@@ -22,6 +22,8 @@ SEED = 77
 MAX_COPIES = 3.0
 #: Documents in a leaf of the reduction tree, and leaves (or groups) that one group of the next level combines.
 LEAF_ROWS = 20_000
+#: Rows alike that are dealt out at a time.
+COPIES = 1000
 FAN_IN = 64
 #: Sources up to which their table is broadcast.
 BROADCAST_SOURCES = 100_000
@@ -101,6 +103,17 @@ def _settle(seed: int, level: int, last: bool):
     return run
 
 
+def apart(sized: DataFrame) -> DataFrame:
+    """sized with `copy`, which numbers rows alike from 0. They are counted first, then dealt out again, some at a time, so no
+    task holds all rows of a kind."""
+    names = sized.columns
+    counted = sized.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    some = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    some = some.repartition(shuffle_partitions(sized.sparkSession), "tie", "part")
+    end = F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1
+    return some.select(*names, F.explode(F.sequence(F.col("part") * COPIES, end)).alias("copy"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = SEED, max_copies: float = MAX_COPIES, leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target (its source's), copies (int), taken (copies * size).
 
@@ -111,7 +124,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     id_, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
-    sized = shared_table(docs.select(id_.alias("id"), source.cast("string").alias("source"), (n_words(text) if size is None else F.coalesce(size, F.lit(0))).cast("long").alias("size"), F.xxhash64(F.lit(seed), id_, text).alias("tie")), "mix-sizes")
+    sized = shared_table(apart(docs.select(id_.alias("id"), source.cast("string").alias("source"), (n_words(text) if size is None else F.coalesce(size, F.lit(0))).cast("long").alias("size"), F.xxhash64(F.lit(seed), id_, text).alias("tie"))), "mix-sizes")
     targets = shared_table(source_targets(sized, max_copies), "mix-targets").withColumnRenamed("source", "t_source")
     small = targets.count() <= BROADCAST_SOURCES
     wanted = sized.join(F.broadcast(targets) if small else targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
@@ -119,7 +132,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = wanted.withColumn("wanted", copies).withColumn("base", F.floor("wanted").cast("int"))
     fraction = F.when(F.col("size") > 0, F.col("wanted") - F.col("base")).otherwise(F.lit(0.0))
     leaves = max(4 * shuffle_partitions(spark), math.ceil(sized.count() / leaf_rows))
-    rows = wanted.withColumn("fraction", fraction).withColumn("leaf", F.pmod("tie", F.lit(leaves)).cast("long")).drop("wanted")
+    rows = wanted.withColumn("fraction", fraction).withColumn("leaf", F.pmod(F.xxhash64("tie", "copy"), F.lit(leaves)).cast("long")).drop("wanted", "copy")
     settled, open_, level = [], rows, 0
     names = ["id", "source", "size", "source_size", "target", "base", "fraction", "leaf", "tie"]
     schema = "id {id}, source string, size long, source_size long, target double, base int, fraction double, leaf long, tie long, extra int".format(id=docs.schema[id_col].dataType.simpleString())

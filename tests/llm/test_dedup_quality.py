@@ -244,3 +244,11 @@ def test_lines_on_one_page(spark):
     got = line_dedup.site_line_dedup(docs, ratio=0.1, min_pages=1).collect()
     assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == [(1, "", 2), (2, "", 1)]
     assert {r.doc_id: r.n_frequent_words for r in quality.quality_rules(docs, max_docs=0).collect()} == {1: 2, 2: 1}
+
+
+def test_the_line_limit_rejects_documents(spark):
+    """With the registered limits, some documents that pass the other rules lose too much to frequent lines."""
+    rows = queries.op3_quality(spark, "/root/testdata/sf0.01").collect()
+    lost = [r for r in rows if not r.base_failed and not r.kept]
+    assert lost and all(100 * (r.n_words - r.n_frequent_words) < quality.MIN_LEFT * r.n_words for r in lost)
+    assert sum(r.kept for r in rows) > 0.8 * sum(not r.base_failed for r in rows)

@@ -133,3 +133,13 @@ def test_mix_documents(docs):
         sizes[r.source] += len((r.text or "").split())
     for r in mixing.mix_sources(docs).select("source", "target").distinct().collect():
         assert abs(sizes[r.source] - r.target) <= 6000
+
+
+def test_like_rows_over_all_leaves(spark):
+    """20,000 rows alike among 2000 others are numbered one by one, and no leaf gets many more than its share."""
+    rows = [(1, "s0", 3, 11)] * 20_000 + [(k, "s1", 2, 100 + k) for k in range(2000)] + [(None, None, 0, 7)] * 2
+    numbered = mixing.apart(spark.createDataFrame(rows, "id long, source string, size long, tie long"))
+    assert numbered.count() == len(rows) and numbered.dropDuplicates(["id", "tie", "copy"]).count() == len(rows)
+    assert numbered.groupBy("id", "tie").agg({"copy": "max"}).filter("id = 1 OR id IS NULL").toPandas()["max(copy)"].sum() == 19_999 + 1
+    leaves = [r.n for r in numbered.groupBy(F.pmod(F.xxhash64("tie", "copy"), F.lit(32)).alias("leaf")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(leaves) == 32 and max(leaves) < 1.3 * len(rows) / 32
