@@ -75,13 +75,15 @@ def shifted_cells(rows: np.ndarray, cols: np.ndarray, by: tuple[float, float], s
     return r[inside], c[inside]
 
 
-def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a matching of least total cost that uses every row or every column.
+def priced_assignment(cost: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Pairs (row, column) of a matching of least total cost that uses every row or every column, and prices of rows and of
+    columns that prove it: no cell costs less than its row's and column's price, matched ones cost just that, and on the
+    side that isn't used up no price is above 0 and those left over have 0.
 
     Shortest augmenting paths with potentials, one row after another."""
     cost = np.asarray(cost, float)
     if not cost.size:
-        return []
+        return [], np.zeros(cost.shape[0]), np.zeros(cost.shape[-1])
     flipped = cost.shape[0] > cost.shape[1]
     if flipped:
         cost = cost.T
@@ -110,4 +112,9 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
             row_of[col] = start if back < 0 else row_of[back]
             col = back
     pairs = [(int(r), c) for c, r in enumerate(row_of) if r >= 0]
-    return sorted((c, r) for r, c in pairs) if flipped else sorted(pairs)
+    return (sorted((c, r) for r, c in pairs), v, u) if flipped else (sorted(pairs), u, v)
+
+
+def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs of priced_assignment."""
+    return priced_assignment(cost)[0]

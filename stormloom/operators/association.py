@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import assignment
+from ..functions.grid import priced_assignment
 from ..functions.scalar import clamp, haversine_km, match_quality, scan_quality_factor
 
 MIN_OVERLAP, MIN_IOU = 0.30, 0.15
@@ -79,18 +79,47 @@ def identity_scores(scores: DataFrame, quality: Column, lineage: Column) -> Data
     return graded.withColumn("identity_score", F.when(F.col("margin") < 0.15, F.least(score, F.lit(0.4))).otherwise(score))
 
 
-def match_tracks(scores: DataFrame) -> DataFrame:
-    """One-to-one matches of least total cost per pair, an absent candidate costing 10: one task per scan pair."""
+def priced_matches(scores: DataFrame) -> DataFrame:
+    """One-to-one matches of least total cost per pair, an absent candidate costing 10, with the prices that prove them: one
+    task per scan pair. A row per track and per object: a matched track's has its object and total_cost; those that a
+    candidate doesn't match have null there. An object's row has null as track_id.
+
+    A pair isn't divided into components of its candidates: one that costs more than 10 may be worse than none, and then
+    what is best in a component depends on the others."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tracks, row = np.unique(pdf["track_id"], return_inverse=True)
         objects, col = np.unique(pdf["object_id"], return_inverse=True)
         cost = np.full((len(tracks), len(objects)), UNMATCHED)
         cost[row, col] = pdf["total_cost"]
-        found = [(int(pdf["pair_id"].iloc[0]), int(tracks[r]), int(objects[c]), float(cost[r, c])) for r, c in assignment(cost) if cost[r, c] < UNMATCHED]
-        return pd.DataFrame(found, columns=["pair_id", "track_id", "object_id", "total_cost"])
+        pairs, of_track, of_object = priced_assignment(cost)
+        won = {r: c for r, c in pairs if cost[r, c] < UNMATCHED}
+        pair = int(pdf["pair_id"].iloc[0])
+        rows = [(pair, int(t), int(objects[won[r]]) if r in won else None, float(cost[r, won[r]]) if r in won else None, float(of_track[r])) for r, t in enumerate(tracks)]
+        rows += [(pair, None, int(o), None, float(of_object[c])) for c, o in enumerate(objects)]
+        found = pd.DataFrame(rows, columns=["pair_id", "track_id", "object_id", "total_cost", "price"])
+        return found.astype({"track_id": "Int32", "object_id": "Int32", "total_cost": "Float64"})
+
+    return scores.groupBy("pair_id").applyInPandas(run, f"{MATCHES}, price double")
 
-    return scores.groupBy("pair_id").applyInPandas(run, MATCHES)
+
+def match_tracks(scores: DataFrame) -> DataFrame:
+    """The matches of priced_matches."""
+    return priced_matches(scores).filter("track_id IS NOT NULL AND object_id IS NOT NULL").select("pair_id", "track_id", "object_id", "total_cost")
+
+
+def match_proofs(scores: DataFrame, priced: DataFrame) -> DataFrame:
+    """Per pair what shows its matches to be the cheapest: n_matches; cost, 10 for each track or object that the smaller
+    side leaves without a match; bound, which no matching is below, as long as slack (how much more than its prices the
+    cheapest cell costs) and room (how far prices of the larger side stay below 0) aren't negative. The matches are optimal
+    if cost equals bound."""
+    track, of_object = F.col("track_id").isNotNull(), F.col("track_id").isNull()
+    sizes = priced.groupBy("pair_id").agg(F.count_if(track).alias("n_t"), F.count_if(of_object).alias("n_o"), F.count("total_cost").alias("n_matches"), F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("paid"), F.sum("price").alias("bound"), F.max(F.when(track, F.col("price"))).alias("top_t"), F.max(F.when(of_object, F.col("price"))).alias("top_o"))
+    prices = [priced.filter(side).select("pair_id", n, F.col("price").alias(f"price_{n}")) for side, n in ((track, "track_id"), (of_object, "object_id"))]
+    cells = prices[0].join(prices[1], "pair_id").join(scores.select("pair_id", "track_id", "object_id", "total_cost"), ["pair_id", "track_id", "object_id"], "left")
+    slack = cells.groupBy("pair_id").agg(F.min(F.coalesce("total_cost", F.lit(UNMATCHED)) - F.col("price_track_id") - F.col("price_object_id")).alias("slack"))
+    room = F.when(F.col("n_t") < F.col("n_o"), -F.col("top_o")).when(F.col("n_t") > F.col("n_o"), -F.col("top_t")).otherwise(F.lit(0.0))
+    return sizes.join(slack, "pair_id").select("pair_id", "n_matches", (F.col("paid") + UNMATCHED * (F.least("n_t", "n_o") - F.col("n_matches"))).alias("cost"), "bound", "slack", room.alias("room"))
 
 
 def merge_candidates(scores: DataFrame, matches: DataFrame) -> DataFrame:

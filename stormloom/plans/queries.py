@@ -475,44 +475,83 @@ def identity_scores(spark: SparkSession, sf: str) -> DataFrame:
     return graded.select("pair_id", "track_id", "object_id", "total_cost", "margin", "match_quality", "identity_score")
 
 
-@query()
+#: The optimal matches by shortest augmenting paths, a step of a path in each turn of the recursion, with whole numbers as
+#: costs. The smaller side's members are `row`s 1 to n, the other's `j`s; owner is the row that has j, or 0; trail is the
+#: path to j; least is what j would cost; reached tells the j's that the path has taken.
+OPTIMAL = """
+sides AS (SELECT pair_id, list_sort(list_distinct(list(track_id))) AS ts, list_sort(list_distinct(list(object_id))) AS os FROM scores GROUP BY pair_id),
+oriented AS (SELECT pair_id, len(ts) > len(os) AS flipped, CASE WHEN len(ts) > len(os) THEN os ELSE ts END AS few, CASE WHEN len(ts) > len(os) THEN ts ELSE os END AS many FROM sides),
+facing_cells AS (SELECT pair_id, flipped, a, r, b, j FROM (SELECT pair_id, flipped, many, unnest(few) AS a, generate_subscripts(few, 1) AS r FROM oriented) x,
+  LATERAL (SELECT unnest(x.many) AS b, generate_subscripts(x.many, 1) AS j)),
+cost_rows AS MATERIALIZED (SELECT c.pair_id, c.r, list(coalesce(CAST(round(s.total_cost * 10000) AS BIGINT), 100000) ORDER BY c.j) AS costs
+  FROM facing_cells c LEFT JOIN scores s ON s.pair_id = c.pair_id AND s.track_id = CASE WHEN flipped THEN b ELSE a END AND s.object_id = CASE WHEN flipped THEN a ELSE b END
+  GROUP BY c.pair_id, c.r),
+turns AS (
+  SELECT pair_id, len(few) AS n, 1 AS beginning, 1 AS "row", 0 AS taken, list_transform(few, lambda x: 0::BIGINT) AS u, list_transform(many, lambda x: 0::BIGINT) AS v,
+    list_transform(many, lambda x: 0) AS owner, list_transform(many, lambda x: 1000000000000::BIGINT) AS least,
+    list_transform(many, lambda x: []::INTEGER[]) AS trail, list_transform(many, lambda x: false) AS reached
+  FROM oriented
+  UNION ALL
+  SELECT pair_id, n, CASE WHEN ends THEN beginning + 1 ELSE beginning END, CASE WHEN ends THEN beginning + 1 ELSE owner[best] END, CASE WHEN ends THEN 0 ELSE best END,
+    list_transform(u, lambda x, i: CASE WHEN i = beginning OR list_contains(list_filter(owner, lambda o, j: reached[j]), i) THEN x + step ELSE x END),
+    list_transform(v, lambda x, j: CASE WHEN reached[j] THEN x - step ELSE x END),
+    CASE WHEN ends THEN list_transform(owner, lambda x, j: CASE
+      WHEN NOT list_contains(path, j) THEN x WHEN path[1] = j THEN beginning ELSE owner[path[list_position(path, j) - 1]] END) ELSE owner END,
+    CASE WHEN ends THEN list_transform(v, lambda x: 1000000000000::BIGINT) ELSE list_transform(nearer, lambda x, j: CASE WHEN reached[j] THEN x ELSE x - step END) END,
+    CASE WHEN ends THEN list_transform(v, lambda x: []::INTEGER[]) ELSE trails END,
+    CASE WHEN ends THEN list_transform(v, lambda x: false) ELSE list_transform(reached, lambda x, j: x OR j = best) END
+  FROM (SELECT *, owner[best] = 0 AS ends, trails[best] AS path FROM (
+    SELECT *, list_min(list_filter(nearer, lambda x, j: NOT reached[j])) AS step,
+      list_position(list_transform(nearer, lambda x, j: CASE WHEN reached[j] THEN NULL ELSE x END), list_min(list_filter(nearer, lambda x, j: NOT reached[j]))) AS best
+    FROM (SELECT t.*, list_transform(least, lambda x, j: CASE WHEN NOT reached[j] AND costs[j] - u["row"] - v[j] < x THEN costs[j] - u["row"] - v[j] ELSE x END) AS nearer,
+        list_transform(trail, lambda x, j: CASE
+          WHEN NOT reached[j] AND costs[j] - u["row"] - v[j] < least[j] THEN list_append(CASE WHEN taken = 0 THEN []::INTEGER[] ELSE trail[taken] END, CAST(j AS INTEGER)) ELSE x END) AS trails
+      FROM turns t JOIN cost_rows c ON c.pair_id = t.pair_id AND c.r = t."row" WHERE beginning <= n)))),
+assigned AS (SELECT pair_id, unnest(owner) AS r, generate_subscripts(owner, 1) AS j FROM turns WHERE beginning > n),
+optimal AS (SELECT s.pair_id, s.track_id, s.object_id, s.total_cost FROM assigned a JOIN facing_cells c ON c.pair_id = a.pair_id AND c.r = a.r AND c.j = a.j
+  JOIN scores s ON s.pair_id = c.pair_id AND s.track_id = CASE WHEN flipped THEN b ELSE a END AND s.object_id = CASE WHEN flipped THEN a ELSE b END
+  WHERE s.total_cost < 10)"""
+MATCHED = SCORES.replace("scores AS (", "scores AS MATERIALIZED (") + "," + OPTIMAL
+
+
+@query(_with("upto:objects", MATCHED, "SELECT * FROM optimal"))
 def matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Optimal assignment; tests hold its cost against all permutations."""
+    """Optimal assignment."""
     return A.match_tracks(_scores(spark, sf))
 
 
-#: Pairs that are each other's cheapest stand in for the optimal matches, which SQL can't find.
-MUTUAL = """
-placed_scores AS (SELECT *, row_number() OVER (PARTITION BY pair_id, object_id ORDER BY total_cost, track_id) AS by_object, row_number() OVER (PARTITION BY pair_id,
-  track_id ORDER BY total_cost, object_id) AS by_track
-  FROM scores),
-mutual AS (SELECT pair_id, track_id, object_id FROM placed_scores WHERE by_object = 1 AND by_track = 1)"""
-
-
-def _mutual(scores: DataFrame) -> DataFrame:
-    track = scores.groupBy("pair_id", "object_id").agg(F.min_by("track_id", F.struct("total_cost", "track_id")).alias("track_id"))
-    found = scores.groupBy("pair_id", "track_id").agg(F.min_by("object_id", F.struct("total_cost", "object_id")).alias("object_id"))
-    return track.join(found, ["pair_id", "track_id", "object_id"])
+@query(_with("upto:objects", MATCHED, """
+SELECT pair_id, n_matches, cost, cost AS bound, true AS proven FROM (
+  SELECT pair_id, count(o.track_id) AS n_matches, round(coalesce(sum(o.total_cost), 0) + 10 * (max(len(few)) - count(o.track_id)), 4) AS cost
+  FROM oriented LEFT JOIN optimal o USING (pair_id) GROUP BY pair_id)
+"""))
+def match_proofs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair's least cost, and the bound on it that its prices give."""
+    scores = landed(_scores(spark, sf), "scores")
+    proofs = A.match_proofs(scores, landed(A.priced_matches(scores), "priced"))
+    proven = (F.abs(F.col("cost") - F.col("bound")) < 1e-6) & (F.col("slack") > -1e-6) & (F.col("room") > -1e-6)
+    return proofs.select("pair_id", "n_matches", F.round("cost", 4).alias("cost"), F.round("bound", 4).alias("bound"), proven.alias("proven"))
 
 
-@query(_with("upto:objects", SCORES + "," + MUTUAL, """
+@query(_with("upto:objects", MATCHED, """
 SELECT pair_id, object_id, list_concat([track_id], others) AS track_ids
-FROM (SELECT m.pair_id, m.object_id, m.track_id, list(s.track_id ORDER BY s.total_cost, s.track_id) AS others FROM mutual m
+FROM (SELECT m.pair_id, m.object_id, m.track_id, list(s.track_id ORDER BY s.total_cost, s.track_id) AS others FROM optimal m
   JOIN scores s ON s.pair_id = m.pair_id AND s.object_id = m.object_id AND s.track_id <> m.track_id GROUP BY ALL)
 """))
 def merge_candidates(spark: SparkSession, sf: str) -> DataFrame:
     scores = landed(_scores(spark, sf), "scores")
-    return A.merge_candidates(scores, _mutual(scores))
+    return A.merge_candidates(scores, A.match_tracks(scores))
 
 
-@query(_with("upto:objects", SCORES + "," + MUTUAL, """
+@query(_with("upto:objects", MATCHED + """,
+placed_scores AS (SELECT *, row_number() OVER (PARTITION BY pair_id, object_id ORDER BY total_cost, track_id) AS by_object FROM scores)""", """
 SELECT pair_id, track_id, list_concat([object_id], others) AS object_ids
-FROM (SELECT m.pair_id, m.track_id, m.object_id, list(s.object_id ORDER BY s.total_cost, s.object_id) AS others FROM mutual m
+FROM (SELECT m.pair_id, m.track_id, m.object_id, list(s.object_id ORDER BY s.total_cost, s.object_id) AS others FROM optimal m
   JOIN placed_scores s ON s.pair_id = m.pair_id AND s.track_id = m.track_id AND s.object_id <> m.object_id AND s.by_object = 1 GROUP BY ALL)
 """))
 def split_candidates(spark: SparkSession, sf: str) -> DataFrame:
     scores = landed(_scores(spark, sf), "scores")
-    return A.split_candidates(scores, _mutual(scores))
+    return A.split_candidates(scores, A.match_tracks(scores))
 
 
 @query("""SELECT o_custkey AS pair_id, 'merge' AS event_type, 'Tracks ' || list_aggregate(others, 'string_agg', ', ') || ' merged into track ' || o_custkey % 7 AS description, list_concat([o_custkey % 7], others) AS involved_track_ids FROM (SELECT o_custkey, list_filter(list_sort(list_distinct(list(o_orderkey % 7))), lambda x: x <> o_custkey % 7) AS others FROM orders GROUP BY o_custkey) WHERE len(others) > 0""")

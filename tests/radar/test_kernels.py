@@ -64,6 +64,10 @@ def test_assignment_is_optimal(shape):
             continue
         best = min(sum(cost[r, c] for r, c in zip(range(n), p, strict=True)) for p in itertools.permutations(range(m), n)) if n <= m else min(sum(cost[r, c] for c, r in enumerate(p)) for p in itertools.permutations(range(n), m))
         assert sum(cost[r, c] for r, c in pairs) == best
+        again, u, v = G.priced_assignment(cost)
+        assert again == pairs and abs(u.sum() + v.sum() - best) < 1e-9 and (cost - u[:, None] - v >= -1e-9).all()
+        larger, left = (v, set(range(m)) - {c for _, c in pairs}) if n < m else (u, set(range(n)) - {r for r, _ in pairs})
+        assert n == m or ((larger <= 1e-9).all() and (abs(larger[list(left)]) < 1e-9).all())
 
 
 def path(*places, minutes=5):

@@ -167,6 +167,30 @@ def test_matching_relationally(spark):
         assert r.margin == (round(min(leads), 2) if leads else None)
 
 
+def test_matches_are_proven(spark):
+    """Pairs of unlike sides; costs above 10, which are worse than none, change what is best elsewhere in their pair."""
+    rng = np.random.default_rng(2)
+    rows = [(p, t, o, float(rng.integers(1, 140)) / 10) for p, (n, m) in enumerate([(3, 5), (5, 3), (4, 4), (1, 1)]) for t in range(n) for o in range(m) if rng.random() < 0.7 or t == o == 0]
+    rows += [(9, 0, 0, 1.0), (9, 0, 1, 6.0), (9, 1, 0, 6.0), (9, 1, 1, 12.0)]
+    scores = spark.createDataFrame(rows, "pair_id long, track_id int, object_id int, total_cost double")
+    priced = A.priced_matches(scores)
+    proofs = {r.pair_id: r for r in A.match_proofs(scores, priced).collect()}
+    assert set(proofs) == {r[0] for r in rows}
+    for p, proof in proofs.items():
+        tracks, objects = (sorted({r[k] for r in rows if r[0] == p}) for k in (1, 2))
+        cost = {(t, o): c for q, t, o, c in rows if q == p}
+        few, many = sorted([tracks, objects], key=len)
+        ways = [list(zip(few, x, strict=True)) for x in itertools.permutations(many, len(few))]
+        best = min(sum(cost.get(x if few is tracks else x[::-1], 10.0) for x in way) for way in ways)
+        assert abs(proof.bound - best) < 1e-9 and proof.slack > -1e-9 and proof.room > -1e-9
+        if all(c < 10 for c in cost.values()) or p == 9:
+            assert abs(proof.cost - best) < 1e-9
+    assert {(r.track_id, r.object_id) for r in A.match_tracks(scores).filter("pair_id = 9").collect()} == {(0, 1), (1, 0)}
+    assert A.match_proofs(scores.limit(0), A.priced_matches(scores.limit(0))).count() == 0
+    wrong = priced.withColumn("price", F.col("price") + F.when(F.col("track_id") == 0, 0.5).otherwise(0.0))
+    assert all(min(r.slack, r.room) < 0 for r in A.match_proofs(scores, wrong).collect())
+
+
 def test_catalog(spark, tmp_path):
     names = ["KTLX20260410_170556_V06", "KTLX20260410_171000_V06", "KTLX20260410_171000_V06_MDM", "KTLX20260409_235900_V06", "odd"]
     files = spark.createDataFrame([("KTLX", n) for n in names], "site_id string, filename string")
