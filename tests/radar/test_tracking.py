@@ -228,6 +228,36 @@ def test_buffer(spark):
     assert sorted(r.scan_id for r in buffer.held_scans(scans).collect()) == [4, 9]
 
 
+def test_buffer_stream_is_the_batch(spark, tmp_path):
+    """Scans of three sites in shuffled order over several files and a restart, equal times and a repeated scan among them."""
+    rng = np.random.default_rng(3)
+    minutes = sorted(rng.integers(0, 600, 90).tolist())
+    rows = [(k, "ABC"[int(rng.integers(3))], T0 + timedelta(minutes=m)) for k, m in enumerate(minutes)]
+    rows += [rows[5], (90, rows[7][1], rows[7][2])]
+    rows.sort(key=lambda r: (r[2] - T0) // timedelta(minutes=60) + rng.random() / 2)
+    schema = "scan_id long, site_id string, scan_ts timestamp"
+    source, check = str(tmp_path / "scans"), str(tmp_path / "check")
+
+    def arrive(batch: list[tuple]) -> None:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = buffer.buffer_stream(spark.readStream.schema(schema).parquet(source), late="90 minutes")
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", check).trigger(availableNow=True).start()
+        assert q.awaitTermination(240) and q.exception() is None
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for batch in (rows[:31], rows[31:64], rows[64:], [(900, "A", T0 + timedelta(days=2))], [(901, "B", T0), (902, "A", T0 + timedelta(days=4))]):
+            arrive(batch)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    columns = ["site_id", "scan_id", "scan_ts", "scan_count", "previous_id", "first_ts", "last_ts"]
+    want = buffer.retained(spark.createDataFrame([*rows, (900, "A", T0 + timedelta(days=2))], schema)).select(columns)
+    assert sorted(map(str, out.filter("NOT late").select(columns).collect())) == sorted(map(str, want.collect()))
+    assert [(r.site_id, r.scan_id, r.scan_count) for r in out.filter("late").collect()] == [("B", 901, None)]
+
+
 def test_rotation_phrases(spark):
     entry = lambda *s: [(T0, x, 30.0 if x else None) for x in s]
     cases = [("strong", entry("strong"), " New strong rotation detected."), ("weak", entry("weak", "weak", "weak"), " Persistent weak rotation."), ("weak", entry(None, "weak", "weak"), " Weak rotation detected."), (None, entry("weak", None), " Rotation weakening."), (None, entry(None, None), ""), ("strong", None, " Strong rotation detected."), (None, None, "")]
