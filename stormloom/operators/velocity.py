@@ -93,15 +93,18 @@ def merge_regions(regions: DataFrame, labelled: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in REGION.split(", ")]
 
     def fits(a: dict, b: dict) -> bool:
-        return a["region_type"] == b["region_type"] and len(a["cells"] & b["cells"]) >= MIN_SWEEP_IOU * len(a["cells"] | b["cells"])
+        if a["region_type"] != b["region_type"]:
+            return False
+        shared = len(np.intersect1d(a["cells"], b["cells"], assume_unique=True))
+        return shared >= MIN_SWEEP_IOU * (len(a["cells"]) + len(b["cells"]) - shared)
 
     def join(a: dict, b: dict) -> dict:
         peak = min if a["region_type"] == "inbound" else max
-        return a | {"peak_velocity_ms": peak(a["peak_velocity_ms"], b["peak_velocity_ms"]), "mean_velocity_ms": round((a["mean_velocity_ms"] + b["mean_velocity_ms"]) / 2, 1), "area_km2": max(a["area_km2"], b["area_km2"]), "sweep_count": a["sweep_count"] + 1, "elevation_angles": a["elevation_angles"] + b["elevation_angles"], "cells": a["cells"] | b["cells"]}
+        return a | {"peak_velocity_ms": peak(a["peak_velocity_ms"], b["peak_velocity_ms"]), "mean_velocity_ms": round((a["mean_velocity_ms"] + b["mean_velocity_ms"]) / 2, 1), "area_km2": max(a["area_km2"], b["area_km2"]), "sweep_count": a["sweep_count"] + 1, "elevation_angles": a["elevation_angles"] + b["elevation_angles"], "cells": np.union1d(a["cells"], b["cells"])}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sweep_idx", "region_type", "label"])
-        each = [r | {"cells": frozenset(r["cells"].tolist()), "sweep_count": 1, "elevation_angles": [r["elevation"]]} for r in pdf.to_dict("records")]
+        each = [r | {"cells": np.unique(r["cells"]), "sweep_count": 1, "elevation_angles": [r["elevation"]]} for r in pdf.to_dict("records")]
         merged = first_fit(each, fits, join)
         return pd.DataFrame([r | {"region_id": k} for k, r in enumerate(merged, 1)], columns=names)
 
