@@ -25,7 +25,7 @@ class Ingested:
     hierarchy: DataFrame
     regions: DataFrame
     rotations: DataFrame
-    tracked: DataFrame
+    tracked: DataFrame | None  # None where objects aren't followed
 
 
 def ingest(scans: DataFrame, gates: DataFrame, velocity_sweeps: DataFrame, velocity_gates: DataFrame) -> Ingested:

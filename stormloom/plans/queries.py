@@ -812,7 +812,7 @@ def benchmark_results(spark: SparkSession, sf: str) -> DataFrame:
     return replay.run_benchmarks(entries, standins.scans(spark, sf), standins.gates(spark, sf), standins.velocity_sweeps(spark, sf), standins.velocity_gates(spark, sf))[0]
 
 
-@query(chain("upto:objects", then=f"""
+OBJECT_TEXTS = f"""
 SELECT scan_id, 'Oklahoma City: ' || n || CASE
   WHEN n = 1 THEN ' rain object' ELSE ' rain objects' END || ' detected. Strongest: ' || peak_label || ', ' || CAST(round_even(distance_km / 1.60934,
   0) AS INT) || ' miles ' || {bearing("bearing_deg")} || ' of the radar. Covering approximately ' || CAST(round_even(total / (1.60934 * 1.60934),
@@ -820,7 +820,10 @@ SELECT scan_id, 'Oklahoma City: ' || n || CASE
 FROM (SELECT *, count(*) OVER (PARTITION BY scan_id) AS n, sum(area_km2) OVER (PARTITION BY scan_id) AS total FROM objects
   QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY peak_dbz + least(ln(1 + area_km2), 6.0) DESC, peak_dbz DESC, area_km2 DESC, distance_km, rank) = 1)
 UNION ALL SELECT s, 'Oklahoma City: No significant precipitation detected.' FROM (SELECT DISTINCT vec_id // 50 AS s FROM embeddings) WHERE s NOT IN (SELECT scan_id
-  FROM objects)"""))
+  FROM objects)"""
+
+
+@query(chain("upto:objects", then=OBJECT_TEXTS))
 def object_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """Summaries without tracks."""
     scans = sites.site_name(standins.scans(spark, sf))
@@ -1001,6 +1004,15 @@ def api_regions_at(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("site_id", "timestamp", F.explode("regions").alias("r")).select("site_id", "timestamp", "r.*")
 
 
+@query(chain("upto:objects", then="").rstrip() + ",\ntexts AS (" + OBJECT_TEXTS + ")," + _nearest_sql("""
+SELECT 'KTLX' AS site_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", text FROM one JOIN texts ON scan_id = m
+""").replace("\nWITH s AS", "\ns AS"))
+def api_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The summary endpoint's answer for the scan nearest to a time, of objects that aren't followed."""
+    scans, g = standins.scans(spark, sf), standins.gates(spark, sf)
+    return api.get_summary(Ingested(scans, g, *[D.detect_objects(scans, g).objects] * 6, None), "KTLX", ASKED)
+
+
 @query()
 def api_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return api.as_json(api.get_tracks(_done(spark, sf), "KTLX"))

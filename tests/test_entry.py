@@ -10,7 +10,7 @@ from stormloom.plans import queries as radar
 
 SF = "/root/testdata/sf0.001"
 #: A query of each kind; all of them are run at another scale.
-SOME = ["nearest_scans", "velocity_regions", "identity_scores", "matches", "match_proofs", "merge_candidates", "split_candidates", "lost_tracks", "motion_phrases", "api_objects_at", "scan_windows", "rank_sites", "labels_and_units", "scan_quality", "objects", "object_segments", "sweep_regions", "mask_overlaps", "drifting_motion", "reported_motion", "focus_choice", "replay_buffer", "benchmark_roll_up", "object_summaries"]
+SOME = ["nearest_scans", "velocity_regions", "identity_scores", "matches", "match_proofs", "merge_candidates", "split_candidates", "lost_tracks", "motion_phrases", "api_objects_at", "api_summary", "scan_windows", "rank_sites", "labels_and_units", "scan_quality", "objects", "object_segments", "sweep_regions", "mask_overlaps", "drifting_motion", "reported_motion", "focus_choice", "replay_buffer", "benchmark_roll_up", "object_summaries"]
 
 
 @pytest.fixture(scope="module")
