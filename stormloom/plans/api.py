@@ -85,7 +85,8 @@ def get_velocity(done: Ingested, site_id: str, at: str | None = None) -> DataFra
 
 def get_motion(done: Ingested, site_id: str, track_id: int) -> DataFrame:
     """One row of the track; NotFound if the site never had it."""
-    tracks = _newest(done.tracked, site_id).select(F.explode("tracks").alias("t")).filter(F.col("t.track_id") == track_id).select(_track(F.col("t")).alias("t")).select("t.*")
+    mine = done.tracked.select("site_id", "scan_ts", "scan_id", F.explode("tracks").alias("t")).filter(F.col("t.track_id") == track_id)
+    tracks = _newest(mine, site_id).select(_track(F.col("t")).alias("t")).select("t.*")
     if not tracks.limit(1).count():
         raise NotFound(f"Track {track_id} not found")
     return tracks

@@ -19,7 +19,7 @@ from ..operators.labels import label_gates
 from ..sources import catalog, sites, standins, volumes
 from ..sources.landing import landed
 from ..streaming import buffer
-from ..streaming.tracker import scan_rows, track_scans
+from ..streaming.tracker import all_tracks, scan_rows, track_scans
 from . import api, replay, summary
 from .ingest import Ingested, ingest
 from .sql import bearing, chain, delta, even, hav, intensity, pmod, there
@@ -738,8 +738,8 @@ def _tracked(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
     """The fold's state after each scan; tests hold it against scenarios."""
-    t = _tracked(spark, sf).select("site_id", "scan_id", F.explode("tracks").alias("t"))
-    return t.select("site_id", "scan_id", "t.track_id", "t.status", F.size("t.positions").alias("n_positions"), F.col("t.motion.heading_label").alias("heading_label"), F.col("t.motion.speed_mph").alias("speed_mph"), "t.identity_confidence", "t.is_primary_focus")
+    what = ["t.track_id", "t.status", F.size("t.positions").alias("n_positions"), F.col("t.motion.heading_label").alias("heading_label"), F.col("t.motion.speed_mph").alias("speed_mph"), "t.identity_confidence", "t.is_primary_focus"]
+    return all_tracks(landed(_tracked(spark, sf), "tracked"), *what).drop("scan_ts")
 
 
 FIRST_TRACKS = """

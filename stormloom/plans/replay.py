@@ -25,9 +25,9 @@ def diagnostics(done: Ingested) -> DataFrame:
     counts = done.objects.groupBy("scan_id").agg(F.count(F.lit(1)).alias("object_count"))
     rows = done.tracked.join(counts, "scan_id", "left").join(done.quality, "scan_id", "left").join(texts, "scan_id", "left").na.fill(0, ["object_count"])
     active = F.filter("tracks", lambda t: t["status"] == "active")
-    rows = rows.withColumns({"active": active, "all_ids": F.transform("tracks", lambda t: t["track_id"])}).withColumn("f", F.get(F.filter("active", lambda t: t["is_primary_focus"]), F.lit(0)))
+    rows = rows.withColumn("active", active).withColumn("f", F.get(F.filter("active", lambda t: t["is_primary_focus"]), F.lit(0)))
     path = Window.partitionBy("site_id").orderBy("scan_ts", "scan_id")
-    seen = F.coalesce(F.lag(F.size("all_ids")).over(path), F.lit(0))  # tracks are never taken out of a site's list
+    seen = F.coalesce(F.lag("n_tracks").over(path), F.lit(0))
     return rows.select(
         "site_id", "scan_id", "scan_ts", "object_count", F.size("active").alias("active_count"),
         F.size(F.filter("active", lambda t: t["motion"]["heading_label"] == "uncertain")).alias("uncertain_tracks"),
@@ -42,7 +42,7 @@ def diagnostics(done: Ingested) -> DataFrame:
         F.col("f.motion.heading_deg").alias("focus_heading_deg"), F.col("f.motion.heading_label").alias("focus_heading_label"), F.col("f.motion.speed_mph").alias("focus_speed_mph"),
         F.col("f.motion.source").alias("focus_motion_source"), F.col("f.motion.confidence_label").alias("focus_motion_confidence_label"), F.bround("f.motion.confidence_score", 2).alias("focus_motion_confidence_score"),
         F.coalesce("score", F.lit(1.0)).alias("scan_quality_score"), F.coalesce("flags", F.array().cast("array<string>")).alias("scan_quality_flags"),
-        (F.size("all_ids") - seen).alias("new_tracks"), F.size("all_ids").alias("total_tracks_seen"), "summary",
+        (F.col("n_tracks") - seen).alias("new_tracks"), F.col("n_tracks").alias("total_tracks_seen"), "summary",
     )
 
 
@@ -74,12 +74,13 @@ def roll_up(snapshots: DataFrame) -> DataFrame:
 
 def lineage_totals(tracked: DataFrame) -> DataFrame:
     """Per site, of the tracks as they are in the end: merged, lost, children and absorbed."""
-    last = tracked.groupBy("site_id").agg(F.max_by("tracks", F.struct("scan_ts", "scan_id")).alias("tracks"))
+    each = tracked.select("site_id", F.struct("scan_ts", "scan_id").alias("at"), F.explode_outer("tracks").alias("t")).select("site_id", F.col("t.track_id").alias("track_id"), "at", F.struct("t.status", F.size("t.child_track_ids").alias("children"), F.size("t.absorbed_track_ids").alias("absorbed")).alias("t"))
+    last = each.groupBy("site_id", "track_id").agg(F.max_by("t", "at").alias("t"))
 
     def total(c: str) -> F.Column:
-        return F.aggregate("tracks", F.lit(0), lambda n, t: n + F.size(t[c]))
+        return F.coalesce(F.sum(F.when(F.col("track_id").isNotNull(), F.col(c))), F.lit(0)).cast("int")
 
-    return last.select("site_id", F.size(F.filter("tracks", lambda t: t["status"] == "merged")).alias("merged_tracks_total"), F.size(F.filter("tracks", lambda t: t["status"] == "lost")).alias("lost_tracks_total"), total("child_track_ids").alias("split_children_total"), total("absorbed_track_ids").alias("absorbed_links_total"))
+    return last.groupBy("site_id").agg(F.count_if(F.col("t.status") == "merged").cast("int").alias("merged_tracks_total"), F.count_if(F.col("t.status") == "lost").cast("int").alias("lost_tracks_total"), total("t.children").alias("split_children_total"), total("t.absorbed").alias("absorbed_links_total"))
 
 
 def run_benchmarks(manifest: DataFrame, scans: DataFrame, gates: DataFrame, velocity_sweeps: DataFrame, velocity_gates: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -87,6 +87,33 @@ def test_stability():
     assert tracker.heading_sequence(of(10.4)) == ["N@10:s"]
 
 
+def elsewhere(n: int) -> tracker.Scan:
+    """A storm of another shape and far from the one before."""
+    return scan(n, {1: (300, 302, 200, 400) if n % 2 else (10 + 20 * n, 20 + 20 * n, 10, 20)}, objects=[obj(1, lat=30.0 + n)])
+
+
+def test_gone_tracks_leave_the_fold():
+    """A storm elsewhere in every scan: the state and a scan's row hold the tracks of the last three scans only."""
+    t, rows = tracker.Tracker(), []
+    for n in range(12):
+        t.advance(elsewhere(n))
+        rows.append(tracker.tracked_row(t, t.last))
+    assert max(len(r["tracks"]) for r in rows) == 3 and [r["n_tracks"] for r in rows] == list(range(1, 13))
+    assert [x["status"] for x in rows[-1]["tracks"]] == ["lost", "active", "active"]
+
+
+def test_all_tracks_gives_the_gone_ones_to_later_scans(spark):
+    t, rows = tracker.Tracker(), []
+    for n in range(6):
+        t.advance(elsewhere(n))
+        rows.append(tracker.tracked_row(t, t.last))
+    found = tracker.all_tracks(spark.createDataFrame(rows, tracker.TRACKED), "t.track_id", "t.status", "t.missed_scans")
+    want = [(n, k, "lost" if n - k > 1 else "active", min(n - k, 1) + (n - k > 1)) for n in range(6) for k in range(n + 1)]
+    assert sorted((r.scan_id, r.track_id - 1, r.status, r.missed_scans) for r in found.collect()) == want
+    totals = replay.lineage_totals(spark.createDataFrame(rows, tracker.TRACKED)).first()
+    assert (totals.lost_tracks_total, totals.merged_tracks_total, totals.split_children_total) == (4, 0, 0)
+
+
 @pytest.fixture(scope="module")
 def done(scenes):
     grids = {1: grid((85, 95, 195, 205, 45)), 2: grid((86, 96, 196, 206, 45)), 3: grid((86, 96, 196, 206, 45), (200, 210, 300, 310, 55)), 4: grid(fill=np.nan, shape=(360, 500))}
