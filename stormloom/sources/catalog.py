@@ -51,8 +51,8 @@ def nearest_scans(requests: DataFrame, files: DataFrame) -> DataFrame:
     volumes = volumes.groupBy("site_id", F.to_date("scan_ts").alias("day"), F.unix_timestamp("scan_ts").alias("at")).agg(F.min("filename").alias("filename"))
     asked = requests.select("request_id", "site_id", "dt", F.to_date("dt").alias("day"), F.unix_timestamp("dt").alias("at"), F.lit(None).cast("string").alias("filename"))
     both = asked.unionByName(volumes, allowMissingColumns=True).withColumn("file", F.when(F.col("filename").isNotNull(), F.struct("at", "filename")))
-    day = Window.partitionBy("site_id", "day").orderBy("at")  # rows of one second are peers
-    sides = [F.last("file", ignorenulls=True).over(day.rangeBetween(Window.unboundedPreceding, 0)), F.first("file", ignorenulls=True).over(day.rangeBetween(0, Window.unboundedFollowing))]
+    day = Window.partitionBy("site_id", "day")  # rows of one second are peers; a frame that ends with the day would be read anew for each row, so the day is read both ways
+    sides = [F.last("file", ignorenulls=True).over(day.orderBy(way).rangeBetween(Window.unboundedPreceding, Window.currentRow)) for way in (F.asc("at"), F.desc("at"))]
     off = [F.when(f.isNotNull(), F.struct(F.abs(f["at"] - F.col("at")).alias("off"), f["filename"].alias("filename"))) for f in (F.col("before"), F.col("after"))]
     found = both.withColumns({"before": sides[0], "after": sides[1]}).filter("filename IS NULL").withColumn("best", F.least(*off))
     return found.select("request_id", "site_id", "dt", F.col("best.filename").alias("filename"), F.col("best.off").cast("long").alias("seconds_off"))

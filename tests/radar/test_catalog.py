@@ -7,6 +7,7 @@ from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stormloom.operators import velocity
 from stormloom.operators.detection import threshold_labels
@@ -77,3 +78,12 @@ def test_shear_wraps_around_and_skips_missing_gates(spark):
     gates = spark.createDataFrame([(1, 0, 0, 0, -10.0), (1, 0, 3, 2, 8.0), (1, 0, 2, 1, float("nan")), (1, 0, 1, 1, 4.0)], "scan_id long, sweep_idx int, az_idx int, rng_idx int, vel double")
     got = sorted(tuple(r) for r in velocity.shear_gates(sweeps, gates).collect())
     assert got == [(1, 0, 0, 0, 18.0, -10.0, 8.0), (1, 0, 3, 2, 18.0, -10.0, 8.0)]
+
+
+def test_nearest_scans_reads_a_day_once(spark):
+    """No window frame that ends with its partition: Spark reads such a frame anew for each row. Files on both sides, at the second, and none."""
+    files = spark.createDataFrame([("A", f"A20240101_{t}_V06") for t in ("000000", "001000", "002000")] + [("B", "B20240102_000000_V06")], "site_id string, filename string")
+    asked = spark.createDataFrame([(1, "A", "2024-01-01 00:04:00"), (2, "A", "2024-01-01 00:05:00"), (3, "A", "2024-01-01 00:20:00"), (4, "A", "2024-01-01 23:00:00"), (5, "B", "2024-01-01 00:00:00")], "request_id int, site_id string, dt string").withColumn("dt", F.col("dt").cast("timestamp"))
+    found = catalog.nearest_scans(asked, files)
+    assert {r.request_id: (r.filename and r.filename[10:16], r.seconds_off) for r in found.collect()} == {1: ("000000", 240), 2: ("000000", 300), 3: ("002000", 0), 4: ("002000", 81600), 5: (None, None)}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
