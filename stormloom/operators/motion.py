@@ -11,15 +11,16 @@ from ..functions.motion import FIELD_LAT, FIELD_QUALITY, KM_PER_DEG, MIN_HEADING
 from ..functions.scalar import HIGH, MEDIUM, bearing_label, circular_mean, heading_delta, miles, signed_heading_delta
 
 
-def seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+def micros(ts: str) -> Column:
+    """Whole microseconds: their differences are exact, those of seconds since 1970 in doubles are off by up to 0.2 microseconds."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def track_steps(positions: DataFrame) -> DataFrame:
     """(track_id, ts, speed_kmh, heading_deg) of each step to a later position; the heading is null under 5 km/h.
     positions: track_id, ts, lat, lon, position_id (which orders equal times)."""
     path = Window.partitionBy("track_id").orderBy("ts", "position_id")
-    hours = (seconds("ts") - F.lag(seconds("ts")).over(path)) / 3600
+    hours = (micros("ts") - F.lag(micros("ts")).over(path)) / 1e6 / 3600
     lat0, lon0 = F.lag("lat").over(path), F.lag("lon").over(path)
     moved = positions.select("track_id", "ts", "position_id", hours.alias("hours"), ((F.col("lat") - lat0) * KM_PER_DEG).alias("north"), ((F.col("lon") - lon0) * KM_PER_DEG * F.cos(F.radians((F.col("lat") + lat0) / 2))).alias("east"))
     speed = F.sqrt(F.col("north") * F.col("north") + F.col("east") * F.col("east")) / F.col("hours")
@@ -61,8 +62,8 @@ def history_motion(positions: DataFrame) -> DataFrame:
     headings (its step headings). All aggregates are algebraic, so they combine before the shuffle."""
     steps = track_steps(positions)
     of_steps = steps.groupBy("track_id").agg(F.min("speed_kmh").alias("slowest"), F.max("speed_kmh").alias("fastest"))
-    start = positions.groupBy("track_id").agg(F.min(seconds("ts")).alias("t0"))
-    timed = positions.join(start, "track_id").withColumn("t", seconds("ts") - F.col("t0"))
+    start = positions.groupBy("track_id").agg(F.min(micros("ts")).alias("t0"))
+    timed = positions.join(start, "track_id").withColumn("t", (micros("ts") - F.col("t0")) / 1e6)
     y = {c: (F.regr_slope(c, "t").alias(f"slope_{c}"), F.sqrt(F.greatest(F.regr_syy(c, "t") - F.regr_sxy(c, "t") * F.regr_sxy(c, "t") / F.regr_sxx(c, "t"), F.lit(0.0)) / F.count(F.lit(1))).alias(f"off_{c}")) for c in ("lat", "lon")}
     fit = timed.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("elapsed"), F.avg("lat").alias("mean_lat"), *y["lat"], *y["lon"])
     rows = fit.join(of_steps, "track_id", "left").join(step_headings(steps), "track_id", "left").withColumn("headings", F.coalesce("headings", F.array().cast("array<double>")))

@@ -5,9 +5,11 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stormloom.functions import grid as G
 from stormloom.functions import motion as M
+from stormloom.operators import motion as table_motion
 
 
 def flood(cells: set, steps: list) -> dict:
@@ -104,3 +106,11 @@ def test_reported_motion():
     assert M.reported_motion(north, 0.2, M.Shift(0.02, 0.0, 0.6), 5 / 60)[0].source == "motion_field"
     young = M.reported_motion(north, 0.6, continuity=M.Continuity(0.6, "new_track"))[0]
     assert young.reason == "track continuity too ambiguous for publishable motion"
+
+
+def test_steps_of_microseconds(spark):
+    """A step of a few microseconds is as long as its whole number of them says."""
+    rows = [(1, 1_706_000_000_123_457, 35.0, 1), (1, 1_706_000_000_123_460, 35.0001, 2), (1, 1_706_000_001_123_459, 35.0101, 3)]
+    found = table_motion.track_steps(spark.createDataFrame(rows, "track_id long, at long, lat double, position_id long").withColumns({"ts": F.timestamp_micros("at"), "lon": F.lit(-97.0)}))
+    got = [r.speed_kmh for r in found.orderBy("position_id").collect()]
+    assert got == pytest.approx([0.0001 * 111.32 * 3600 / 3e-6, 0.01 * 111.32 * 3600 / 0.999999], rel=1e-9)
