@@ -2,7 +2,8 @@
 
 Neighbouring gates of about the same velocity form regions. Two regions that touch are joined by an edge that carries
 how many pairs of gates touch and the sum of their steps. The heaviest edge is taken first: its average step, in whole
-intervals, is what one side is off by; that side is shifted, and the two are one region from then on.
+intervals, is what one side is off by; that side is shifted, and the two are one region from then on. Regions that don't
+touch are joined in the end across the gates that are missing between them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from ..sources.schemas import VELOCITY_GATES
 
 #: Parts of the Nyquist interval whose gates form regions.
 PARTS = 3
+#: Most missing gates across which two gates still tell of each other, and by how much any pair that touches outweighs all
+#: pairs that don't.
+GAP, NEAR = 10, 1000.0
 
 
 def touching(az: np.ndarray, rng: np.ndarray, n_az: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,8 +40,24 @@ def touching(az: np.ndarray, rng: np.ndarray, n_az: int) -> tuple[np.ndarray, np
     return np.concatenate(a), np.concatenate(b)
 
 
-def folds(region: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray, interval: float) -> np.ndarray:
-    """Whole intervals to add to each region (numbered from 0), given each gate's region and the pairs of gates that touch.
+def facing(az: np.ndarray, rng: np.ndarray, n_az: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of gates that have nothing but missing gates between them, in range or around in azimuth."""
+    a, b = [], []
+    for line, along, around in ((az, rng, 0), (rng, az, n_az)):
+        order = np.lexsort((along, line))
+        ends = np.diff(line[order], append=-1) != 0
+        starts = np.roll(ends, 1)
+        pairs = [(order[~ends], order[~starts], 0)] + [(order[ends], order[starts], around)] * (around > 0)
+        for first, second, turn in pairs:
+            step = along[second] + turn - along[first]
+            near = (step > 1) & (step <= GAP + 1)
+            a.append(first[near])
+            b.append(second[near])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def folds(region: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray, interval: float, weight: np.ndarray | None = None) -> np.ndarray:
+    """Whole intervals to add to each region (numbered from 0), given each gate's region and pairs of gates with whole weights.
     Regions that hang together are off by a common number, chosen so that the gates' average fold is nearest to 0."""
     n = int(region.max(initial=-1)) + 1
     gates = np.bincount(region, minlength=n)
@@ -45,8 +65,9 @@ def folds(region: np.ndarray, value: np.ndarray, a: np.ndarray, b: np.ndarray, i
     low, high = np.minimum(region[a], region[b]), np.maximum(region[a], region[b])
     step = np.where(region[a] < region[b], value[a] - value[b], value[b] - value[a])
     apart = low != high
+    weight = np.ones(len(a)) if weight is None else weight
     pair, at = np.unique(low[apart] * n + high[apart], return_inverse=True)
-    counts, sums = np.bincount(at, minlength=len(pair)), np.bincount(at, step[apart], len(pair))
+    counts, sums = np.bincount(at, weight[apart], len(pair)), np.bincount(at, (step * weight)[apart], len(pair))
     for p, count, total in zip(pair.tolist(), counts.tolist(), sums.tolist(), strict=True):
         edges[p // n][p % n] = [count, total]  # the sum of (this region's value less the other's)
         edges[p % n][p // n] = [count, -total]
@@ -90,7 +111,10 @@ def unfold(az: np.ndarray, rng: np.ndarray, value: np.ndarray, n_az: int, nyquis
         mine = np.flatnonzero(part == k)
         region[mine] = mine[components(az[mine], rng[mine], FOUR)]
     region = np.unique(region, return_inverse=True)[1]
-    return value + 2 * nyquist * folds(region, value, *touching(az, rng, n_az), 2 * nyquist)[region]
+    beside, across = touching(az, rng, n_az), facing(az, rng, n_az)
+    a, b = (np.concatenate(x) for x in zip(beside, across, strict=True))
+    weight = np.repeat([NEAR * len(value), 1.0], [len(beside[0]), len(across[0])])
+    return value + 2 * nyquist * folds(region, value, a, b, 2 * nyquist, weight)[region]
 
 
 def unfold_velocity(sweeps: DataFrame, gates: DataFrame) -> DataFrame:

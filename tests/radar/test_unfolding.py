@@ -69,6 +69,19 @@ def test_around_the_circle():
     assert (got[0], got[2]) == (got[1], got[3]) and abs(got[0] - got[3]) == 2.0
 
 
+def test_gates_without_neighbours():
+    """Gates with nothing but missing ones beside them are unfolded by what is across."""
+    az, gate = cells((72, 40))
+    true = 19 * np.cos(2 * np.pi * az / 72)
+    alone = (az % 24 == 5) & (gate % 10 == 5)
+    beside = np.zeros(len(az), bool)
+    for da, dr in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+        beside |= ((az + da) % 24 == 5) & ((gate + dr) % 10 == 5)
+    keep = np.flatnonzero(~beside)
+    assert (np.abs(true[alone]) > NYQUIST).any()
+    np.testing.assert_allclose(unfold(az[keep], gate[keep], folded(true[keep]), 72, NYQUIST), true[keep], atol=1e-9)
+
+
 def test_groups_and_odd_rows(spark):
     """Sweeps apart; null and NaN velocities; sweeps without a header or a Nyquist velocity; none."""
     heads = [(1, 0, [0.0] * 4, [0.0] * 9, 0.0, 0.0, 0.5, 10.0), (1, 1, [0.0] * 4, [0.0] * 9, 0.0, 0.0, 0.5, None), (2, 0, [], [], 0.0, 0.0, 0.5, float("nan"))]
