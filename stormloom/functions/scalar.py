@@ -101,6 +101,12 @@ def scan_quality_factor(score: ColumnOrName) -> Column:
     return F.coalesce(clamp(score, 0.25), F.lit(1.0))
 
 
+def round_even(x: Column, places: int) -> Column:
+    """Half to even of the scaled double, as SQL engines round; bround() goes by the shortest decimal text, which is another
+    number next to a tie."""
+    return F.rint(x * 10.0**places) / 10.0**places
+
+
 def match_quality(total_cost: ColumnOrName) -> Column:
     return F.bround(clamp(1 - col(total_cost) / 10), 2)
 

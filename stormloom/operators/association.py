@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import priced_assignment
-from ..functions.scalar import clamp, haversine_km, match_quality, scan_quality_factor
+from ..functions.scalar import clamp, haversine_km, match_quality, round_even, scan_quality_factor
 
 MIN_OVERLAP, MIN_IOU = 0.30, 0.15
-REACH_KMH, STILL_REACH_KM, LEAST_REACH_KM, UNMATCHED = 120.0, 50.0, 5.0, 10.0
+REACH_KMH, STILL_REACH_KM, LEAST_REACH_KM, UNMATCHED, COST_UNIT = 120.0, 50.0, 5.0, 10.0, 1e-4
 MATCHES = "pair_id long, track_id int, object_id int, total_cost double"
 
 
@@ -56,7 +56,7 @@ def candidate_scores(tracks: DataFrame, objects: DataFrame, overlaps: DataFrame,
     intensity = F.abs(F.col("o_peak") - F.col("peak")) / 60
     total = (1 - F.greatest("overlap", "advected")) * 0.65 + off * 0.18 + far * 0.07 + area * 0.07 + intensity * 0.03
     named = {"overlap_score": F.col("overlap"), "advected_overlap_score": F.col("advected"), "distance_score": far, "predicted_position_score": off, "area_change_score": area, "intensity_change_score": intensity, "total_cost": total}
-    return pairs.select("pair_id", "track_id", "object_id", *[F.bround(v, 4).alias(n) for n, v in named.items()])
+    return pairs.select("pair_id", "track_id", "object_id", *[round_even(v, 4).alias(n) for n, v in named.items()])
 
 
 def ambiguity_margins(scores: DataFrame) -> DataFrame:
@@ -82,7 +82,9 @@ def identity_scores(scores: DataFrame, quality: Column, lineage: Column) -> Data
 def priced_matches(scores: DataFrame) -> DataFrame:
     """One-to-one matches of least total cost per pair, an absent candidate costing 10, with the prices that prove them: one
     task per scan pair. A row per track and per object: a matched track's has its object and total_cost; those that a
-    candidate doesn't match have null there. An object's row has null as track_id.
+    candidate doesn't match have null there. An object's row has null as track_id. Costs count in whole units of COST_UNIT,
+    to which candidate_scores rounds them: sums of whole numbers are exact, so that of several cheapest matchings the same
+    one is found everywhere.
 
     A pair isn't divided into components of its candidates: one that costs more than 10 may be worse than none, and then
     what is best in a component depends on the others."""
@@ -92,7 +94,8 @@ def priced_matches(scores: DataFrame) -> DataFrame:
         objects, col = np.unique(pdf["object_id"], return_inverse=True)
         cost = np.full((len(tracks), len(objects)), UNMATCHED)
         cost[row, col] = pdf["total_cost"]
-        pairs, of_track, of_object = priced_assignment(cost)
+        pairs, *prices = priced_assignment(np.rint(cost / COST_UNIT))
+        of_track, of_object = (p * COST_UNIT for p in prices)
         won = {r: c for r, c in pairs if cost[r, c] < UNMATCHED}
         pair = int(pdf["pair_id"].iloc[0])
         rows = [(pair, int(t), int(objects[won[r]]) if r in won else None, float(cost[r, won[r]]) if r in won else None, float(of_track[r])) for r, t in enumerate(tracks)]

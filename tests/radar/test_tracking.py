@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stormloom.functions import scalar
 from stormloom.operators import association as A
 from stormloom.plans import api, replay, summary
 from stormloom.plans.ingest import ingest
@@ -218,6 +219,19 @@ def test_matches_are_proven(spark):
     assert all(min(r.slack, r.room) < 0 for r in A.match_proofs(scores, wrong).collect())
 
 
+def test_equal_matchings(spark):
+    """Of several cheapest matchings, the one that whole numbers give, not one that the doubles' last bits prefer."""
+    cost = [[0.6, 0.5, 0.4], [0.2, 0.3, 0.1], [0.1, 0.1, 0.2]]
+    scores = spark.createDataFrame([(1, t, o, c) for t, row in enumerate(cost) for o, c in enumerate(row)], "pair_id long, track_id int, object_id int, total_cost double")
+    assert sorted((r.track_id, r.object_id) for r in A.match_tracks(scores).collect()) == [(0, 2), (1, 0), (2, 1)]
+
+
+def test_costs_next_to_a_tie(spark):
+    """30.481250000000003 times 10,000 is a tie in doubles, which goes to the even neighbour as in SQL."""
+    one = spark.range(1).select(F.lit(30.481250000000003).alias("x"))
+    assert one.select(scalar.round_even(F.col("x"), 4).alias("r")).first().r == 30.4812
+
+
 def test_catalog(spark, tmp_path):
     names = ["KTLX20260410_170556_V06", "KTLX20260410_171000_V06", "KTLX20260410_171000_V06_MDM", "KTLX20260409_235900_V06", "odd"]
     files = spark.createDataFrame([("KTLX", n) for n in names], "site_id string, filename string")
