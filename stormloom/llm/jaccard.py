@@ -6,20 +6,21 @@ rare ones first, two sets of sizes n and m that share a or more of them share so
 l at least. Columns are dealt into blocks; a block adds up the overlaps of its pairs, leaving out pairs whose sizes or
 places in the column can't reach a. Sums over all blocks below l are discarded; what is left is compared on whole sets.
 
-A column of many sets isn't multiplied out at once: its sets first meet some others of like size, by several orders. Once
-the links so found are made components, the pairs of the column that are in two components still are compared as well, all of
-them, so a large group of copies takes few comparisons and no link between components is lost.
+A column of many sets isn't multiplied out. Columns with the same smallest set make a block of sets, each in it once, and a block
+meets as a whole: a task compares sketches of its sets, the n-grams counted by hash modulo 2, which bound the difference
+of two sets from below. Only sets with a partner by that are sent to the block whole; there the pairs are compared, and a
+link is given where it joins two components, so a block gives fewer links than it has sets. A block too large for a task is
+dealt into cells that first meet alone; then the sets that aren't in the block's largest component meet all its cells.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +32,12 @@ SEED = 42
 WORDS, SIMILARITY = 4, 85
 #: n-grams that pairs must share among their first ones (l above), if they have to share so many at all.
 LEVEL = 3
-#: Sets of a column whose pairs are all multiplied; sets of a column's cell, about, in one task.
-DIRECT_ROWS, CELL_ROWS = 16, 2048
-#: Rounds, at most, in which each set is compared with one other before all pairs that are left are; they end early
-#: where larger columns leave no more pairs across components than so many times their rows.
-ROUNDS, FEW_PAIRS = 3, 4
+#: Sets of a column whose pairs are all multiplied; sets of a block's cell, about, in one task, and n-grams in them all, about.
+DIRECT_ROWS, CELL_ROWS, CELL_GRAMS = 16, 2048, 4_000_000
+#: Times, at most, that the cells of large blocks meet alone, dealt differently each time, before cells meet each other.
+ROUNDS = 3
+#: Bits of a sketch: at least two for each n-gram, within these powers of two.
+SKETCH_BITS = 9, 16
 #: n-grams of a task that are counted at a time; a count of FREQUENT there makes one frequent; as many as HOT, those that
 #: are frequent most often, are ordered by that and broadcast, 12 bytes each. That is for speed only.
 COUNTED, FREQUENT, HOT = 4_000_000, 4, 1 << 18
@@ -52,6 +54,34 @@ def leading(n: int, similarity: int) -> int:
     return min(n, n - -(-similarity * (n + smallest) // (100 + similarity)) + LEVEL)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each value of some last bits of a set's n-grams whether an odd number of them ends so. Each part in which two
+    sketches differ holds an n-gram that one set has and the other has not."""
+    bits = 1 << min(SKETCH_BITS[1], max(SKETCH_BITS[0], (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def odd_parts(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many parts each row of sketches differs from one other; the larger ones are folded to the size of the smaller."""
+    words = min(sketches.shape[1], len(one))
+    if len(one) > words:
+        one = np.bitwise_xor.reduce(one.reshape(-1, words))
+    if sketches.shape[1] > words:
+        sketches = np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+    return np.bitwise_count(sketches ^ one).sum(axis=1, dtype=np.int64)
+
+
+def most_different(n: np.ndarray, m: np.ndarray, similarity: int) -> np.ndarray:
+    """What is in one of two sets of sizes n and m only, at most, if they are similar enough; below zero: they can't be."""
+    common = least_common(n, m, similarity)
+    return np.where(common <= np.minimum(n, m), n + m - 2 * common, -1)
+
+
+def similar_sets(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= similarity * (len(x) + len(y) - common)
+
+
 def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(n-grams in order, the place of each by its frequency) of the most frequent n-grams."""
 
@@ -81,8 +111,8 @@ def _frequent(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, n
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: int, cell_rows: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(id, k1, k2: of the row; fp: what stands for the set; n: its size; first: its leading n-grams; cells: that their
-    columns are dealt into; parity: of the n-grams in each of 512 parts) of every row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "fp", "n")], T.StructField("first", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BinaryType())])
+    columns are dealt into; sketch) of every row."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("k1", "k2", "fp", "n")], T.StructField("first", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.BinaryType())])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +120,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                fp, n, first, cells, parity = [], [], [], [], []
+                fp, n, first, cells, sketches = [], [], [], [], []
                 for t in batch.column(3):
                     s = shingles(t.as_py(), words)
                     count = np.zeros(len(s), np.int64)
@@ -102,8 +132,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: i
                     n.append(len(s))
                     first.append(s[head].view(np.int64))
                     cells.append((1 + count[head] // cell_rows).astype(np.int32))
-                    parity.append(np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes())
-                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32())), pa.array(parity, pa.binary())]
+                    sketches.append(sketch(s))
+                columns = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=schema.names)
 
     return with_row_keys(docs, id_col, text_col).select(F.col(f"`{id_col}`"), "__k1", "__k2", F.col(f"`{text_col}`")).mapInArrow(run, schema)
@@ -132,29 +162,6 @@ def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, pos: np.ndarray, simi
     return fits, level
 
 
-def _odd(parity: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(parity), np.uint64).reshape(len(parity), 8)
-
-
-def _differ(i: np.ndarray, j: np.ndarray, n: np.ndarray, odd: np.ndarray, similarity: int) -> np.ndarray:
-    """Whether rows i and j differ in fewer parts than sets of their sizes may: each part of odd difference holds an n-gram
-    that one set has and the other has not."""
-    parts = sum(np.bitwise_count(odd[i, w] ^ odd[j, w]).astype(np.int64) for w in range(8))
-    return parts <= n[i] + n[j] - 2 * least_common(n[i], n[j], similarity)
-
-
-def _near(fp: np.ndarray, n: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places: each row and the one before it, and the first one, by an order that depends on turn, among rows of
-    about its size."""
-    mixed = (fp.view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-    band = np.floor(np.log(np.maximum(n, 1)) / math.log(1.08) + 0.5 * (turn % 2)).astype(np.int64)
-    order = np.lexsort([mixed ^ (mixed >> np.uint64(29)), band])
-    new = np.concatenate([[True], band[order][1:] != band[order][:-1]])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
-    at = np.flatnonzero(~new)
-    return np.concatenate([order[at], order[at]]), np.concatenate([order[at - 1], order[head[at]]])
-
-
 class _Pairs:
     """Pairs (a, b) with the overlap so far and the least overlap, added up before they leave the task."""
 
@@ -212,52 +219,148 @@ def _multiply(similarity: int, direct_rows: int):
     return run
 
 
-def _meet(similarity: int, turn: int):
-    """From rows (gram, cell, fp, root, n, pos, parity): pairs of like size that are in two components."""
+class _Block:
+    """Sets of one cell of a block, and the guests that they meet. With the sets whole, it finds links that join different
+    components; with sketches, the sets that have a partner in another component."""
+
+    def __init__(self, label: int, cell: int, similarity: int, whole: bool):
+        self.label, self.cell, self.similarity, self.whole = label, cell, similarity, whole
+        self.parts: list[list[np.ndarray]] = []
+        self.above: dict[int, int] = {}
+        self.found: list[tuple] = []
+        self.closed = False
+
+    def _read(self, rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray] | None, list[np.ndarray]]:
+        """(guest, fp, root and n; the sets; the sketches) of rows."""
+        data = [np.frombuffer(x, np.uint64) for x in rows[6]]
+        return rows[2:6], data if self.whole else None, [np.frombuffer(sketch(s), np.uint64) for s in data] if self.whole else data
+
+    def close(self) -> None:
+        """The cell's own sets are all there."""
+        if self.closed:
+            return
+        self.closed = True
+        rows = [np.concatenate(c) for c in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, np.int64)] * 6 + [np.zeros(0, object)]
+        self.parts = []
+        order = np.argsort(rows[5], kind="stable")
+        (self.guest, self.fp, self.root, self.n), self.sets, self.sketches = self._read([x[order] for x in rows])
+        self.marked = np.zeros(len(order), bool)
+        words = np.array([len(x) for x in self.sketches], np.int64)
+        self.sizes = [(at := np.flatnonzero(words == w), np.stack([self.sketches[k] for k in at])) for w in np.unique(words)]
+
+    def _partners(self, n: int, root: int, one: np.ndarray, before: int) -> np.ndarray:
+        """Places, below before, of sets of other components that can be similar enough, the most similar first."""
+        found, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, sketches in self.sizes:
+            low = int(np.searchsorted(self.n[at], -(-self.similarity * n // 100)))
+            high = min(int(np.searchsorted(self.n[at], 100 * n // self.similarity, "right")), int(np.searchsorted(at, before)))
+            if low < high:
+                odd = odd_parts(sketches[low:high], one)
+                keep = (odd <= most_different(self.n[at[low:high]], np.int64(n), self.similarity)) & (self.root[at[low:high]] != root)
+                found.append(at[low:high][keep])
+                parts.append(odd[keep])
+        return np.concatenate(found)[np.argsort(np.concatenate(parts), kind="stable")]
+
+    def _top(self, root: int) -> int:
+        while root in self.above:
+            root = self.above[root]
+        return root
+
+    def _link(self, fp: int, root: int, s: np.ndarray, partners: np.ndarray) -> None:
+        """The links of a set of component root with its partners; self.root follows."""
+        while len(partners):
+            k, partners = partners[0], partners[1:]
+            if similar_sets(s, self.sets[k], self.similarity):
+                joined = int(self.root[k])
+                self.above[joined] = root
+                self.root[self.root == joined] = root
+                self.found.append((min(fp, int(self.fp[k])), max(fp, int(self.fp[k]))))
+                partners = partners[self.root[partners] != root]
+
+    def meet_own(self) -> None:
+        self.close()
+        for i in range(len(self.fp)):
+            partners = self._partners(int(self.n[i]), int(self.root[i]), self.sketches[i], i)
+            if self.whole:
+                self._link(int(self.fp[i]), int(self.root[i]), self.sets[i], partners)
+            elif len(partners):
+                self.marked[i] = self.marked[partners] = True
+
+    def meet_guests(self, rows: list[np.ndarray]) -> None:
+        """Of two sets that are guests in each other's cell the one with the smaller fp is the guest."""
+        self.close()
+        (guest, fp, root, n), sets, sketches = self._read(rows)
+        for i in range(len(fp)):
+            now = self._top(int(root[i]))
+            partners = self._partners(int(n[i]), now, sketches[i], len(self.fp))
+            partners = partners[(self.guest[partners] == 0) | (self.fp[partners] > fp[i])]
+            if self.whole:
+                self._link(int(fp[i]), now, sets[i], partners)
+            elif len(partners):
+                self.marked[partners] = True
+                self.found.append((self.label, self.cell, int(guest[i]), int(fp[i]), int(root[i]), int(n[i])))
+
+    def end(self) -> list[tuple]:
+        self.close()
+        own = [(self.label, self.cell, int(self.guest[k]), int(self.fp[k]), int(self.root[k]), int(self.n[k])) for k in np.flatnonzero(self.marked)]
+        return self.found + own
+
+
+MARKED, LINK = "label long, cell int, guest int, fp long, root long, n long", "a long, b long"
+
+
+def _in_blocks(similarity: int, facing: bool, whole: bool):
+    """From rows (label, cell, guest, fp, root, n, and the sketch or the whole set), sorted by the first three, MARKED or LINK
+    rows. guest: 0 in its own cell, 1 also a guest elsewhere, 2 a guest here. facing: guests meet the cell's sets; else
+    these meet each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Pairs()
-        for rows in _columns(batches):
-            cuts = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
-            for at, end in zip([0, *cuts], [*cuts, len(rows[0])], strict=True):
-                gram, _, fp, root, n, pos, parity = (x[at:end] for x in rows)
-                i, j = _near(fp, n, 2 * turn + int(gram[0]) % 2)
-                fits, level = _possible(i, j, n, pos, similarity)
-                fits &= (root[i] != root[j]) & _differ(i, j, n, _odd(parity), similarity)
-                found.add(fp[i[fits]], fp[j[fits]], level[fits], level[fits])
-            if found.held > 500_000:
-                yield _kind(found.out(), 0)
-        yield _kind(found.out(), 0)
+        schema = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in (LINK if whole else MARKED).split(", ")])
+        block: _Block | None = None
+        out: list[tuple] = []
+
+        def ended() -> list[tuple]:
+            if block is not None and not facing:
+                block.meet_own()
+            return block.end() if block is not None else []
+
+        def given() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [[] for _ in schema]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            label, cell, here = rows[0], rows[1], rows[2] < 2
+            cuts = np.flatnonzero((label[1:] != label[:-1]) | (cell[1:] != cell[:-1]) | (here[1:] != here[:-1])) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(label)], strict=True):
+                if at == end:
+                    continue
+                part = [x[at:end] for x in rows]
+                if block is None or (block.label, block.cell) != (int(label[at]), int(cell[at])):
+                    out += ended()
+                    block = _Block(int(label[at]), int(cell[at]), similarity, whole)
+                if here[at]:
+                    block.parts.append(part)
+                else:
+                    block.meet_guests(part)
+            if len(out) > 50_000:
+                yield given()
+                out = []
+        out += ended()
+        yield given()
 
     return run
 
 
-def _across(similarity: int, count: bool):
-    """From rows (gram, cell, guest, fp, root, n, pos, parity): all pairs of a guest and a row of its cell that can be
-    similar and are in two components; or only how many they are, in `shared`."""
+def _alike(similarity: int):
+    """Those of pairs (a, b, n_a, n_b, sketch_a, sketch_b) that can be similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Pairs()
-        for rows in _columns(batches):
-            cuts = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
-            for at, end in zip([0, *cuts], [*cuts, len(rows[0])], strict=True):
-                _, _, guest, fp, root, n, pos, parity = (x[at:end] for x in rows)
-                here, there, odd = np.flatnonzero(guest == 0), np.flatnonzero(guest == 1), _odd(parity)
-                for g in range(0, len(there), 64):
-                    i, j = (x.reshape(-1) for x in np.meshgrid(there[g : g + 64], here, indexing="ij"))
-                    apart = root[i] != root[j]
-                    i, j = i[apart], j[apart]
-                    fits, level = _possible(i, j, n, pos, similarity)
-                    i, j, level = i[fits], j[fits], level[fits]
-                    fits = _differ(i, j, n, odd, similarity)
-                    if count:
-                        total = np.array([fits.sum()], np.int64)
-                        found.add(total * 0, total * 0, total, total * 0)
-                    else:
-                        found.add(fp[i[fits]], fp[j[fits]], level[fits], level[fits])
-                    if found.held > 500_000:
-                        yield _kind(found.out(), 0)
-        yield _kind(found.out(), 0)
+        for batch in batches:
+            _, _, n, m, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            odd = np.array([odd_parts(np.frombuffer(p, np.uint64)[None], np.frombuffer(q, np.uint64))[0] for p, q in zip(x, y, strict=True)], np.int64)
+            keep = pa.array(odd <= most_different(n, m, similarity))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], names=["a", "b"])
 
     return run
 
@@ -269,9 +372,7 @@ def _compared(similarity: int):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = 100 * common >= similarity * (len(x) + len(y) - common)
+                keep[k] = similar_sets(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
     return run
@@ -285,10 +386,10 @@ class JaccardJoin:
         self.direct_rows, self.cell_rows, self.rounds = direct_rows, cell_rows, rounds
         self.rows = shared_table(_rows(docs, id_col, text_col, words, similarity, cell_rows, _frequent(docs, text_col, words)), "jaccard-rows")
         sets = self.rows.filter("n > 0").groupBy("fp")
-        self.nodes = shared_table(sets.agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("cells").alias("cells"), F.first("parity").alias("parity"), F.min(F.struct("k1", "k2")).alias("row")), "jaccard-sets")
+        self.nodes = shared_table(sets.agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("cells").alias("cells"), F.first("sketch").alias("sketch"), F.min(F.struct("k1", "k2")).alias("row")), "jaccard-sets")
 
     def _blocks(self, df: DataFrame) -> DataFrame:
-        return df.repartition(shuffle_partitions(df.sparkSession), "gram", "cell").sortWithinPartitions("gram", "cell")
+        return df.repartition(shuffle_partitions(df.sparkSession), "label", "cell").sortWithinPartitions("label", "cell", "guest")
 
     def _sets(self, needed: DataFrame) -> DataFrame:
         """(fp, s: the bytes of its set) for the fps of needed, made anew from the text of one row of each."""
@@ -302,83 +403,91 @@ class JaccardJoin:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["fp", "s"])
 
         texts = with_row_keys(self.docs, self.id_col, self.text_col).select("__k1", "__k2", F.col(f"`{self.text_col}`").alias("__text"))
-        found = with_mark(texts, "__k1", bit_map(keys, "__k1")).filter("__marked").join(keys, ["__k1", "__k2"]).dropDuplicates(["fp"])
+        found = with_mark(texts, "__k1", bit_map(keys, "__k1")).filter("__marked").join(keys, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"])
         return shared_table(found.select("fp", "__text").mapInArrow(run, "fp long, s binary"), "jaccard-whole-sets")
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
+    def _sketched(self, fps: DataFrame) -> DataFrame:
+        """(fp, n, sketch) of sets, those of fps among them."""
+        few = with_mark(self.nodes.select("fp", "n", "sketch"), "fp", bit_map(fps.distinct(), "fp"))
+        return shared_table(few.filter("__marked").select("fp", "n", "sketch"), "jaccard-sketches")
+
+    def _alike(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) that can be similar enough."""
+        of = [sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in ("a", "b")]
+        both = pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        return shared_table(both.mapInArrow(_alike(self.similarity), LINK), "jaccard-alike")
+
+    def _labelled(self, large: DataFrame) -> DataFrame:
+        """(label, cells, fp, n) of each set of each block. Blocks are columns (gram, fp, n) with the same smallest fp, which
+        is their label; cells: so many that a task can hold one."""
+        label = large.groupBy("gram").agg(F.min("fp").alias("label"))
+        members = shared_table(large.join(label, "gram").select("label", "fp", "n").distinct(), "jaccard-members")
+        cells = F.ceil(F.greatest(F.count(F.lit(1)) / self.cell_rows, F.sum("n") / CELL_GRAMS)).cast("int")
+        return members.join(members.groupBy("label").agg(cells.alias("cells")), "label").select("label", "cells", "fp", "n")
+
+    def _open(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """(label, cells, main: the component with most sets, root, fp, n) of blocks of several cells and components."""
+        roots = components(links)
+        rows = members.filter("cells > 1").join(roots, F.col("fp") == F.col("node"), "left").select("label", "cells", F.coalesce("root", "fp").alias("root"), "fp", "n")
+        rows = shared_table(rows, "jaccard-rooted")
+        shares = rows.groupBy("label", "root").agg(F.count(F.lit(1)).alias("rows"))
+        several = shares.groupBy("label").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        return shared_table(rows.join(several, "label").select("label", "cells", "main", "root", "fp", "n"), "jaccard-open")
+
+    def _marked(self, rows: DataFrame, sketches: DataFrame, facing: bool) -> DataFrame:
+        """Those of rows (label, cell, guest, fp, root, n) that have a partner, by sketches."""
+        dealt = self._blocks(rows.join(sketches.select("fp", "sketch"), "fp").select("label", "cell", "guest", "fp", "root", "n", "sketch"))
+        return shared_table(dealt.mapInArrow(_in_blocks(self.similarity, facing, False), MARKED), "jaccard-marked")
+
+    def _linked(self, marked: DataFrame, sets: DataFrame, facing: bool) -> DataFrame:
+        """Links (a, b) between components among marked rows."""
+        dealt = self._blocks(marked.join(sets, "fp").select("label", "cell", "guest", "fp", "root", "n", "s"))
+        return shared_table(dealt.mapInArrow(_in_blocks(self.similarity, facing, True), LINK), "jaccard-links")
+
+    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The links (a, b) among pairs."""
-        sets = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
         left, right = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b")
-        return shared_table(both.mapInArrow(_compared(self.similarity), "a long, b long"), "jaccard-links")
-
-    def _apart(self, pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """Pairs (a, b, shared) of which the two are in two components."""
-        if roots is None:
-            return pairs
-        of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
-        joined = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
-        return shared_table(joined.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "shared"), "jaccard-apart")
-
-    def _open(self, large: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int]:
-        """(rows of large columns in which there are several components: gram, cells, main: the component with most rows,
-        root, fp, n, pos, parity; their number)."""
-        rows = large.withColumn("root", F.col("fp"))
-        if roots is not None:
-            rows = large.join(roots, large["fp"] == roots["node"], "left").select(*large.columns, F.coalesce("root", "fp").alias("root"))
-            rows = shared_table(rows, "jaccard-rooted")
-        shares = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("rows"))
-        of_gram = shares.groupBy("gram").agg(F.max_by("root", "rows").alias("main"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("roots"))
-        several = shared_table(of_gram.filter("roots > 1"), "jaccard-several")
-        cells = F.ceil(F.col("all") / self.cell_rows).cast("int").alias("cells")
-        n = several.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
-        return rows.join(several.select("gram", "main", cells), "gram").select("gram", "cells", "main", "root", "fp", "n", "pos", "parity"), n
-
-    def _facing(self, rows: DataFrame) -> DataFrame:
-        """The blocks of _across from the rows of open columns: each row in its cell, and those that aren't of their column's
-        main component in every cell of it, as guests."""
-        columns = ["gram", "cell", "guest", "fp", "root", "n", "pos", "parity"]
-        here = rows.withColumns({"cell": F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int"), "guest": F.lit(0)}).select(columns)
-        guests = rows.filter("root <> main").withColumns({"cell": F.explode(F.sequence(F.lit(0), F.col("cells") - 1)), "guest": F.lit(1)}).select(columns)
-        return self._blocks(here.unionByName(guests))
+        return shared_table(both.mapInArrow(_compared(self.similarity), LINK), "jaccard-links")
 
     def links(self) -> DataFrame:
-        """Links (a, b) between sets by their fps: they join all that are similar enough, and no more. Of the pairs that are
-        left after the bounds, each set's most promising one is compared first; those that then still lead from one
-        component to another follow."""
+        """Links (a, b) between sets by their fps: they join all that are similar enough, and no more."""
         at = F.posexplode(F.arrays_zip("first", "cells")).alias("pos", "x")
         entries = self.nodes.select("fp", "n", at).select(F.col("x.first").alias("gram"), F.col("x.cells").alias("cells"), "fp", "n", F.col("pos").cast("long").alias("pos"))
         entries = entries.withColumn("cell", F.pmod(F.xxhash64("fp", "gram"), F.col("cells")).cast("int"))
-        blocks = self._blocks(entries.select("gram", "cell", "cells", "fp", "n", "pos"))
+        blocks = entries.select("gram", "cell", "cells", "fp", "n", "pos").repartition(shuffle_partitions(self.docs.sparkSession), "gram", "cell").sortWithinPartitions("gram", "cell")
         product = shared_table(blocks.mapInArrow(_multiply(self.similarity, self.direct_rows), PAIR), "jaccard-product")
-
-        def summed(parts: DataFrame) -> DataFrame:
-            return parts.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("level").alias("level")).filter("shared >= level").select("a", "b", "shared")
-
-        rest = shared_table(summed(product.filter("kind = 0")), "jaccard-pairs")
-        large = product.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("fp"), F.col("shared").alias("n"), F.col("level").alias("pos"))
-        large = shared_table(large.join(self.nodes.select("fp", "parity"), "fp").select("gram", "fp", "n", "pos", "parity"), "jaccard-large")
-        links, roots, rows, n = None, None, *self._open(large, None)
-        for turn in range(self.rounds):
-            dealt = self._blocks(rows.withColumn("cell", F.pmod(F.xxhash64("fp", "gram", F.lit(turn)), F.col("cells")).cast("int")).select("gram", "cell", "fp", "root", "n", "pos", "parity"))
-            some = rest.unionByName(summed(dealt.mapInArrow(_meet(self.similarity, turn), PAIR))) if n else rest
-            both = some.unionByName(some.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-            best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-            chosen = shared_table(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-chosen")
-            more = self._verified(chosen)
-            links = more if links is None else links.unionByName(more)
-            roots = components(links)
-            rest = self._apart(rest, roots)
-            rows, n = self._open(large, roots)
-            if not n or self._facing(rows).mapInArrow(_across(self.similarity, True), PAIR).agg(F.coalesce(F.sum("shared"), F.lit(0))).first()[0] <= FEW_PAIRS * n:
+        summed = product.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("level").alias("level"))
+        pairs = shared_table(summed.filter("shared >= level").select("a", "b"), "jaccard-pairs")
+        members = shared_table(self._labelled(product.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("fp"), F.col("shared").alias("n"))), "jaccard-blocks")
+
+        ends = F.explode(F.array("a", "b")).alias("fp")
+        sketches = self._sketched(members.select("fp").unionByName(pairs.select(ends)))
+        pairs = self._alike(pairs, sketches)
+
+        def own(rows: DataFrame, turn: int, guest: Column) -> DataFrame:
+            cell = F.pmod(F.xxhash64("fp", "label", F.lit(turn)), F.col("cells")).cast("int")
+            return rows.select("label", cell.alias("cell"), guest.alias("guest"), "fp", "root", "n")
+
+        first = own((members if self.rounds else members.filter("cells = 1")).withColumn("root", F.col("fp")), 0, F.lit(0))
+        marked = self._marked(first, sketches, False)
+        sets = self._sets(marked.select("fp").unionByName(pairs.select(ends)).distinct())
+        links = self._linked(marked, sets, False).unionByName(self._verified(pairs, sets))
+        if not members.filter("cells > 1").limit(1).count():
+            return links
+        rows = self._open(members, links)
+        for turn in range(1, self.rounds):
+            marked = self._marked(own(rows, turn, F.lit(0)), sketches, False)
+            if not marked.limit(1).count():
                 break
-        if n:
-            rest = rest.unionByName(summed(self._facing(rows).mapInArrow(_across(self.similarity, False), PAIR)))
-        last = shared_table(rest.select("a", "b").distinct(), "jaccard-rest")
-        if last.limit(1).count():
-            more = self._verified(last)
-            links = more if links is None else links.unionByName(more)
-        return links if links is not None else last
+            links = links.unionByName(self._linked(marked, self._sets(marked.select("fp").distinct()), False))
+            rows = self._open(members, links)
+        # each set in its cell, and those that aren't of their block's main component in every cell of it, as guests
+        away = F.col("root") != F.col("main")
+        here = own(rows, 0, away.cast("int"))
+        guests = rows.filter(away).select("label", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(2).alias("guest"), "fp", "root", "n")
+        marked = self._marked(here.unionByName(guests), sketches, True)
+        return links.unionByName(self._linked(marked, self._sets(marked.select("fp").distinct()), True))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, **how: int) -> DataFrame:
