@@ -230,6 +230,9 @@ class _Block:
         self.found: list[tuple] = []
         self.closed = False
 
+    def _sizes(self, rows: list[np.ndarray]) -> np.ndarray:
+        return np.array([len(x) // 8 for x in rows[6]], np.int64) if self.whole else rows[5]
+
     def _read(self, rows: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray] | None, list[np.ndarray]]:
         """(guest, fp, root and n; the sets; the sketches) of rows."""
         data = [np.frombuffer(x, np.uint64) for x in rows[6]]
@@ -242,6 +245,7 @@ class _Block:
         self.closed = True
         rows = [np.concatenate(c) for c in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, np.int64)] * 6 + [np.zeros(0, object)]
         self.parts = []
+        rows[5] = self._sizes(rows)
         order = np.argsort(rows[5], kind="stable")
         (self.guest, self.fp, self.root, self.n), self.sets, self.sketches = self._read([x[order] for x in rows])
         self.marked = np.zeros(len(order), bool)
@@ -263,7 +267,10 @@ class _Block:
 
     def _top(self, root: int) -> int:
         while root in self.above:
-            root = self.above[root]
+            up = self.above[root]
+            if up in self.above:
+                self.above[root] = self.above[up]
+            root = up
         return root
 
     def _link(self, fp: int, root: int, s: np.ndarray, partners: np.ndarray) -> None:
@@ -289,7 +296,8 @@ class _Block:
     def meet_guests(self, rows: list[np.ndarray]) -> None:
         """Of two sets that are guests in each other's cell the one with the smaller fp is the guest."""
         self.close()
-        (guest, fp, root, n), sets, sketches = self._read(rows)
+        (guest, fp, root, _), sets, sketches = self._read(rows)
+        n = self._sizes(rows)
         for i in range(len(fp)):
             now = self._top(int(root[i]))
             partners = self._partners(int(n[i]), now, sketches[i], len(self.fp))
@@ -365,19 +373,6 @@ def _alike(similarity: int):
     return run
 
 
-def _compared(similarity: int):
-    """Those of pairs (a, b, s_a, s_b: their sets) that are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                keep[k] = similar_sets(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
-
-    return run
-
-
 class JaccardJoin:
     """Links among the different sets of a table's texts."""
 
@@ -391,21 +386,6 @@ class JaccardJoin:
     def _blocks(self, df: DataFrame) -> DataFrame:
         return df.repartition(shuffle_partitions(df.sparkSession), "label", "cell").sortWithinPartitions("label", "cell", "guest")
 
-    def _sets(self, needed: DataFrame) -> DataFrame:
-        """(fp, s: the bytes of its set) for the fps of needed, made anew from the text of one row of each."""
-        words = self.words
-        keys = shared_table(self.nodes.join(needed, "fp", "left_semi").select("fp", F.col("row.k1").alias("__k1"), F.col("row.k2").alias("__k2")), "jaccard-needed")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    batch = whole.slice(at, 512)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(1)], pa.binary())], names=["fp", "s"])
-
-        texts = with_row_keys(self.docs, self.id_col, self.text_col).select("__k1", "__k2", F.col(f"`{self.text_col}`").alias("__text"))
-        found = with_mark(texts, "__k1", bit_map(keys, "__k1")).filter("__marked").join(keys, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"])
-        return shared_table(found.select("fp", "__text").mapInArrow(run, "fp long, s binary"), "jaccard-whole-sets")
-
     def _sketched(self, fps: DataFrame) -> DataFrame:
         """(fp, n, sketch) of sets, those of fps among them."""
         few = with_mark(self.nodes.select("fp", "n", "sketch"), "fp", bit_map(fps.distinct(), "fp"))
@@ -417,6 +397,13 @@ class JaccardJoin:
         both = pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         return shared_table(both.mapInArrow(_alike(self.similarity), LINK), "jaccard-alike")
 
+    def _grouped(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) as blocks of their own: the set a and all its partners go to the smallest of them."""
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
+        rows = pairs.join(label, "a").select("label", F.explode(F.array("a", "b")).alias("fp")).distinct()
+        return rows.select("label", F.lit(-1).alias("cell"), F.lit(0).alias("guest"), "fp", F.col("fp").alias("root"))
+
     def _labelled(self, large: DataFrame) -> DataFrame:
         """(label, cells, fp, n) of each set of each block. Blocks are columns (gram, fp, n) with the same smallest fp, which
         is their label; cells: so many that a task can hold one."""
@@ -439,16 +426,24 @@ class JaccardJoin:
         dealt = self._blocks(rows.join(sketches.select("fp", "sketch"), "fp").select("label", "cell", "guest", "fp", "root", "n", "sketch"))
         return shared_table(dealt.mapInArrow(_in_blocks(self.similarity, facing, False), MARKED), "jaccard-marked")
 
-    def _linked(self, marked: DataFrame, sets: DataFrame, facing: bool) -> DataFrame:
-        """Links (a, b) between components among marked rows."""
-        dealt = self._blocks(marked.join(sets, "fp").select("label", "cell", "guest", "fp", "root", "n", "s"))
-        return shared_table(dealt.mapInArrow(_in_blocks(self.similarity, facing, True), LINK), "jaccard-links")
+    def _linked(self, marked: DataFrame, facing: bool) -> DataFrame:
+        """Links (a, b) between components among marked rows. The sets are made anew from the text of one row of each, and go
+        from there to their blocks."""
+        words = self.words
+        to = marked.groupBy("fp").agg(F.collect_list(F.struct("label", "cell", "guest", "root")).alias("to"))
+        keys = shared_table(self.nodes.select("fp", F.col("row.k1").alias("__k1"), F.col("row.k2").alias("__k2")).join(to, "fp").withColumnRenamed("fp", "__fp").withColumnRenamed("to", "__to"), "jaccard-needed")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(2)], pa.binary())], names=["fp", "to", "s"])
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The links (a, b) among pairs."""
-        left, right = (sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}")) for c in ("a", "b"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b")
-        return shared_table(both.mapInArrow(_compared(self.similarity), LINK), "jaccard-links")
+        texts = with_row_keys(self.docs, self.id_col, self.text_col).select("__k1", "__k2", F.col(f"`{self.text_col}`").alias("__text"))
+        found = with_mark(texts, "__k1", bit_map(keys, "__k1")).filter("__marked").join(keys, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"])
+        sets = found.select("__fp", "__to", "__text").mapInArrow(run, "fp long, to array<struct<label: long, cell: int, guest: int, root: long>>, s binary")
+        dealt = self._blocks(sets.select("fp", "s", F.explode("to").alias("x")).select("x.label", "x.cell", "x.guest", "fp", "x.root", F.lit(0).cast("long").alias("n"), "s"))
+        return shared_table(dealt.mapInArrow(_in_blocks(self.similarity, facing, True), LINK), "jaccard-links")
 
     def links(self) -> DataFrame:
         """Links (a, b) between sets by their fps: they join all that are similar enough, and no more."""
@@ -470,9 +465,7 @@ class JaccardJoin:
             return rows.select("label", cell.alias("cell"), guest.alias("guest"), "fp", "root", "n")
 
         first = own((members if self.rounds else members.filter("cells = 1")).withColumn("root", F.col("fp")), 0, F.lit(0))
-        marked = self._marked(first, sketches, False)
-        sets = self._sets(marked.select("fp").unionByName(pairs.select(ends)).distinct())
-        links = self._linked(marked, sets, False).unionByName(self._verified(pairs, sets))
+        links = self._linked(self._marked(first, sketches, False).drop("n").unionByName(self._grouped(pairs)), False)
         if not members.filter("cells > 1").limit(1).count():
             return links
         rows = self._open(members, links)
@@ -480,14 +473,14 @@ class JaccardJoin:
             marked = self._marked(own(rows, turn, F.lit(0)), sketches, False)
             if not marked.limit(1).count():
                 break
-            links = links.unionByName(self._linked(marked, self._sets(marked.select("fp").distinct()), False))
+            links = links.unionByName(self._linked(marked, False))
             rows = self._open(members, links)
         # each set in its cell, and those that aren't of their block's main component in every cell of it, as guests
         away = F.col("root") != F.col("main")
         here = own(rows, 0, away.cast("int"))
         guests = rows.filter(away).select("label", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(2).alias("guest"), "fp", "root", "n")
         marked = self._marked(here.unionByName(guests), sketches, True)
-        return links.unionByName(self._linked(marked, self._sets(marked.select("fp").distinct()), True))
+        return links.unionByName(self._linked(marked, True))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: int = SIMILARITY, **how: int) -> DataFrame:

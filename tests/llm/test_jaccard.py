@@ -97,3 +97,31 @@ def test_leading_parts_hold_what_pairs_share():
             level = min(jaccard.LEVEL, a)
             assert len(np.intersect1d(x[: n - a + level], y[: m - a + level])) >= level
             assert jaccard.leading(int(n), 85) >= n - a + level or jaccard.leading(int(n), 85) == n
+
+
+def test_links_of_a_large_group_do_not_grow_with_its_square(spark):
+    """120 copies with a few words changed, many similar and many not: links are about as many as sets, not as pairs."""
+    rng = random.Random(11)
+    base = sentence(rng, 110).split()
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            copy[rng.randrange(len(copy))] = sentence(rng, 1) + "x"
+        rows.append((i, " ".join(copy), "en", "s", 0))
+    sets = list({brute_sets(r[1]) for r in rows})
+    similar = sum(100 * len(x & y) >= 85 * len(x | y) for k, x in enumerate(sets) for y in sets[:k])
+    join = jaccard.JaccardJoin(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 4, 85, rounds=0)
+    assert similar > 10 * len(sets)
+    assert 0 < join.links().count() <= 4 * len(sets)
+
+
+def test_sketches_never_differ_in_more_than_sets_do():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n, m, common = rng.integers(1, 3000), rng.integers(1, 3000), rng.integers(0, 3000)
+        every = np.unique(rng.integers(0, 2**63, n + m + common, dtype=np.int64).view(np.uint64))
+        rng.shuffle(every)
+        x, y = every[: n + common], every[n:]
+        a, b = (np.frombuffer(jaccard.sketch(s), np.uint64) for s in (x, y))
+        assert jaccard.odd_parts(a[None], b)[0] == jaccard.odd_parts(b[None], a)[0] <= len(np.setxor1d(x, y))
