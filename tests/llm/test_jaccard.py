@@ -102,7 +102,7 @@ def test_leading_parts_hold_what_pairs_share():
 def test_links_of_a_large_group_do_not_grow_with_its_square(spark):
     """120 copies with a few words changed, many similar and many not: links are about as many as sets, not as pairs."""
     rng = random.Random(11)
-    base = sentence(rng, 110).split()
+    base = sentence(rng, 250).split()
     rows = []
     for i in range(120):
         copy = list(base)
