@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -114,6 +116,67 @@ def test_forgetting_changes_nothing(machine, library, monkeypatch):
     assert tokens.count(machine, rows).tolist() == [len(e.ids) for e in library.encode_batch(rows, add_special_tokens=False)]
 
 
+def test_used_states_stay(library, monkeypatch):
+    """Of too many states, those go that few blocks came through."""
+    monkeypatch.setattr(tokens, "MAX_STATES", 3000)
+    rng = random.Random(5)
+    machine = tokens.Transducer(*tokens.load_model(PATH))
+    common = ["the rain in spain stays mainly in the plain, they said; 12 times"]
+    compiled, plain = [], machine.compile
+
+    def counted(state, symbol):
+        compiled.append(state)
+        plain(state, symbol)
+
+    machine.compile = counted
+    for _ in range(40):
+        junk = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(600))]
+        assert [x.tolist() for x in [*tokens.encode(machine, common), *tokens.encode(machine, junk)]] == [e.ids for e in library.encode_batch(common + junk, add_special_tokens=False)]
+        assert len(machine.states) < 4000
+    assert len(compiled) > 3 * 3000
+    compiled.clear()
+    tokens.encode(machine, common)
+    assert compiled == []
+
+
+def test_few_states_with_many_transitions(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_STATES", 100)
+    rng = random.Random(7)
+    machine = tokens.Transducer(*tokens.load_model(PATH))
+    for _ in range(60):
+        rows = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2)) for _ in range(50))]
+        assert tokens.encode(machine, rows)[0].tolist() == library.encode(rows[0], add_special_tokens=False).ids
+        assert len(machine.states) < 100 and machine.n_transitions < 4 * 100 + 100
+
+
+HELD = """
+import random, re
+import public_tokenizers
+from stormloom.llm import tokens
+from stormloom.llm.common import release_memory
+
+def held():
+    release_memory()
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+rng = random.Random(6)
+machine = tokens.Transducer(*tokens.load_model(public_tokenizers.path("word_bpe_49k.json")))
+before, most = held(), 0
+for _ in range(60):
+    tokens.encode(machine, ["".join(rng.choice("aabcdeeefghiilmnoooprsttu    ") for _ in range(10_000))])
+    most = max(most, len(machine.states))
+print(most, held() - before)
+"""
+
+
+def test_a_worker_s_memory():
+    """What a worker holds when it has seen as many states as it keeps: beside its executor's heap there is little room."""
+    ran = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, timeout=300)
+    most, mb = ran.stdout.split()
+    assert int(most) > 150_000
+    assert float(mb) < 95  # 62, and 130 with states as tuples
+
+
 def test_count_tokens(docs, no_docs, library):
     got = tokens.count_tokens(docs, PATH, 100).collect()
     rows = docs.collect()
